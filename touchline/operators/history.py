@@ -197,7 +197,7 @@ def entity_history(
         F.coalesce(F.unix_micros(F.col(delivered).cast("timestamp")), F.lit(-(2**63) + 1)).alias(_D),
         (F.year(delivered) if run is None else F.col(run)).cast("string").alias("__tl_run"),
     )
-    sliced, cut = time_slices(snapshots, "__tl_e", _T, "__tl_slice", min_hot_rows)
+    sliced, _, cut = time_slices(snapshots, "__tl_e", _T, "__tl_slice", min_hot_rows)
     ordered = sliced.withColumns(
         {
             _SEG: F.concat_ws("\u0003", "__tl_e", F.lpad(F.col("__tl_slice").cast("string"), 9, "0")),
@@ -248,7 +248,7 @@ def _join_slices(versions: DataFrame, value: list[str]) -> DataFrame:
     A slice's inner versions are settled. Its first may continue the slice before and its last may
     run on, so only these take part, two for each slice.
     """
-    edge = F.col("__tl_first") | F.col("__tl_to").isNull()
+    edge = (F.col("__tl_slice") > 0) & (F.col("__tl_first") | F.col("__tl_to").isNull())
     inner, edges = versions.filter(~edge), versions.filter(edge)
     line = Window.partitionBy("__tl_e").orderBy("__tl_slice", _T)
     state = F.struct(*value)

@@ -20,37 +20,43 @@ def heavy_keys(df: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS, share: flo
     rows, so at most P / share keys can be: the list that reaches the driver is bounded by the
     session's partition number, not by the data. The count combines on the map side.
     """
-    parts = shuffle_parts(df.sparkSession)
+    return _above(df, key, max(min_rows, ceil(share * df.count() / shuffle_parts(df.sparkSession))))
+
+
+def _above(df: DataFrame, key: str, limit: int) -> list[tuple]:
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
-    limit = max(min_rows, ceil(share * total / parts))
     return [(r[0], r[1]) for r in counts.filter(F.col("n") > limit).collect()]
 
 
-def time_slices(df: DataFrame, key: str, order: str, out: str, min_rows: int = MIN_HOT_ROWS) -> tuple[DataFrame, bool]:
-    """Add an int column ``out`` and tell whether any key was cut: 0 for ordinary keys, 0..s-1 in order of ``order`` for heavy keys.
+def time_slices(
+    df: DataFrame, key: str, order: str, out: str, min_rows: int = MIN_HOT_ROWS, sizes_of: DataFrame | None = None
+) -> tuple[DataFrame, int, bool]:
+    """Add an int column ``out``; also tell the largest size of an uncut key, and whether any was cut.
+
+    ``out`` is 0 for ordinary keys and 1..s in order of ``order``, a long, for heavy ones. A heavy
+    key is cut at approximate quantiles into slices of about one fair partition each; rows with
+    equal ``order`` share a slice, and slices keep the order, so that what slices yield can be
+    joined at the cuts. How exact the quantiles are decides only balance, never the result. The
+    bounds number at most about twice the partitions in total, so they may be broadcast.
 
-    ``order`` is a long. A heavy key is cut at approximate quantiles into slices of about one
-    fair partition each; rows with equal ``order`` share a slice, and slices keep the order, so
-    that what a slice yields can be joined at the cuts. How exact the quantiles are decides only
-    balance, never the result. The bounds number at most twice the partitions in total.
+    Sizes and quantiles may come from ``sizes_of``, cheaper rows that include those of ``df``.
     """
-    spark = df.sparkSession
-    heavy = [(k, n) for k, n in heavy_keys(df, key, min_rows) if k is not None]
+    spark, sizes = df.sparkSession, sizes_of if sizes_of is not None else df
+    fair = max(min_rows, ceil(sizes.count() / shuffle_parts(spark)))
+    heavy = [(k, n) for k, n in _above(sizes, key, fair) if k is not None]
     if not heavy:
-        return df.withColumn(out, F.lit(0)), False
-    fair = max(min_rows, min(n for _, n in heavy) // 2)
+        return df.withColumn(out, F.lit(0)), fair, False
     by_depth: dict[int, list] = {}
     for k, n in heavy:
-        by_depth.setdefault(max(1, ceil(log2(max(2, n / fair)))), []).append(k)
+        by_depth.setdefault(ceil(log2(n / fair)), []).append(k)
     bounds = []
     for depth, keys in by_depth.items():
         cuts = [i / 2**depth for i in range(1, 2**depth)]
-        found = df.filter(F.col(key).isin(keys)).groupBy(key).agg(F.percentile_approx(order, cuts, 1000).alias("b"))
+        found = sizes.filter(F.col(key).isin(keys)).groupBy(key).agg(F.percentile_approx(order, cuts, 1000).alias("b"))
         bounds += [(r[0], sorted(set(r[1] or []))) for r in found.collect()]
     kind = df.schema[key].dataType.simpleString()
     table = spark.createDataFrame(bounds, f"__tl_k {kind}, __tl_b array<bigint>")
-    joined = df.join(F.broadcast(table), F.col(key).eqNullSafe(F.col("__tl_k")), "left")
+    joined = df.join(F.broadcast(table), F.col(key) == F.col("__tl_k"), "left")
     below: Column = F.size(F.filter("__tl_b", lambda b: b < F.col(order)))
-    sliced = joined.withColumn(out, F.when(F.col("__tl_b").isNull(), 0).otherwise(below).cast("int"))
-    return sliced.drop("__tl_k", "__tl_b"), True
+    sliced = joined.withColumn(out, F.when(F.col("__tl_b").isNull(), 0).otherwise(below + 1).cast("int"))
+    return sliced.drop("__tl_k", "__tl_b"), fair, True
