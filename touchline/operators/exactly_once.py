@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -144,14 +144,51 @@ def exactly_once(df: DataFrame, id_col: str, newest: list[str], carry: list[str]
     return second.mapInArrow(_pass, gated.schema).select(*carry, (~F.col(_DUP)).alias(flag))
 
 
+#: The state between batches: ranges within one block of numbers, or one malformed identifier.
+SEEN = "producer string, block bigint, lo bigint, hi bigint, exact string"
+
+
+def accept_batch(batch: DataFrame, seen: DataFrame, id_col: str, newest: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, new state) of one batch of a stream of deliveries.
+
+    A row is accepted if its number is in no range of ``seen`` (schema ``SEEN``) and it is the
+    newest of its batch; what an earlier batch accepted stays. Numbers meet only the ranges of
+    their own block, at most 2^13 of them. Malformed identifiers are looked up by their text; rows
+    without an identifier are all accepted. The state has a row for each range, not each number.
+    """
+    producer, seq, exact = identifier_parts(batch, id_col)
+    tagged = batch.withColumns({_PRODUCER: producer, _SEQ: seq, _EXACT: exact, "__tl_block": F.shiftright(seq, BLOCK_BITS), _ROW: F.xxhash64(*batch.columns)})
+    order = [F.desc_nulls_last(c) for c in newest] + [F.asc(_ROW)]
+    nameless = tagged.filter(F.col(_SEQ).isNull() & F.col(_EXACT).isNull())
+    named = tagged.filter(F.col(_SEQ).isNotNull() | F.col(_EXACT).isNotNull())
+    first = named.withColumn("__tl_rn", F.row_number().over(Window.partitionBy(_PRODUCER, _SEQ, _EXACT).orderBy(*order))).filter("__tl_rn = 1")
+    s = seen.select(*[F.col(c).alias(f"s_{c}") for c in ("producer", "block", "lo", "hi", "exact")])
+    numbered = first.filter(F.col(_SEQ).isNotNull()).join(
+        s.filter("s_lo is not null"),
+        (F.col(_PRODUCER) == F.col("s_producer")) & (F.col("__tl_block") == F.col("s_block")) & F.col(_SEQ).between(F.col("s_lo"), F.col("s_hi")),
+        "left_anti",
+    )
+    odd = first.filter(F.col(_SEQ).isNull()).join(s.filter("s_exact is not null"), F.col(_EXACT) == F.col("s_exact"), "left_anti")
+    accepted = numbered.unionByName(odd).drop("__tl_rn")
+    points = accepted.select(F.col(_PRODUCER).alias("producer"), F.col("__tl_block").alias("block"), F.col(_SEQ).alias("lo"), F.col(_SEQ).alias("hi"), F.col(_EXACT).alias("exact"))
+    every = seen.unionByName(points)
+    line = Window.partitionBy("producer", "block").orderBy("lo")
+    ranges = every.filter("lo is not null").withColumn("new", F.when(F.col("lo") <= F.max("hi").over(line.rowsBetween(Window.unboundedPreceding, -1)) + 1, 0).otherwise(1))
+    merged = (
+        ranges.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("producer", "block", "run")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .select("producer", "block", "lo", "hi", F.lit(None).cast("string").alias("exact"))
+    )
+    return accepted.unionByName(nameless).select(*batch.columns), merged.unionByName(every.filter("exact is not null"))
+
+
 def seen_ranges(df: DataFrame, id_col: str) -> DataFrame:
     """The disjoint ranges of numbers seen: (producer string, lo, hi, n_numbers longs).
 
     Islands are found per block of numbers, where any block is bounded by its width, then islands
     that touch across blocks are joined. Malformed and null identifiers are in no range.
     """
-    from pyspark.sql import Window
-
     producer, seq, _ = identifier_parts(df, id_col)
     numbers = df.select(producer.alias("producer"), seq.alias("seq")).filter(F.col("seq").isNotNull()).distinct()
     block = Window.partitionBy("producer", F.shiftright("seq", BLOCK_BITS)).orderBy("seq")
