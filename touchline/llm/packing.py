@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Documents that one task packs at a time; a document's shard is a hash, so all are about as large.
 SHARD_ROWS = 50_000
 #: Sizes that the configurations are made of, and the share of the capacity up to which an item is small.
-GROUPS, SMALL = 40, 1 / 8
+GROUPS, SMALL = 120, 1 / 8
 #: Steps into which a capacity is divided when configurations are searched.
 STEPS = 4096
 
@@ -83,33 +83,46 @@ def pack(tokens: np.ndarray, capacity: int, groups: int = GROUPS, small: float =
     """The container of each item; no item may exceed the capacity.
 
     Large items, sorted by size, form groups of equal number, and count as the largest of their
-    group. Configurations of these few sizes are optimised and real items put in their places.
-    Small items, from the largest down, then each go where they leave the least room, or open a
-    container where they fit nowhere.
+    group. Configurations of these few sizes are optimised and real items put in their places, the
+    last place of a container taking the largest item that fits. What is left, small items above
+    all, goes from the largest down where it leaves the least room, or opens a container where it
+    fits nowhere.
     """
     place = np.full(len(tokens), -1, np.int64)
     room: list[int] = []
     large = np.flatnonzero(tokens > capacity * small)
     if large.size:
         large = large[np.argsort(-tokens[large], kind="stable")]
-        group = np.arange(large.size) * min(groups, large.size) // large.size
+        changes = np.r_[True, np.diff(tokens[large]) != 0]
+        # few sizes need no rounding
+        group = np.cumsum(changes) - 1 if changes.sum() <= groups else np.arange(large.size) * groups // large.size
         rounded = np.maximum.reduceat(tokens[large], np.flatnonzero(np.r_[True, np.diff(group) > 0]))
         unit = max(1, -(-capacity // STEPS))
         steps = capacity // unit
         scaled = np.minimum(-(-rounded // unit), steps)
         size, kind = np.unique(scaled, return_inverse=True)
-        kind = kind[group]
-        queues = [large[kind == i][::-1].tolist() for i in range(len(size))]
-        for column, times in configurations(size, np.array([len(q) for q in queues]), steps):
-            wanted = [(i, int(n)) for i, n in enumerate(column) if n]
-            for _ in range(times):
+        most = np.minimum(size * unit, capacity).tolist()
+        demand = np.bincount(kind[group], minlength=len(size))
+        waiting: dict[int, list[int]] = {}
+        for item, n in zip(large.tolist(), tokens[large].tolist()):
+            waiting.setdefault(n, []).append(item)
+        sizes = sum(1 << n for n in waiting)  # the sizes of which an item waits
+        for column, times in configurations(size, demand, steps):
+            slots = [most[i] for i in range(len(column) - 1, -1, -1) for _ in range(column[i])]
+            for _ in range(times if sizes else 0):
                 left = capacity
-                for i, n in wanted:
-                    for _ in range(n):
-                        item = queues[i].pop()
-                        place[item] = len(room)
-                        left -= int(tokens[item])
-                room.append(left)
+                for j, limit in enumerate(slots):
+                    # a place takes the largest item of its size, the last one the largest that fits
+                    fits = sizes & ((2 << (left if j == len(slots) - 1 else min(left, limit))) - 1)
+                    if not fits:
+                        continue
+                    n = fits.bit_length() - 1
+                    place[waiting[n].pop()] = len(room)
+                    if not waiting[n]:
+                        sizes &= ~(1 << n)
+                    left -= n
+                if left < capacity:
+                    room.append(left)
     rest = np.flatnonzero(place < 0)
     rest = rest[np.argsort(-tokens[rest], kind="stable")]
     by_room: dict[int, list[int]] = {}
