@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 from touchline.operators.collect import as_json, ordered_list, payload
-from touchline.operators.sequences import islands, latest_per, next_pointers, recent_values, running_stats, tiers
+from touchline.operators.sequences import islands, latest_per, next_pointers, recent_values, running_stats, tile, tiers
 from touchline.operators.shapes import EVENTS, fan_out_events, fan_out_scopes, flatten_fixtures, flatten_metadata, unpivot_sides
 from touchline.schemas import CONFIG_TREE, FIXTURE_PAYLOAD, LEAGUE_PAYLOAD
 from pyspark.sql import functions as F
@@ -28,7 +28,8 @@ def test_latest_pointers_and_ties(spark):
     assert {(r.k, r.v) for r in latest_per(df, ["k"], ["at", "id"]).collect()} == {(1, "b"), (2, None)}
     rows = next_pointers(df, ["k"], ["at", "id"], {"v": "nv"}).collect()
     assert {(r.v, r.nv) for r in rows} == {("a", "b"), ("b", "c"), ("c", None), (None, None)}
-    assert recent_values(df, ["k"], ["at", "id"], "v", 2, "f").orderBy("k").collect()[1].f == "{NULL}"
+    ranked = latest_per(df, ["k"], ["at", "id"], 9, "r")
+    assert {(r.k, r.f) for r in recent_values(ranked, ["k"], "r", "v", 2, "f").collect()} == {(1, "{b,a}"), (2, "{NULL}")}
 
 
 def test_running_stats_round_half_up(spark):
@@ -43,6 +44,10 @@ def test_running_stats_round_half_up(spark):
 def test_tiers_split_evenly(spark):
     df = spark.createDataFrame([(1, i) for i in range(8)], "k int, v int")
     assert [r.t for r in tiers(df, ["k"], ["v"], 3, "t").orderBy("v").collect()] == [1, 1, 1, 2, 2, 2, 3, 3]
+    for n in range(1, 12):
+        few = df.unionByName(df.selectExpr("k", "v + 8 AS v")).filter(F.col("v") < n)
+        rows = tiers(few, ["k"], ["v"], 3, "t").withColumn("u", tile(F.col("v"), F.lit(n), 3)).collect()
+        assert all(r.t == r.u for r in rows) and len(rows) == n
 
 
 def test_fan_out(spark):

@@ -85,16 +85,22 @@ def running_stats(df: DataFrame, keys: list[str], order: list[str], result: str,
     ).drop("__tl_nf", "__tl_na")
 
 
-def recent_values(df: DataFrame, keys: list[str], order: list[str], value: str, n: int, out: str) -> DataFrame:
-    """The last ``n`` values of each key, newest first, as ``{a,b}`` text; null values stay in it."""
-    newest = latest_per(df.select(*keys, *order, value), keys, order, n, "__tl_r")
-    listed = newest.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__tl_r", F.col(value).alias("v")))).alias("__tl_l"))
-    return listed.select(*keys, array_text(F.transform("__tl_l", lambda x: x.v)).alias(out))
+def recent_values(df: DataFrame, keys: list[str], rank: str, value: str, n: int, out: str) -> DataFrame:
+    """Add the ``n`` newest values of the key, newest first, as ``{a,b}`` text; null values stay in it.
 
+    ``rank`` is 1 for the newest row. A window over the key, no join: at most ``n`` values a key.
+    """
+    listed = F.collect_list(F.when(F.col(rank) <= n, F.struct(F.col(rank).alias("r"), F.col(value).alias("v")))).over(Window.partitionBy(*keys))
+    return df.withColumn(out, array_text(F.transform(F.sort_array(listed), lambda x: x.v)))
 
-def tiers(df: DataFrame, keys: list[str], order: list[str], n: int, out: str) -> DataFrame:
-    """Equal-sized tiers 1..n of each key in ``order``, which should be unique for stable tiers.
 
-    NTILE by its arithmetic: rows are numbered and counted in one window of the key.
-    """
+def tiers(df: DataFrame, keys: list[str], order: list[str], n: int, out: str) -> DataFrame:
+    """Equal-sized tiers 1..n of each key in ``order``, which should be unique for stable tiers."""
     return df.withColumn(out, F.ntile(n).over(ordered(keys, order)))
+
+
+def tile(row: Column, rows: Column, n: int) -> Column:
+    """The tier 1..n of row number ``row``, from 0, among ``rows``: the first tiers are the larger by one."""
+    size, larger = F.floor(rows / n), F.pmod(rows, F.lit(n))
+    cut = larger * (size + 1)
+    return F.when(row < cut, F.floor(row / (size + 1)) + 1).otherwise(larger + F.floor((row - cut) / F.when(size > 0, size)) + 1)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from touchline.functions.columns import iso_time, letter_of, pair_key, slugify, title_words
 from touchline.operators.collect import as_json, ordered_list, payload
-from touchline.operators.sequences import islands, latest_per, next_pointers, ordered, recent_values, running_stats, tiers
-from touchline.operators.shapes import fan_out_events, fan_out_scopes, unpivot_sides
+from touchline.operators.sequences import islands, latest_per, next_pointers, ordered, recent_values, running_stats, tile
+from touchline.operators.shapes import EVENTS, fan_out_events, fan_out_scopes, unpivot_sides
 from touchline.session import read_table
 
 #: The instant that stands for "now" on the test tables.
@@ -195,8 +195,14 @@ def dim_team_standings(w: Warehouse) -> DataFrame:
 
 @model("view")
 def dim_team(w: Warehouse) -> DataFrame:
-    """Teams that have a standing, once each, so that joins on a team keep their rows' number."""
-    return w.ref("dim_team_standings").select("team_id", "api_team_id", "team_name", "team_slug", "logo_file_id").distinct()
+    """Teams that have a standing, once each, so that joins on a team keep their rows' number.
+
+    Whether a team has one needs no newest snapshot: the standings' keys are made distinct, on the
+    map side first, and that is all of them that is read.
+    """
+    teams = w.ref("stg_dim_teams").withColumn("team_name", title_words("team_name"))
+    placed = w.source("raw_league_standings").filter(F.col("league_season_id").isNotNull()).select("api_team_id").distinct()
+    return teams.join(placed, "api_team_id", "left_semi").select("team_id", "api_team_id", "team_name", slugify("team_name", "team_id").alias("team_slug"), "logo_file_id")
 
 
 @model("table")
@@ -386,8 +392,7 @@ def fact_team_stats(w: Warehouse) -> DataFrame:
     keys = ["league_season_id", "team_id"]
     base = played.withColumnsRenamed({"fulltime_result": "result", "goals_for": "goals_scored", "goals_against": "goals_conceded"})
     stats = running_stats(base, keys, _ORDER, "result", "goals_scored", "goals_conceded")
-    form = recent_values(base, keys, _ORDER, "result", 5, "recent_form")
-    return stats.join(form, keys, "left").select(
+    return recent_values(stats, keys, "recency_rank", "result", 5, "recent_form").select(
         *["fixture_id", "kickoff_utc", "team_name", "team_id", "is_home", "league_name", "league_id", "league_season_id", "country", "season"],
         *["result", "opponent_name", "opponent_id", "games_played", "wins", "draws", "losses", "points", "goals_scored", "goals_conceded"],
         *["win_rate", "draw_rate", "loss_rate", "avg_goals_for", "avg_goals_against"],
@@ -408,11 +413,31 @@ def elo_rating(w: Warehouse) -> DataFrame:
 
 @model("view")
 def int_events_with_tier(w: Warehouse) -> DataFrame:
-    """Events with the third of the season, by rating, in which the opponent stands."""
+    """Events with the third of the season, by rating, in which the opponent stands.
+
+    NTILE over all event rows in order of rating, fixture, team, event and scope, without sorting
+    them: every match of a team gives the same 42 rows in a known order, so matches are ranked and
+    a row's number follows from its match's rank and its own place among the 42.
+    """
     elo = w.ref("elo_rating").filter("snapshot_type = 'match'")
     opponent = elo.select(F.col("team_id").alias("opponent_id"), "fixture_id", "pre_elo_rating")
-    rated = w.ref("fact_team_events").join(opponent, ["opponent_id", "fixture_id"])
-    return tiers(rated, ["league_season_id"], ["pre_elo_rating", "fixture_id", "team_id", "event_name", "context_scope"], 3, "opponent_tier")
+    columns = ["league_season_id", "fixture_id", "team_id", "opponent_id", "is_home", "goals_for", "goals_against", "fulltime_result", "halftime_result"]
+    played = w.ref("fact_team_fixtures").filter("is_played").select(*columns).join(opponent, ["opponent_id", "fixture_id"])
+    ranked = played.withColumns(
+        {
+            "r": F.row_number().over(ordered(["league_season_id"], ["pre_elo_rating", "fixture_id", "team_id"])),
+            "n": F.count(F.lit(1)).over(Window.partitionBy("league_season_id")),
+        }
+    )
+    events = fan_out_events(fan_out_scopes(ranked, "is_home", "context_scope"), "goals_for", "goals_against", "fulltime_result", "halftime_result")
+    names = F.array(*map(F.lit, sorted(e[0] for e in EVENTS)))
+    each = 2 * len(EVENTS)
+    place = (F.array_position(names, F.col("event_name")) - 1) * 2 + F.when(F.col("context_scope") == "all", 0).otherwise(1)
+    row = (F.col("r") - 1) * each + place
+    return events.select(
+        *["league_season_id", "fixture_id", "team_id", "event_name", "context_scope", "event_flag"],
+        tile(row, F.col("n") * each, 3).cast("int").alias("opponent_tier"),
+    )
 
 
 _TIER = ["league_season_id", "event_name", "context_scope"]
@@ -472,9 +497,12 @@ def fact_head_to_head(w: Warehouse) -> DataFrame:
 
 @model("table")
 def fact_head_to_head_events(w: Warehouse) -> DataFrame:
-    columns = ["league_season_id", "league_name", "season", "fixture_id", "team_id", "team_name", "opponent_id", "opponent_name", "kickoff_utc"]
-    columns += ["fulltime_result", "event_name", "event_flag", "streak_type", "polarity", "is_home", "is_current", "updated_at"]
-    return w.ref("fact_team_events").select(*columns, F.col("context_scope").alias("h2h_context_scope"), "team_pair_key")
+    """Events by opponent. Rows meet their pair's task before they fan out 42 times, not after."""
+    kept = ["league_season_id", "league_name", "season", "fixture_id", "team_id", "team_name", "opponent_id", "opponent_name", "kickoff_utc"]
+    kept += ["fulltime_result", "is_home", "is_current", "updated_at", "team_pair_key"]
+    pairs = w.ref("fact_team_fixtures").filter("is_played").select(*kept, "goals_for", "goals_against", "halftime_result").repartition("team_id", "opponent_id")
+    events = fan_out_events(fan_out_scopes(pairs, "is_home", "h2h_context_scope"), "goals_for", "goals_against", "fulltime_result", "halftime_result")
+    return events.select(*kept, "event_name", "event_flag", "streak_type", "polarity", "h2h_context_scope")
 
 
 _MEETING = ["team_id", "opponent_id", "event_name", "h2h_context_scope"]
@@ -642,7 +670,7 @@ def mart_head_to_head_info(w: Warehouse) -> DataFrame:
     """Totals of the two teams of each coming fixture; null where a side's event never happened."""
     current = w.ref("mart_fixture_info").select(F.col("fixture_id").alias("current_fixture_id"), "team_pair_key", "home_team_id", "away_team_id")
     latest = w.ref("fact_head_to_head_latest").filter("h2h_context_scope = 'all'")
-    known = w.ref("fact_head_to_head_latest").select("team_pair_key").distinct()
+    known = w.ref("fact_head_to_head_events").filter("event_flag = 1").select("team_pair_key").distinct()
     of = latest.select("team_pair_key", "team_id", "event_name", "total_event_count", "total_event_flag_sum")
     home, away = F.col("team_id") == F.col("home_team_id"), F.col("team_id") == F.col("away_team_id")
     win, draw = F.col("event_name") == "win", F.col("event_name") == "draw"
