@@ -57,24 +57,30 @@ def fan_out_events(df: DataFrame, gf: str, ga: str, ft: str, ht: str) -> DataFra
     """One row per event of the catalogue: event_name, event_flag (0, 1 or null), streak_type,
     polarity, composition, threshold.
 
-    A flag is null where the goals or the result it needs are. The 21 conditions are plain
-    expressions in one generate, so the fan-out runs in generated code without a shuffle.
+    A flag is null where the goals or the result it needs are. Only the 21 flags are generated for
+    each row; what else is known of an event is looked up in constant arrays by its place, which
+    keeps the generated code small enough for the JVM to compile. No shuffle.
     """
     names = {"gf": gf, "ga": ga, "ft": ft, "ht": ht}
     stage = df.withColumns({f"__tl_{k}": F.col(v) for k, v in names.items()})
 
-    def row(name, condition, kind, polarity, composition, threshold) -> Column:
-        words = [f"__tl_{w}" if w in names else w for w in condition.replace("(", "( ").split(" ")]
-        return F.struct(
-            F.lit(name).alias("event_name"),
-            F.expr(" ".join(words)).cast("int").alias("event_flag"),
-            F.lit(kind).alias("streak_type"),
-            F.lit(polarity).cast("string").alias("polarity"),
-            F.lit(composition).cast("string").alias("composition"),
-            F.lit(threshold).cast("int").alias("threshold"),
-        )
-
-    return stage.select(*df.columns, F.inline(F.array(*[row(*e) for e in EVENTS])))
+    def flag(condition: str) -> Column:
+        words = [f"__tl_{w}" if w in names else w for w in condition.split(" ")]
+        return F.expr(" ".join(words)).cast("int")
+
+    def known(i: int, kind: str) -> Column:
+        return F.get(F.array(*[F.lit(e[i]).cast(kind) for e in EVENTS]), F.col("__tl_event"))
+
+    flags = stage.select(*df.columns, F.posexplode(F.array(*[flag(e[1]) for e in EVENTS])).alias("__tl_event", "event_flag"))
+    return flags.select(
+        *df.columns,
+        known(0, "string").alias("event_name"),
+        "event_flag",
+        known(2, "string").alias("streak_type"),
+        known(3, "string").alias("polarity"),
+        known(4, "string").alias("composition"),
+        known(5, "int").alias("threshold"),
+    )
 
 
 def flatten_fixtures(payload: DataFrame) -> tuple[DataFrame, DataFrame]:
