@@ -1,10 +1,12 @@
+import os
 import random
 from bisect import bisect_left, insort
 
 import numpy as np
 import pytest
 
-from touchline.llm.packing import configurations, containers, pack, pack_documents, packing_report
+from touchline.llm.packing import combine_texts, configurations, containers, pack, pack_documents, packing_report
+from touchline.llm.tokens import VOCABULARY, token_count
 
 
 @pytest.mark.parametrize("capacity", [100, 512, 8192, 50_000])
@@ -77,3 +79,23 @@ def test_empty(spark):
     empty = spark.createDataFrame([], DDL)
     assert pack_documents(empty, "doc_id", "n_tokens", LIMITS).count() == 0
     assert pack_documents(empty, "doc_id", "n_tokens", []).count() == 0
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
+def test_texts_come_back_whole(spark):
+    texts = ["one two three", "", None, "Καλημέρα κόσμε " * 60, "日本語のとても長い文 😀" * 40, "x y" * 5]
+    df = spark.createDataFrame([(i, t, "l", 0) for i, t in enumerate(texts)], "doc_id bigint, t string, l string, piece int")
+    sizes = df.select("doc_id", token_count("t").alias("n_tokens"))
+    packed = pack_documents(sizes, "doc_id", "n_tokens", [("s", 50), ("m", 300)])
+    rows = combine_texts(packed, df, "doc_id", "t", between="\0").collect()
+    parts = packed.collect()
+    for profile in ("s", "m"):
+        held = {r.container_id: r.text.split("\0") for r in rows if r.profile == profile}
+        pieces = {}
+        for c, listed in held.items():
+            order = sorted((r.doc_id, r.piece) for r in parts if r.profile == profile and r.container_id == c)
+            assert len(order) == len(listed)
+            pieces |= dict(zip(order, listed))
+        for i, t in enumerate(texts):
+            if t is not None:
+                assert "".join(pieces[k] for k in sorted(pieces) if k[0] == i) == t

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from touchline.llm.tokens import VOCABULARY, encoder
+
 #: Documents that one task packs at a time; a document's shard is a hash, so all are about as large.
 SHARD_ROWS = 50_000
 #: Sizes that the configurations are made of, and the share of the capacity up to which an item is small.
@@ -217,6 +219,47 @@ def pack_documents(
     return items.groupBy("profile", "capacity", "shard").applyInArrow(fill, out)
 
 
+def combine_texts(packed: DataFrame, documents: DataFrame, id_col: str, text: str, vocabulary: str = VOCABULARY, between: str = "\n") -> DataFrame:
+    """One row per container with its texts: profile, capacity, container_id, n_texts, n_tokens, text.
+
+    Texts follow one another in order of document and piece, with ``between`` between them. A
+    document that was divided is cut where its tokens are, at the start of the character in which
+    a cut falls, so that its pieces in order are the whole text again. Texts move twice, to their
+    pieces and to their container; a container's text is bounded by its capacity. Of documents
+    with equal ids the least text serves for all their pieces.
+    """
+    texts = documents.filter(F.col(text).isNotNull()).groupBy(id_col).agg(F.min(text).alias("t"))
+
+    def cut(body: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
+        encoding = encoder(vocabulary)
+        known: dict[str, tuple[bytes, np.ndarray]] = {}  # each text of the batch is encoded once
+        out = []
+        for t, a, b in zip(body.to_pylist(), start.to_pylist(), end.to_pylist()):
+            if t not in known:
+                sizes = [len(x) for x in encoding.decode_tokens_bytes(encoding.encode_ordinary(t))]
+                known[t] = t.encode(), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+            raw, ends = known[t]
+            at = [int(ends[a]), int(ends[b])]
+            for i in (0, 1):
+                while at[i] < len(raw) and raw[at[i]] & 0xC0 == 0x80:
+                    at[i] -= 1
+            out.append(raw[at[0] : at[1]].decode())
+        return pa.array(out, pa.string())
+
+    cut.__annotations__ = {"body": pa.Array, "start": pa.Array, "end": pa.Array, "return": pa.Array}
+    joined = packed.join(texts, id_col)
+    # pieces of more than one are few: a token span that isn't the whole text needs the tokenizer
+    divided = packed.filter("piece > 0").select(id_col).distinct().withColumn("d", F.lit(True))
+    known = joined.join(divided, id_col, "left")
+    whole = known.filter("d is null")
+    cuts = known.filter("d is not null").withColumn("t", F.arrow_udf(cut, T.StringType())("t", "token_from", "token_to"))
+    pieces = whole.unionByName(cuts)
+    item = F.struct(F.col(id_col).alias("i"), F.col("piece").alias("p"), F.col("t").alias("t"))
+    grouped = pieces.groupBy("profile", "capacity", "container_id").agg(F.sort_array(F.collect_list(item)).alias("l"), F.sum("n_tokens").alias("n_tokens"))
+    body = F.array_join(F.transform("l", lambda x: x.t), between)
+    return grouped.select("profile", "capacity", "container_id", F.size("l").alias("n_texts"), "n_tokens", body.alias("text"))
+
+
 def packing_report(packed: DataFrame) -> DataFrame:
     """For each profile: containers, tokens, share of room used, and the least number of containers.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.mixing import mix, mixing_rates, mixing_report
-from touchline.llm.packing import containers, pack_documents, packing_report
+from touchline.llm.packing import combine_texts, containers, pack_documents, packing_report
 from touchline.llm.runs import collapse_runs
 from touchline.llm.tokens import token_count
 from touchline.llm.topn import latest_of_key, top_n
@@ -86,6 +86,11 @@ def p6_containers(spark: SparkSession, root: str) -> DataFrame:
     return containers(_packed(spark, root), "doc_id")
 
 
+def p6_texts(spark: SparkSession, root: str) -> DataFrame:
+    packed = materialise(_packed(spark, root), "packed")
+    return combine_texts(packed, read_table(spark, root, "documents"), "doc_id", "text")
+
+
 def p6_report(spark: SparkSession, root: str) -> DataFrame:
     return packing_report(_packed(spark, root))
 
@@ -116,6 +121,7 @@ QUERIES = {
     "p5_series": p5_series,
     "p6_pack": p6_pack,
     "p6_containers": p6_containers,
+    "p6_texts": p6_texts,
     "p6_report": p6_report,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
