@@ -62,6 +62,13 @@ def test_one_state_over_many_slices(spark):
     assert [(r.valid_from, r.valid_to) for r in found] == [(T0, None)]
 
 
+def test_many_copies_of_one_instant(spark):
+    rows = [(1, "a", T0, T0 + timedelta(hours=i % 7), i % 7, "W", "x", i) for i in range(500)] + _rows(200, 5)
+    found = entity_history(spark.createDataFrame(rows, DDL), ["e", "f"], "at", "created", ["rank", "form"], min_hot_rows=40).collect()
+    got = {(r.e, r.f, r.rank, r.form, r.valid_from, r.valid_to) for r in found}
+    assert got == _brute(rows) and len(got) == len(found)
+
+
 def test_empty(spark):
     assert entity_history(spark.createDataFrame([], DDL), ["e", "f"], "at", "created", ["rank", "form"]).count() == 0
 

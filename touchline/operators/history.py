@@ -178,7 +178,8 @@ def entity_history(
     then opens the k runs of its partition and merges their iterators; it holds one batch of each
     run and the open version, never a history. The history of an entity with more rows than a
     fair share is cut into slices of time, which different tasks merge, and versions that go on
-    across a cut are joined from the slices' first and last versions alone.
+    across a cut are joined from the slices' first and last versions alone. Copies of one snapshot
+    of such an entity, even a third of all rows, are combined before they are shuffled.
 
     Null key values form an entity of their own, as in GROUP BY. Rows with a null ``at`` have no
     place in time and are left out. Null payloads are equal only to null. Empty input: no rows.
@@ -206,10 +207,12 @@ def entity_history(
         }
     )
     kept = [*name, *value, "__tl_e", "__tl_slice", _SEG, _T, _D, _H]
+    ordered = ordered.select(*kept, "__tl_bucket", "__tl_run")
+    if cut:  # copies of one snapshot of a heavy entity shrink to one row on the map side
+        ordered = ordered.filter("__tl_slice = 0").unionByName(_newest_of_instant(ordered.filter("__tl_slice > 0"), name, value))
     path = new_shared_path(spark, "runs")
     (
-        ordered.select(*kept, "__tl_bucket", "__tl_run")
-        .repartitionById(parts, F.col("__tl_bucket"))
+        ordered.repartitionById(parts, F.col("__tl_bucket"))
         .sortWithinPartitions("__tl_bucket", "__tl_run", _SEG, _T, _D, _H)
         .write.partitionBy("__tl_bucket", "__tl_run")
         .parquet(path)
@@ -242,6 +245,13 @@ def entity_history(
     )
 
 
+def _newest_of_instant(rows: DataFrame, name: list[str], value: list[str]) -> DataFrame:
+    """Of each entity and time the row that counts, by an aggregate that combines before it shuffles."""
+    keys = [*name, "__tl_e", "__tl_slice", _SEG, _T, "__tl_bucket"]
+    best = rows.groupBy(*keys).agg(F.max(F.struct(_D, _H, *value, "__tl_run")).alias("r"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"r.{c}").alias(c) for c in rows.columns])
+
+
 def _join_slices(versions: DataFrame, value: list[str]) -> DataFrame:
     """Join versions that go on across the cuts of sliced entities.
 

@@ -23,13 +23,12 @@ def islands(df: DataFrame, keys: list[str], order: list[str], flag: str, positio
     next row open one. ``order`` should be unique within ``keys``.
     """
     w = ordered(keys, order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     numbered = df.withColumns({position: F.row_number().over(w), "__tl_prev": F.lag(flag, 1, 0).over(w)})
-    opens = F.when((F.col(flag) == 1) & (F.col("__tl_prev") == 0), 1).otherwise(0)
-    running = Window.partitionBy(*keys).orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    opened = numbered.withColumn(island, F.sum(opens).over(running)).drop("__tl_prev")
-    # the first position of an island is a plain aggregate of the same partitioning
-    inside = Window.partitionBy(*keys, island).orderBy(position)
-    return opened.withColumn(length, F.row_number().over(inside))
+    opens = (F.col(flag) == 1) & (F.col("__tl_prev") == 0)
+    # all windows share one order, so the rows are sorted once; a length counts from the last opening
+    start = F.coalesce(F.max(F.when(opens, F.col(position))).over(so_far), F.lit(1))
+    return numbered.withColumns({island: F.sum(F.when(opens, 1).otherwise(0)).over(so_far), length: F.col(position) - start + 1}).drop("__tl_prev")
 
 
 def latest_per(df: DataFrame, keys: list[str], order: list[str], n: int = 1, rank: str | None = None) -> DataFrame:
