@@ -67,6 +67,15 @@ def test_seen_ranges_join_across_blocks(spark):
     assert sorted((r.lo, r.hi, r.n_numbers) for r in seen_ranges(df, "id").collect()) == [(16_380, 16_389, 10), (20_000, 20_001, 2), (40_000, 40_000, 1)]
 
 
+def test_seen_ranges_join_at_every_level(spark):
+    ids = [b + d for b in (1 << 14, 1 << 28, 1 << 42, 1 << 56, 3 << 56, 1 << 62) for d in (-2, -1, 0, 1)] + [7, (1 << 63) - 1]
+    df = spark.createDataFrame([(i,) for i in ids], "id bigint")
+    want = [(b - 2, b + 1) for b in (1 << 14, 1 << 28, 1 << 42, 1 << 56, 3 << 56, 1 << 62)] + [(7, 7), ((1 << 63) - 1,) * 2]
+    assert sorted((r.lo, r.hi) for r in seen_ranges(df, "id").collect()) == sorted(want)
+    whole = spark.range(5, 70_000).withColumnRenamed("id", "n").selectExpr("concat('p', n) AS id")
+    assert [tuple(r) for r in seen_ranges(whole, "id").collect()] == [("p", 5, 69_999, 69_995)]
+
+
 def test_batches_accept_once(spark):
     rnd = random.Random(8)
     seen, accepted, every = spark.createDataFrame([], SEEN), [], set()

@@ -186,22 +186,28 @@ def accept_batch(batch: DataFrame, seen: DataFrame, id_col: str, newest: list[st
 def seen_ranges(df: DataFrame, id_col: str) -> DataFrame:
     """The disjoint ranges of numbers seen: (producer string, lo, hi, n_numbers longs).
 
-    Islands are found per block of numbers, where any block is bounded by its width, then islands
-    that touch across blocks are joined. Malformed and null identifiers are in no range.
+    Islands are found in blocks of 2^14 numbers, then joined in blocks of 2^28, 2^42, 2^56 and all:
+    at each level only ranges that touch the edge of a smaller block can meet another, at most two
+    for each of these, so no task has more than 2^15 ranges to join however many a producer has;
+    all others are spread evenly. Malformed and null identifiers are in no range.
     """
     producer, seq, _ = identifier_parts(df, id_col)
     numbers = df.select(producer.alias("producer"), seq.alias("seq")).filter(F.col("seq").isNotNull()).distinct()
     block = Window.partitionBy("producer", F.shiftright("seq", BLOCK_BITS)).orderBy("seq")
-    islands = (
+    ranges = (
         numbers.withColumn("island", F.col("seq") - F.row_number().over(block))
         .groupBy("producer", F.shiftright("seq", BLOCK_BITS).alias("block"), "island")
         .agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+        .select("producer", "lo", "hi")
     )
-    line = Window.partitionBy("producer").orderBy("lo")
-    chained = islands.withColumn("new", F.when(F.lag("hi").over(line) + 1 == F.col("lo"), 0).otherwise(1))
-    return (
-        chained.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("producer", "run")
-        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        .select("producer", "lo", "hi", (F.col("hi") - F.col("lo") + 1).alias("n_numbers"))
-    )
+    for bits in range(BLOCK_BITS, 64, BLOCK_BITS):
+        below = F.lit((1 << bits) - 1)
+        edge = (F.col("lo").bitwiseAND(below) == 0) | (F.col("hi").bitwiseAND(below) == below)
+        wider = F.shiftright("lo", bits + BLOCK_BITS) if bits + BLOCK_BITS < 63 else F.lit(0).cast("long")
+        # a range away from every edge has a group of its own
+        placed = ranges.withColumns({"block": wider, "own": F.when(edge, -1).otherwise(F.col("lo"))})
+        line = Window.partitionBy("producer", "block", "own").orderBy("lo")
+        opens = F.when(F.lag("hi").over(line) + 1 == F.col("lo"), 0).otherwise(1)
+        runs = placed.withColumn("new", opens).withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+        ranges = runs.groupBy("producer", "block", "own", "run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("producer", "lo", "hi")
+    return ranges.withColumn("n_numbers", F.col("hi") - F.col("lo") + 1)

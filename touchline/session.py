@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 
@@ -86,12 +85,3 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = new_shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def local_path(uri: str) -> str | None:
-    """The file-system path of a ``file:`` URI, or None for another scheme."""
-    if uri.startswith("file://"):
-        return uri[len("file://") :]
-    if uri.startswith("file:"):
-        return uri[len("file:") :]
-    return uri if os.path.isabs(uri) else None
