@@ -25,6 +25,20 @@ def latest_of_key(df: DataFrame, keys: list[str], at: str, columns: list[str]) -
     return found.select(*keys, *[F.col(f"__tl_best.c{i}").alias(c) for i, c in enumerate(columns)])
 
 
+def _bounds_of(df: DataFrame, group: str, found: list) -> Column:
+    """The cut points of a row's group, from (group, points) rows, as a constant map."""
+    kind = df.schema[group].dataType
+
+    def points(values) -> Column:
+        return F.array(*map(F.lit, values or [])).cast("array<double>")
+
+    known = [(k, b) for k, b in found if k is not None]
+    table = F.map_from_arrays(F.array(*[F.lit(k).cast(kind) for k, _ in known]), F.array(*[points(b) for _, b in known])) if known else None
+    missing = next((b for k, b in found if k is None), None)
+    of_null = F.when(F.col(group).isNull(), points(missing))
+    return of_null if table is None else of_null.otherwise(F.try_element_at(table, F.col(group)))
+
+
 def top_n(
     df: DataFrame,
     group: str,
@@ -44,7 +58,8 @@ def top_n(
     holds more than a fair partition, rows are sorted in ranges of the score (cut at approximate
     quantiles of that group, which decides only balance), and ranges that ties make large are
     salted by a hash of the row. Each (range, salt) yields its first n, and the group's first n
-    come from these. At most as many groups as there are shuffle partitions can be heavy. Counts
+    come from these. At most as many groups as there are shuffle partitions can be heavy, so their
+    cut points go into the plan as constants. Counts
     may be taken from ``counts_of``, the rows before cheap filters, which saves a pass.
 
     The null group is a group. Null scores sort as ``order`` says; NaN is the largest number.
@@ -67,13 +82,13 @@ def top_n(
         pieces = max(2, min(64, parts))
         cuts = [i / pieces for i in range(1, pieces)]
         quantiles = (counts_of if counts_of is not None else df).filter(is_heavy).groupBy(group)
-        bounds = quantiles.agg(F.percentile_approx(F.col(score).cast("double"), cuts, 1000).alias("__tl_b")).withColumnRenamed(group, "__tl_g")
-        ranged = big.join(F.broadcast(bounds), F.col(group).eqNullSafe(F.col("__tl_g")), "left").withColumns(
+        found = quantiles.agg(F.percentile_approx(F.col(score).cast("double"), cuts, 1000)).collect()
+        ranged = big.withColumns(
             {
-                _RANGE: F.coalesce(F.size(F.filter(F.col("__tl_b"), lambda b: b < F.col(score).cast("double"))), F.lit(-1)),
+                _RANGE: F.coalesce(F.size(F.filter(_bounds_of(df, group, found), lambda b: b < F.col(score).cast("double"))), F.lit(-1)),
                 _SALT: F.pmod(F.xxhash64(*df.columns), F.lit(min(parts, 16))),
             }
         )
-        candidates = first_n(ranged.drop("__tl_b", "__tl_g"), [group, _RANGE, _SALT], _RN)
+        candidates = first_n(ranged, [group, _RANGE, _SALT], _RN)
         light = light.unionByName(first_n(candidates.drop(_RN, _RANGE, _SALT), [group], named))
     return light if rank else light.drop(_RN)
