@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from touchline.llm.packing import combine_texts, configurations, containers, pack, pack_documents, packing_report
-from touchline.llm.tokens import VOCABULARY, token_count
+from touchline.llm.tokens import VOCABULARY, token_count, token_sizes
 
 
 @pytest.mark.parametrize("capacity", [100, 512, 8192, 50_000])
@@ -99,3 +99,22 @@ def test_texts_come_back_whole(spark):
         for i, t in enumerate(texts):
             if t is not None:
                 assert "".join(pieces[k] for k in sorted(pieces) if k[0] == i) == t
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
+def test_combined_texts_fit_the_capacity(spark):
+    rnd = random.Random(5)
+    words = ["one", "two ", "Καλημέρα", "日本語", "😀", "𓀀𓁐", "\r\n", "\n\n", "42", "--", "…"]
+    rows = [(i, " ".join(rnd.choices(words, k=rnd.choice([0, 1, 3, 8, 20, 90])))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, t string")
+    sizes = df.select("doc_id", token_sizes("t").alias("s")).select("doc_id", "s.*")
+    assert sizes.select("n_tokens").collect() == df.select(token_count("t").alias("n_tokens")).collect()
+    packed = pack_documents(sizes, "doc_id", "n_tokens", [("s", 25), ("m", 120)], inside="inside")
+    combined = combine_texts(packed, df, "doc_id", "t").withColumn("real", token_count("text")).collect()
+    assert all(r.real <= r.capacity for r in combined)
+    for profile in ("s", "m"):
+        held = sorted(x for r in combined if r.profile == profile for x in r.text.replace("\n", ""))
+        assert held == sorted(x for _, t in rows for x in t.replace("\n", ""))
+    unused = {(r.profile, r.container_id): r.unused for r in containers(packed, "doc_id").collect()}
+    assert all(unused[r.profile, r.container_id] == r.capacity - r.n_tokens - (r.n_texts - 1) >= 0 for r in combined)
+    assert all(r.text_share < r.used_share <= 1 and r.n_containers >= r.least_containers for r in packing_report(packed).collect())

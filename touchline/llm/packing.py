@@ -151,8 +151,21 @@ def pack(tokens: np.ndarray, capacity: int, groups: int = GROUPS, small: float =
     return place
 
 
+def _cuts(n: int, capacity: int, inside: set[int]) -> list[int]:
+    """Where the pieces of a text begin, and its end: full containers, but for cuts that would fall in a character."""
+    if not inside:
+        return [*range(0, n, capacity), n]
+    cuts = [0]
+    while n - cuts[-1] > capacity:
+        full = at = cuts[-1] + capacity
+        while at in inside and at - 1 > cuts[-1]:
+            at -= 1
+        cuts.append(full if at in inside else at)
+    return [*cuts, n]
+
+
 def pack_documents(
-    sizes: DataFrame, id_col: str, tokens: str, limits: list[tuple[str, int]], shard_rows: int = SHARD_ROWS
+    sizes: DataFrame, id_col: str, tokens: str, limits: list[tuple[str, int]], shard_rows: int = SHARD_ROWS, inside: str | None = None, between: int = 1
 ) -> DataFrame:
     """Documents in containers: one row per document, or per piece of one that exceeds a container.
 
@@ -161,7 +174,10 @@ def pack_documents(
     pairs; those with a null or a capacity below one are passed over.
 
     A text above the capacity is divided into full containers and a rest that is packed like any
-    other item; others are never divided. Documents spread by hash over shards of about
+    other item; others are never divided. ``inside`` names an array column with the token positions
+    within a character (``token_sizes``); such a cut moves before that character, so that no piece
+    gains tokens by being encoded again. What stands between the texts of a container takes
+    ``between`` tokens of its room each time. Documents spread by hash over shards of about
     ``shard_rows``, however uneven their sizes or repeated their ids, and each shard is packed for
     each profile by itself; only the last containers of a shard can stay open, so sharding costs
     next to nothing. A null size is left out, an empty text takes a place of no tokens. Equal ids
@@ -181,29 +197,35 @@ def pack_documents(
             T.StructField("n_tokens", T.LongType()),
         ]
     )
-    known = sizes.filter(F.col(tokens) >= 0).select(F.col(id_col).alias("id"), F.col(tokens).cast("long").alias("n"))
+    marks = (F.col(inside) if inside else F.lit(None)).cast("array<int>").alias("inside")
+    known = sizes.filter(F.col(tokens) >= 0).select(F.col(id_col).alias("id"), F.col(tokens).cast("long").alias("n"), marks)
     if not limits:
         return sizes.sparkSession.createDataFrame([], out)
     shards = max(1, -(-known.count() // shard_rows))
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(c).alias("capacity")) for p, c in limits])).alias("limit")
     spread = known.withColumn("shard", F.pmod(F.xxhash64("id", "n", F.monotonically_increasing_id()), F.lit(shards)))
-    items = spread.select("id", "n", "shard", each).select("id", "n", "shard", "limit.profile", "limit.capacity")
+    divided = F.when(F.col("n") > F.col("limit.capacity"), F.col("inside")).alias("inside")
+    items = spread.select("id", "n", "inside", "shard", each).select("id", "n", "shard", "limit.profile", "limit.capacity", divided)
     wanted = to_arrow_schema(out)
 
     def fill(table: pa.Table) -> pa.Table:
         ids, n = table["id"].combine_chunks(), np.asarray(table["n"]).astype(np.int64)
         capacity, shard = table["capacity"][0].as_py(), table["shard"][0].as_py()
-        full = n // capacity
-        rest = n - full * capacity
-        packed = np.flatnonzero((rest > 0) | (n == 0))  # what isn't a full container
+        long = np.flatnonzero(n > capacity)
+        cuts = [_cuts(n[d].item(), capacity, set(x or ())) for d, x in zip(long, table["inside"].take(pa.array(long)).to_pylist())]
+        full = np.zeros(len(n), np.int64)
+        full[long] = [len(c) - 2 for c in cuts]
+        last = np.zeros(len(n), np.int64)  # where a text's last piece begins
+        last[long] = [c[-2] for c in cuts]
         full_doc = np.repeat(np.arange(len(n)), full)
         full_piece = np.arange(full_doc.size) - np.repeat(np.cumsum(full) - full, full)
-        place = pack(rest[packed], capacity)
-        doc = np.concatenate((full_doc, packed))
-        piece = np.concatenate((full_piece, full[packed]))
+        # a text and what stands before the next one; the last text of a container needs no such room
+        place = pack(n - last + between, capacity + between)
+        doc = np.concatenate((full_doc, np.arange(len(n))))
+        piece = np.concatenate((full_piece, full))
         container = np.concatenate((np.arange(full_doc.size), full_doc.size + place)) + (shard << 32)
-        start = piece * capacity
-        end = np.minimum(start + capacity, n[doc])
+        start = np.concatenate((np.array([x for c in cuts for x in c[:-2]], np.int64), last))
+        end = np.concatenate((np.array([x for c in cuts for x in c[1:-1]], np.int64), n))
         columns = [
             pa.repeat(table["profile"][0], doc.size),
             pa.repeat(table["capacity"][0], doc.size),
@@ -222,7 +244,8 @@ def pack_documents(
 def combine_texts(packed: DataFrame, documents: DataFrame, id_col: str, text: str, vocabulary: str = VOCABULARY, between: str = "\n") -> DataFrame:
     """One row per container with its texts: profile, capacity, container_id, n_texts, n_tokens, text.
 
-    Texts follow one another in order of document and piece, with ``between`` between them. A
+    Texts follow one another in order of document and piece, with ``between`` between them, for
+    which ``pack_documents`` has to leave its tokens; n_tokens are those of the texts alone. A
     document that was divided is cut where its tokens are, at the start of the character in which
     a cut falls, so that its pieces in order are the whole text again. Texts move twice, to their
     pieces and to their container; a container's text is bounded by its capacity. Of documents
@@ -260,11 +283,12 @@ def combine_texts(packed: DataFrame, documents: DataFrame, id_col: str, text: st
     return grouped.select("profile", "capacity", "container_id", F.size("l").alias("n_texts"), "n_tokens", body.alias("text"))
 
 
-def packing_report(packed: DataFrame) -> DataFrame:
+def packing_report(packed: DataFrame, between: int = 1) -> DataFrame:
     """For each profile: containers, tokens, share of room used, and the least number of containers.
 
-    Returns profile, capacity, n_containers, n_pieces, n_tokens, least_containers (tokens over
-    capacity, rounded up) as longs, and used_share double.
+    Returns profile, capacity, n_containers, n_pieces, n_tokens, least_containers (room that the
+    pieces need over the room there is, rounded up) as longs, used_share double, of the texts and
+    the ``between`` tokens from each to the next, and text_share double, of the texts alone.
     """
     by_container = packed.groupBy("profile", "capacity", "container_id").agg(
         F.count(F.lit(1)).alias("k"), F.sum("n_tokens").alias("t")
@@ -272,15 +296,19 @@ def packing_report(packed: DataFrame) -> DataFrame:
     totals = by_container.groupBy("profile", "capacity").agg(
         F.count(F.lit(1)).alias("n_containers"), F.sum("k").alias("n_pieces"), F.sum("t").alias("n_tokens")
     )
-    least = F.ceil(F.col("n_tokens") / F.col("capacity"))
-    used = F.col("n_tokens") / (F.col("n_containers") * F.col("capacity"))
-    return totals.withColumns({"least_containers": least, "used_share": used})
+    # each container has room for one separator that its last piece doesn't need
+    least = F.ceil((F.col("n_tokens") + between * F.col("n_pieces")) / (F.col("capacity") + between))
+    room = F.col("n_containers") * F.col("capacity")
+    used = (F.col("n_tokens") + between * (F.col("n_pieces") - F.col("n_containers"))) / room
+    return totals.withColumns({"least_containers": least, "used_share": used, "text_share": F.col("n_tokens") / room})
 
 
-def containers(packed: DataFrame, id_col: str) -> DataFrame:
-    """One row per container: its pieces in order, tokens and unused room."""
+def containers(packed: DataFrame, id_col: str, between: int = 1) -> DataFrame:
+    """One row per container: its pieces in order, their tokens, and the room that they and the
+    ``between`` tokens from each to the next leave unused.
+    """
     piece = F.struct(F.col(id_col), "piece", "token_from", "token_to")
     grouped = packed.groupBy("profile", "capacity", "container_id").agg(
         F.sort_array(F.collect_list(piece)).alias("pieces"), F.sum("n_tokens").alias("n_tokens")
     )
-    return grouped.withColumn("unused", F.col("capacity") - F.col("n_tokens"))
+    return grouped.withColumn("unused", F.col("capacity") - F.col("n_tokens") - between * (F.size("pieces") - 1))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from touchline.llm.mixing import mix, mixing_rates, mixing_report
 from touchline.llm.packing import combine_texts, containers, pack_documents, packing_report
 from touchline.llm.runs import collapse_runs
-from touchline.llm.tokens import token_count
+from touchline.llm.tokens import token_count, token_sizes
 from touchline.llm.topn import latest_of_key, top_n
 from touchline.llm.visual import look_alike_classes, look_alike_pairs
 from touchline.plans.problems import kept_fixtures
@@ -75,7 +75,9 @@ def _sizes(spark: SparkSession, root: str) -> DataFrame:
 
 def _packed(spark: SparkSession, root: str) -> DataFrame:
     limits = [(r["profile"], r["capacity_tokens"]) for r in read_table(spark, root, "pack_limits").select("profile", "capacity_tokens").collect()]
-    return pack_documents(_sizes(spark, root), "doc_id", "n_tokens", limits)
+    documents = read_table(spark, root, "documents")
+    sizes = materialise(documents.select("doc_id", token_sizes("text").alias("s")).select("doc_id", "s.n_tokens", "s.inside"), "sizes")
+    return pack_documents(sizes, "doc_id", "n_tokens", limits, inside="inside")
 
 
 def p6_pack(spark: SparkSession, root: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _ENCODERS: dict = {}
+_WITHIN: dict = {}
 
 
 def encoder(vocabulary: str = VOCABULARY):
@@ -37,3 +39,32 @@ def token_count(text: Column | str, vocabulary: str = VOCABULARY) -> Column:
 
     count.__annotations__ = {"column": pa.Array, "return": pa.Array}
     return F.arrow_udf(count, T.IntegerType())(F.col(text) if isinstance(text, str) else text)
+
+
+def _within(vocabulary: str) -> np.ndarray:
+    """For each token, whether its first byte continues a character."""
+    if vocabulary not in _WITHIN:
+        encoding = encoder(vocabulary)
+        _WITHIN[vocabulary] = np.zeros(encoding.n_vocab, bool)
+        for token, i in encoding._mergeable_ranks.items():
+            _WITHIN[vocabulary][i] = token[0] & 0xC0 == 0x80
+    return _WITHIN[vocabulary]
+
+
+def token_sizes(text: Column | str, vocabulary: str = VOCABULARY) -> Column:
+    """(n_tokens int, inside array<int>) of each whole text; null for null.
+
+    ``inside`` are the positions of tokens that begin within a character, where a text can't be cut.
+    """
+
+    def measure(column: pa.Array) -> pa.Array:
+        encode, within = encoder(vocabulary).encode_ordinary, _within(vocabulary)
+        out = []
+        for x in column.to_pylist():
+            tokens = None if x is None else encode(x)
+            out.append(None if x is None else {"n_tokens": len(tokens), "inside": np.flatnonzero(within[tokens]).tolist() if tokens else []})
+        return pa.array(out, pa.struct([("n_tokens", pa.int32()), ("inside", pa.list_(pa.int32()))]))
+
+    measure.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    kind = T.StructType([T.StructField("n_tokens", T.IntegerType()), T.StructField("inside", T.ArrayType(T.IntegerType()))])
+    return F.arrow_udf(measure, kind)(F.col(text) if isinstance(text, str) else text)
