@@ -83,6 +83,50 @@ def test_corrections_and_standings(spark, tmp_path):
     assert [(r.api_team_id, r["rank"], r.api_league_id) for r in held] == [(1, 2, 7)]
 
 
+def test_metadata_refresh(spark, tmp_path):
+    config = _install(spark, tmp_path)
+    answers = tmp_path / "api"
+    season = lambda y, end=None: {"year": y, "start": f"{y}-08-01", "end": end}
+    # the same name in two countries: each has its own league
+    _answer(answers, "/leagues", {"country": "X", "name": "L"}, [{"league": {"id": 7, "name": "L"}, "seasons": [season(2019), season(2024), season("x")]}, {"league": {"id": 70, "name": "L"}, "seasons": []}])
+    _answer(answers, "/leagues", {"country": "Y", "name": "L"}, [{"league": {"id": 9, "name": "El"}, "seasons": [season(2023), season(2024, "2025-05-31")]}])
+    _answer(answers, "/leagues", {"country": "Y", "name": "Bare"}, [{"league": {"id": 10, "name": "Bare"}, "seasons": []}])
+    _answer(answers, "/leagues", {"country": "Y", "name": "Gone"}, [])
+    club = lambda i, name, code: {"team": {"id": i, "name": name, "code": code}}
+    _answer(answers, "/teams", {"league": 7, "season": 2024}, [club(1, "A", "AAA"), club(None, "?", None), club(3, "", None), {}])
+    _answer(answers, "/teams", {"league": 9, "season": 2023}, [club(2, "B", "BBB")])
+    _answer(answers, "/teams", {"league": 9, "season": 2024}, [club(2, "B", None), club(4, "D", None)])
+    (tmp_path / "m.yaml").write_text("countries:\n- country: X\n  leagues:\n  - name: L\n- country: Y\n  leagues:\n  - name: L\n  - name: Bare\n  - name: Gone\n- country: Z\n")
+    tree = landing.read_config(spark, str(tmp_path / "m.yaml"))
+    counts = pipelines.refresh_metadata(spark, config, tree, NOW)
+    assert {k: counts[k] for k in ("countries", "leagues", "seasons", "teams")} == {"countries": 3, "leagues": 3, "seasons": 3, "teams": 3}
+    assert counts["missing"] == [("Y", "Gone")]
+
+    def held():
+        rows = {n: landing.current(spark, config.warehouse, n).collect() for n in ("dim_countries", "dim_leagues", "dim_league_seasons", "dim_teams")}
+        return {n: sorted(map(tuple, r)) for n, r in rows.items()}, rows
+
+    tables, rows = held()
+    countries = {r.country_name: r.country_id for r in rows["dim_countries"]}
+    assert countries == {"X": 1, "Y": countries["Y"], "Z": countries["Z"]} and len(set(countries.values())) == 3
+    leagues = {r.api_league_id: r for r in rows["dim_leagues"]}
+    assert {k: (r.country_id, r.league_name) for k, r in leagues.items()} == {7: (1, "L"), 8: (1, "M"), 9: (countries["Y"], "L"), 10: (countries["Y"], "Bare")}
+    assert leagues[7].league_id == 1 and leagues[7].updated_at == T0 and leagues[9].updated_at == NOW
+    seasons = {(r.league_id, r.season): r for r in rows["dim_league_seasons"]}
+    assert set(seasons) == {(1, 2024), (2, 2024), (leagues[9].league_id, 2023), (leagues[9].league_id, 2024)}
+    assert str(seasons[leagues[9].league_id, 2024].end_date) == "2025-05-31" and seasons[leagues[9].league_id, 2023].fixtures_bootstrap_done is False
+    # an end that the answer lacks clears nothing by itself
+    assert str(seasons[1, 2024].end_date) == "2025-05-01" and seasons[1, 2024].league_season_id == 1
+    assert {(r.api_team_id, r.team_name, r.team_code, r.country_id) for r in rows["dim_teams"]} == {(1, "A", "AAA", 1), (2, "B", "BBB", countries["Y"]), (4, "D", None, countries["Y"])}
+    # again: nothing changes; then a team's name does
+    pipelines.refresh_metadata(spark, config, tree, datetime(2024, 11, 2))
+    assert held()[0] == tables
+    _answer(answers, "/teams", {"league": 7, "season": 2024}, [club(1, "A2", "AAA")])
+    pipelines.refresh_metadata(spark, config, tree, datetime(2024, 11, 3))
+    changed = {r.api_team_id: r for r in held()[1]["dim_teams"]}
+    assert changed[1].team_name == "A2" and changed[1].updated_at == datetime(2024, 11, 3) and changed[2].updated_at == NOW
+
+
 def test_requests_wait_and_retry():
     slept = []
     script = iter(["down", (429, {"Retry-After": "9"}, ""), (200, {"x-ratelimit-remaining": "0"}, ""), (200, {"x-ratelimit-requests-remaining": "0"}, ""), (200, {"x-ratelimit-remaining": "?"}, '{"response": [1]}')])

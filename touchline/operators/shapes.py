@@ -138,16 +138,20 @@ def flatten_standings(payload: DataFrame, league_season_id: str = "league_season
 
 
 def flatten_metadata(config: DataFrame, leagues: DataFrame, first_season: int = 2020) -> DataFrame:
-    """(country, league, api_league_id, season, season_start, season_end, season_label) of a config
+    """(country, league, api_league_id, season, season_start, season_end, season_label, season_place) of a config
     tree joined to league payloads; seasons that are no whole number or before ``first_season`` drop out.
+
+    Payloads with columns ``country`` and ``name``, what was asked for, are joined on both, so that a
+    league name used in two countries keeps two ids; without them the payload's own name decides.
     """
     from touchline.functions.columns import season_label
 
     tree = config.select("country", F.explode("leagues").alias("l")).select("country", F.col("l.name").alias("league"))
+    asked = {"country", "name"} <= set(leagues.columns)
     payload = leagues.select(
-        F.col("league.name").alias("league"), F.col("league.id").alias("api_league_id"), F.explode("seasons").alias("s")
+        *([F.col("country"), F.col("name").alias("league")] if asked else [F.col("league.name").alias("league")]), F.col("league.id").alias("api_league_id"), F.posexplode("seasons").alias("season_place", "s")
     )
-    years = tree.join(payload, "league").withColumn("season", F.col("s.year").cast("string").try_cast("int"))
+    years = tree.join(payload, ["country", "league"] if asked else "league").withColumn("season", F.col("s.year").cast("string").try_cast("int"))
     return years.filter(F.col("season") >= first_season).select(
         "country",
         "league",
@@ -156,4 +160,5 @@ def flatten_metadata(config: DataFrame, leagues: DataFrame, first_season: int =
         F.col("s.start").try_cast("date").alias("season_start"),
         F.col("s.end").try_cast("date").alias("season_end"),
         season_label("season").alias("season_label"),
+        "season_place",
     )

@@ -42,6 +42,24 @@ def dedupe_last_wins(batch: DataFrame, key: list[str], order: list[str]) -> Data
     return last.select(*[F.col(c) if c in key else F.col(f"r.{c}") for c in batch.columns])
 
 
+def dedupe_in_turn(batch: DataFrame, key: list[str], columns: list[str], order: list[str]) -> DataFrame:
+    """``key`` and ``columns`` of each key after its rows were upserted one after another in ``order``.
+
+    As with SQL's ``!=``, a row replaces the one before only where a value differs from one that
+    isn't null. All rows of a key meet in one array.
+    """
+    rows = batch.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*order, *columns))).alias("l"))
+
+    def turn(old: Column, new: Column) -> Column:
+        differs = F.lit(False)
+        for c in columns:
+            differs = differs | F.coalesce(old[c] != new[c], F.lit(False))
+        return F.when(differs, new).otherwise(old)
+
+    last = rows.select(*key, F.aggregate(F.slice("l", 2, F.size("l")), F.get("l", F.lit(0)), turn).alias("r"))
+    return last.select(*key, *[F.col(f"r.{c}").alias(c) for c in columns])
+
+
 def dedupe_last_non_null(batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """One row per key with the last value that isn't null of each column, in ``order``.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -9,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.operators import upsert
-from touchline.operators.shapes import flatten_fixtures, flatten_standings
-from touchline.schemas import FIXTURE_PAYLOAD, STANDINGS_PAYLOAD
+from touchline.operators.shapes import flatten_fixtures, flatten_metadata, flatten_standings
+from touchline.schemas import FIXTURE_PAYLOAD, LEAGUE_PAYLOAD, STANDINGS_PAYLOAD, TEAM_PAYLOAD
+from touchline.session import materialise
 from touchline.sources import api, landing
 
 
@@ -166,6 +168,74 @@ def refresh_standings(spark: SparkSession, config: Config, payload: DataFrame, n
     return stamped.count()
 
 
+def _ask(spark: SparkSession, config: Config, endpoint: str, requests: dict[str, tuple], context: str, payload: str) -> tuple[DataFrame, list[tuple]]:
+    """(answers with the ``context`` of their request and their place, [(request, error)]), each request made once."""
+    if not requests:
+        return spark.createDataFrame([], f"{context}, pos bigint, {payload}"), []
+    asked = spark.createDataFrame([(r, *values) for r, values in requests.items()], f"request string, {context}")
+    rows = api.read_api(spark, endpoint, [json.loads(r) for r in requests], **config.transport())
+    rows = materialise(rows.withColumn("pos", F.monotonically_increasing_id()), "answers")
+    good = rows.filter(F.col("error").isNull()).join(asked, "request")
+    failed = [tuple(r) for r in rows.filter(F.col("error").isNotNull()).select("request", "error").collect()]
+    return good.select(*asked.drop("request").columns, "pos", F.from_json("body", payload).alias("p")).select("*", "p.*").drop("p"), failed
+
+
+def refresh_metadata(spark: SparkSession, config: Config, tree: DataFrame, now: datetime) -> dict:
+    """Countries, leagues, seasons and teams of a config tree (``landing.read_config``), asked of the service.
+
+    Each configured league is asked for by country and name, and the first answer counts; teams are
+    asked for by league and season from ``config.first_season`` on. Countries are inserted where
+    absent; leagues, seasons and teams are inserted, or updated where a value differs. Of several
+    rows of a key the later one in the order of the config, the seasons and the answer comes last.
+    All is fetched before anything is published. The config, and with it the leagues and seasons
+    asked for, is small and held by the driver.
+
+    Returns the numbers of countries, leagues, seasons and teams received, ``missing``, the
+    (country, league) pairs without an answer, and ``failed``, the (request, error) pairs.
+    """
+    dims = {n: landing.current(spark, config.warehouse, n) for n in ("dim_countries", "dim_leagues", "dim_league_seasons", "dim_teams")}
+    stamps = {"created_at": _at(now), "updated_at": _at(now)}
+    held = [(r["country"], [lg["name"] for lg in r["leagues"] or []]) for r in tree.collect()]
+    pairs = list(dict.fromkeys((c, lg) for c, names in held for lg in names))
+    text = lambda **params: json.dumps(params, sort_keys=True)
+    answers, failed = _ask(spark, config, "/leagues", {text(country=c, name=lg): (c, lg, i) for i, (c, lg) in enumerate(pairs)}, "country string, name string, place int", LEAGUE_PAYLOAD)
+    earliest = answers.groupBy("country", "name").agg(F.min("pos").alias("pos"))
+    first = answers.join(earliest, ["country", "name", "pos"]).filter(F.col("league.id").isNotNull())
+    found = {(r["country"], r["name"]): r["place"] for r in first.select("country", "name", "place").collect()}
+
+    listed = spark.createDataFrame([(c,) for c, _ in held], "country_name string").withColumns(stamps)
+    countries = upsert.insert_absent(dims["dim_countries"], listed, ["country_name"], "country_id")
+    country_ids = countries.select(F.col("country_name").alias("country"), "country_id")
+
+    named = first.join(country_ids, "country").select(F.col("league.id").alias("api_league_id"), "country_id", F.col("name").alias("league_name"), "place")
+    batch = upsert.dedupe_in_turn(named, ["api_league_id"], ["league_name", "country_id"], ["place"]).withColumns(stamps)
+    leagues = upsert.insert_absent(dims["dim_leagues"], batch, ["api_league_id"], "league_id")
+    leagues = upsert.update_if_changed(leagues, batch, ["api_league_id"], ["league_name", "country_id"], _at(now))
+
+    places = first.select("country", F.col("name").alias("league"), "place")
+    years = materialise(flatten_metadata(tree, first, config.first_season).join(places, ["country", "league"]), "seasons")
+    dated = years.join(leagues.select("league_id", "api_league_id"), "api_league_id").withColumnsRenamed({"season_start": "start_date", "season_end": "end_date"})
+    columns = ["season_label", "start_date", "end_date"]
+    periods = upsert.dedupe_in_turn(dated, ["league_id", "season"], columns, ["place", "season_place"]).withColumns(stamps | {"fixtures_bootstrap_done": F.lit(False)})
+    seasons = upsert.insert_absent(dims["dim_league_seasons"], periods, ["league_id", "season"], "league_season_id")
+    # the time of a season's row stays, as in the original upsert
+    seasons = upsert.update_if_changed(seasons, periods, ["league_id", "season"], columns, _at(now), touched="")
+
+    asked = years.join(country_ids, "country").select("api_league_id", "season", "country_id", "place", "season_place").orderBy("place", "season_place").collect()
+    requests = {text(league=r["api_league_id"], season=r["season"]): (r["country_id"], i) for i, r in enumerate(asked)}
+    squads, lost = _ask(spark, config, "/teams", requests, "country_id bigint, place int", TEAM_PAYLOAD)
+    known = squads.select(F.col("team.id").alias("api_team_id"), F.col("team.name").alias("team_name"), F.col("team.code").alias("team_code"), "country_id", "place", "pos")
+    columns = ["team_name", "team_code", "country_id"]
+    clubs = upsert.dedupe_in_turn(known.filter("api_team_id != 0 and team_name != ''"), ["api_team_id"], columns, ["place", "pos"]).withColumns(stamps)
+    teams = upsert.insert_absent(dims["dim_teams"], clubs, ["api_team_id"], "team_id")
+    teams = upsert.update_if_changed(teams, clubs, ["api_team_id"], columns, _at(now))
+
+    counts = {"countries": len({c for c, _ in held}), "leagues": batch.count(), "seasons": periods.count(), "teams": clubs.count()}
+    for name, rows in zip(dims, (countries, leagues, seasons, teams)):
+        landing.publish(rows, config.warehouse, name)
+    return counts | {"missing": [p for p in pairs if p not in found], "failed": failed + lost}
+
+
 def replay_dead_letters(spark: SparkSession, config: Config, ds: str, now: datetime) -> dict[str, int]:
     """Try failed units again; those that answer are landed, loaded, marked done and removed from the queue."""
     letters = landing.dead_letters(spark, config.root)
