@@ -5,7 +5,7 @@ from bisect import bisect_left, insort
 import numpy as np
 import pytest
 
-from touchline.llm.packing import combine_texts, configurations, containers, pack, pack_documents, packing_report
+from touchline.llm.packing import combine_texts, configurations, containers, pack, pack_documents, packing_report, text_key
 from touchline.llm.tokens import VOCABULARY, token_count, token_sizes
 
 
@@ -118,3 +118,21 @@ def test_combined_texts_fit_the_capacity(spark):
     unused = {(r.profile, r.container_id): r.unused for r in containers(packed, "doc_id").collect()}
     assert all(unused[r.profile, r.container_id] == r.capacity - r.n_tokens - (r.n_texts - 1) >= 0 for r in combined)
     assert all(r.text_share < r.used_share <= 1 and r.n_containers >= r.least_containers for r in packing_report(packed).collect())
+
+
+@pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
+def test_repeated_and_null_ids_keep_their_texts(spark):
+    rows = [(1, "short"), (1, "日本語のとても長い文 😀" * 30), (1, "word " * 200), (1, "short"), (None, "no id"), (None, "other " * 100), (2, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, t string")
+    sizes = df.select("doc_id", text_key("t").alias("k"), token_sizes("t").alias("s")).select("doc_id", "k", "s.*")
+    packed = pack_documents(sizes, "doc_id", "n_tokens", [("s", 40), ("l", 2000)], inside="inside", key="k")
+    combined = combine_texts(packed, df, "doc_id", "t", key="k").withColumn("real", token_count("text")).collect()
+    for profile in ("s", "l"):
+        mine = [r for r in combined if r.profile == profile]
+        assert sorted(x for r in mine for x in r.text.replace("\n", "")) == sorted(x for _, t in rows for x in t)
+        assert all(r.real <= r.capacity for r in mine)
+    whole = [t for r in combined if r.profile == "l" for t in r.text.split("\n")]
+    assert sorted(whole) == sorted(t for _, t in rows)
+    without = pack_documents(sizes, "doc_id", "n_tokens", [("l", 2000)])
+    with pytest.raises(Exception, match="different texts of one doc_id"):
+        combine_texts(without, df, "doc_id", "t").collect()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -165,7 +165,7 @@ def _cuts(n: int, capacity: int, inside: set[int]) -> list[int]:
 
 
 def pack_documents(
-    sizes: DataFrame, id_col: str, tokens: str, limits: list[tuple[str, int]], shard_rows: int = SHARD_ROWS, inside: str | None = None, between: int = 1
+    sizes: DataFrame, id_col: str, tokens: str, limits: list[tuple[str, int]], shard_rows: int = SHARD_ROWS, inside: str | None = None, between: int = 1, key: str | None = None
 ) -> DataFrame:
     """Documents in containers: one row per document, or per piece of one that exceeds a container.
 
@@ -181,10 +181,12 @@ def pack_documents(
     ``shard_rows``, however uneven their sizes or repeated their ids, and each shard is packed for
     each profile by itself; only the last containers of a shard can stay open, so sharding costs
     next to nothing. A null size is left out, an empty text takes a place of no tokens. Equal ids
-    are packed as different items. Empty input: no rows. Other columns are not read.
+    are packed as different items; ``key`` names a column (``text_key``) that tells them apart and
+    comes out too. Empty input: no rows. Other columns are not read.
     """
     limits = [(p, int(c)) for p, c in limits if p is not None and c is not None and c > 0]
     kind = sizes.schema[id_col].dataType
+    tag = [T.StructField(key, T.LongType())] if key else []
     out = T.StructType(
         [
             T.StructField("profile", T.StringType()),
@@ -195,17 +197,18 @@ def pack_documents(
             T.StructField("token_from", T.LongType()),
             T.StructField("token_to", T.LongType()),
             T.StructField("n_tokens", T.LongType()),
+            *tag,
         ]
     )
     marks = (F.col(inside) if inside else F.lit(None)).cast("array<int>").alias("inside")
-    known = sizes.filter(F.col(tokens) >= 0).select(F.col(id_col).alias("id"), F.col(tokens).cast("long").alias("n"), marks)
+    known = sizes.filter(F.col(tokens) >= 0).select(F.col(id_col).alias("id"), F.col(tokens).cast("long").alias("n"), marks, (F.col(key) if key else F.lit(None)).cast("long").alias("key"))
     if not limits:
         return sizes.sparkSession.createDataFrame([], out)
     shards = max(1, -(-known.count() // shard_rows))
     each = F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(c).alias("capacity")) for p, c in limits])).alias("limit")
     spread = known.withColumn("shard", F.pmod(F.xxhash64("id", "n", F.monotonically_increasing_id()), F.lit(shards)))
     divided = F.when(F.col("n") > F.col("limit.capacity"), F.col("inside")).alias("inside")
-    items = spread.select("id", "n", "inside", "shard", each).select("id", "n", "shard", "limit.profile", "limit.capacity", divided)
+    items = spread.select("id", "key", "n", "inside", "shard", each).select("id", "key", "n", "shard", "limit.profile", "limit.capacity", divided)
     wanted = to_arrow_schema(out)
 
     def fill(table: pa.Table) -> pa.Table:
@@ -236,22 +239,37 @@ def pack_documents(
             pa.array(end),
             pa.array(end - start),
         ]
+        if key:
+            columns.append(table["key"].combine_chunks().take(pa.array(doc)))
         return pa.Table.from_arrays(columns, names=wanted.names).cast(wanted)
 
     return items.groupBy("profile", "capacity", "shard").applyInArrow(fill, out)
 
 
-def combine_texts(packed: DataFrame, documents: DataFrame, id_col: str, text: str, vocabulary: str = VOCABULARY, between: str = "\n") -> DataFrame:
+def text_key(text: Column | str) -> Column:
+    """What tells documents of one id apart: a 64-bit hash of the text."""
+    return F.xxhash64(text)
+
+
+def combine_texts(
+    packed: DataFrame, documents: DataFrame, id_col: str, text: str, vocabulary: str = VOCABULARY, between: str = "\n", key: str | None = None
+) -> DataFrame:
     """One row per container with its texts: profile, capacity, container_id, n_texts, n_tokens, text.
 
     Texts follow one another in order of document and piece, with ``between`` between them, for
     which ``pack_documents`` has to leave its tokens; n_tokens are those of the texts alone. A
     document that was divided is cut where its tokens are, at the start of the character in which
     a cut falls, so that its pieces in order are the whole text again. Texts move twice, to their
-    pieces and to their container; a container's text is bounded by its capacity. Of documents
-    with equal ids the least text serves for all their pieces.
+    pieces and to their container; a container's text is bounded by its capacity. Null ids
+    meet one another. ``key`` names the column of ``packed`` with the ``text_key``, by which several
+    documents of one id each keep their text; without it different texts of one id are an error.
     """
-    texts = documents.filter(F.col(text).isNotNull()).groupBy(id_col).agg(F.min(text).alias("t"))
+    # an id as text that is never null, so that plain equality joins in the partitions of the grouping
+    on, name = ["__tl_id", "__tl_key"], F.coalesce(F.concat(F.lit("="), F.col(id_col).cast("string")), F.lit("")).alias("__tl_id")
+    known_texts = documents.filter(F.col(text).isNotNull()).select(name, (text_key(text) if key else F.lit(0)).alias("__tl_key"), F.col(text).alias("t"))
+    least = F.min("t") if key else F.when(F.min("t") == F.max("t"), F.min("t")).otherwise(F.raise_error(F.lit(f"different texts of one {id_col}: give a key")))
+    texts = known_texts.groupBy(*on).agg(least.alias("t"))
+    mine = packed.select("*", name, (F.col(key) if key else F.lit(0)).alias("__tl_key"))
 
     def cut(body: pa.Array, start: pa.Array, end: pa.Array) -> pa.Array:
         encoding = encoder(vocabulary)
@@ -270,10 +288,10 @@ def combine_texts(packed: DataFrame, documents: DataFrame, id_col: str, text: st
         return pa.array(out, pa.string())
 
     cut.__annotations__ = {"body": pa.Array, "start": pa.Array, "end": pa.Array, "return": pa.Array}
-    joined = packed.join(texts, id_col)
+    joined = mine.join(texts, on)
     # pieces of more than one are few: a token span that isn't the whole text needs the tokenizer
-    divided = packed.filter("piece > 0").select(id_col).distinct().withColumn("d", F.lit(True))
-    known = joined.join(divided, id_col, "left")
+    divided = mine.filter("piece > 0").select(*on).distinct().withColumn("d", F.lit(True))
+    known = joined.join(divided, on, "left")
     whole = known.filter("d is null")
     cuts = known.filter("d is not null").withColumn("t", F.arrow_udf(cut, T.StringType())("t", "token_from", "token_to"))
     pieces = whole.unionByName(cuts)

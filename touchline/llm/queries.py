@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm.mixing import mix, mixing_rates, mixing_report
-from touchline.llm.packing import combine_texts, containers, pack_documents, packing_report
+from touchline.llm.packing import combine_texts, containers, pack_documents, packing_report, text_key
 from touchline.llm.runs import collapse_runs
 from touchline.llm.tokens import token_count, token_sizes
 from touchline.llm.topn import latest_of_key, top_n
@@ -73,11 +73,12 @@ def _sizes(spark: SparkSession, root: str) -> DataFrame:
     return materialise(documents.select("doc_id", "source", token_count("text").alias("n_tokens")), "sizes")
 
 
-def _packed(spark: SparkSession, root: str) -> DataFrame:
+def _packed(spark: SparkSession, root: str, key: str | None = None) -> DataFrame:
     limits = [(r["profile"], r["capacity_tokens"]) for r in read_table(spark, root, "pack_limits").select("profile", "capacity_tokens").collect()]
     documents = read_table(spark, root, "documents")
-    sizes = materialise(documents.select("doc_id", token_sizes("text").alias("s")).select("doc_id", "s.n_tokens", "s.inside"), "sizes")
-    return pack_documents(sizes, "doc_id", "n_tokens", limits, inside="inside")
+    keys = [text_key("text").alias(key)] if key else []
+    sizes = materialise(documents.select("doc_id", *keys, token_sizes("text").alias("s")).select("*", "s.*").drop("s"), "sizes")
+    return pack_documents(sizes, "doc_id", "n_tokens", limits, inside="inside", key=key)
 
 
 def p6_pack(spark: SparkSession, root: str) -> DataFrame:
@@ -89,8 +90,8 @@ def p6_containers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_texts(spark: SparkSession, root: str) -> DataFrame:
-    packed = materialise(_packed(spark, root), "packed")
-    return combine_texts(packed, read_table(spark, root, "documents"), "doc_id", "text")
+    packed = materialise(_packed(spark, root, "text_key"), "packed")
+    return combine_texts(packed, read_table(spark, root, "documents"), "doc_id", "text", key="text_key")
 
 
 def p6_report(spark: SparkSession, root: str) -> DataFrame:
