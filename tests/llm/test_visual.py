@@ -101,3 +101,10 @@ def test_empty(spark):
     assert look_alike_pairs(df, "id", "t").count() == 0
     assert look_alike_classes(df, "id", "t").count() == 0
     assert df.select(visual_form("t")).count() == 0
+
+
+def test_many_copies_are_all_paired(spark):
+    rows = [(i, "Coco" if i % 2 else "Сосо", "f", "s", 0, "r") for i in range(80)] + [(80, "alone", "f", "s", 0, "r")]
+    got = look_alike_pairs(spark.createDataFrame(rows, DDL), "id", "t").collect()
+    assert len(got) == 40 * 40
+    assert {tuple(r) for r in got} == {(a, b) for a in range(80) for b in range(a + 1, 80) if (b - a) % 2}

@@ -248,14 +248,15 @@ def look_alike_classes(df: DataFrame, id_col: str, text: str) -> DataFrame:
     return known.unionByName(alone)
 
 
-def look_alike_pairs(df: DataFrame, id_col: str, text: str, expand: int = 32) -> DataFrame:
+def look_alike_pairs(df: DataFrame, id_col: str, text: str, expand: int | None = None) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: documents whose stored texts differ but look the same.
 
-    Exact copies of a text are one node: each two different texts of a class are linked through
-    their representatives (the least ids), every further copy through the other texts'
-    representatives, and of up to ``expand`` copies of a text all are paired with all of the
-    other's, so that small groups of copies come out in full and large ones in linear size. No
-    link between different texts is lost. Classes are found by hash equality; forms and texts are
+    Every such pair comes out, so two texts with many exact copies each give the product of their
+    numbers; a class held by few texts is joined in parts by AQE. For a result in linear size give
+    ``expand``: then exact copies of a text are one node, each two different texts of a class are
+    linked through their representatives (the least ids), every further copy through the other
+    texts' representatives, and only of up to ``expand`` copies of a text all are paired with all
+    of the other's. No link between different texts is lost. Classes are found by hash equality; forms and texts are
     compared by 256-bit hashes. Null texts are in no pair; equal texts make none; a repeated
     document id pairs like one document.
     """
@@ -265,6 +266,11 @@ def look_alike_pairs(df: DataFrame, id_col: str, text: str, expand: int = 32) ->
     texts = prints.groupBy("form", "stored").agg(F.min("id").alias("rep"))
     shared = texts.groupBy("form").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("form")
     members = prints.join(shared, "form", "left_semi").distinct()
+    if expand is None:
+        later = members.select("form", F.col("stored").alias("other"), F.col("id").alias("b"))
+        pairs = members.join(later, "form").filter((F.col("stored") != F.col("other")) & (F.col("id") < F.col("b")))
+        # only where an id is repeated can a pair come twice
+        return pairs.select(F.col("id").alias("doc_id_a"), F.col("b").alias("doc_id_b")).distinct()
     reps = texts.join(shared, "form", "left_semi").select("form", F.col("stored").alias("other"), F.col("rep").alias("b"))
     near = members.join(reps, "form").filter(F.col("stored") != F.col("other")).select(F.col("id").alias("a"), "b")
     copies = Window.partitionBy("form", "stored").orderBy("id")
