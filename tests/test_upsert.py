@@ -101,3 +101,15 @@ def test_trigram_search(spark):
     assert {r.trigram for r in index.filter("id = 5").collect()} == {"  o", " ot", "oth", "the", "her", "er "}
     best = similar(index, ["id"], "real madrid").orderBy(F.desc("similarity")).collect()
     assert best[0].id == 1 and best[0].similarity == 1.0
+
+
+def test_search_trigrams_hold_teams_and_leagues(spark):
+    from touchline.plans.operator_queries import QUERIES
+    from touchline.plans.models import Warehouse
+
+    root = "/root/testdata/sf0.001"
+    index = QUERIES["o_search_trigrams"](spark, root)
+    assert {r.entity_type for r in index.select("entity_type").distinct().collect()} == {"team", "league"}
+    league = Warehouse(spark, root).ref("mart_dim_search").filter("entity_type = 'league'").orderBy("entity_id").first()
+    found = similar(index, ["entity_type", "entity_id"], league.name).filter("similarity = 1").collect()
+    assert ("league", league.entity_id) in {(r.entity_type, r.entity_id) for r in found}

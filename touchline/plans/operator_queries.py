@@ -230,6 +230,11 @@ def o_trigrams(spark, root):
     return trigrams(read_table(spark, root, "dim_teams"), ["team_id"], "team_name")
 
 
+def o_search_trigrams(spark, root):
+    """The trigrams of the search table: teams and leagues by ``name_lc``."""
+    return trigrams(Warehouse(spark, root).ref("mart_dim_search"), ["entity_type", "entity_id"], "name_lc")
+
+
 def o_numbered(spark, root):
     return upsert.numbered(read_table(spark, root, "dim_venue").select("venue_name", "venue_id"), ["venue_name", "venue_id"], "n")
 
@@ -306,6 +311,7 @@ _RUNS = [
     o_props_parse,
     o_event_islands,
     o_trigrams,
+    o_search_trigrams,
     o_numbered,
     o_team_functions,
     o_season_labels,
@@ -405,6 +411,8 @@ i AS (SELECT *, CAST(sum(CASE WHEN flag = 1 AND prev = 0 THEN 1 ELSE 0 END) OVER
 SELECT event_id, user_id, rn, island, CAST(row_number() OVER (PARTITION BY user_id, island ORDER BY rn) AS INTEGER) AS streak_length FROM i""",
     "o_trigrams": r"""WITH w AS (SELECT team_id, '  ' || unnest(regexp_extract_all(lower(team_name), '[\p{L}\p{N}]+')) || ' ' AS p FROM dim_teams)
 SELECT DISTINCT team_id, unnest(list_transform(range(1, length(p) - 1), lambda i: substring(p, i, 3))) AS trigram FROM w""",
+    "o_search_trigrams": chain(r"""SELECT DISTINCT entity_type, entity_id, unnest(list_transform(range(1, length(p) - 1), lambda i: substring(p, i, 3))) AS trigram
+FROM (SELECT entity_type, entity_id, '  ' || unnest(regexp_extract_all(name_lc, '[\p{L}\p{N}]+')) || ' ' AS p FROM mart_dim_search)"""),
     "o_numbered": "SELECT venue_name, venue_id, row_number() OVER (ORDER BY venue_name, venue_id) AS n FROM dim_venue",
     "o_team_functions": r"""SELECT team_id, array_to_string(list_transform(regexp_extract_all(lower(team_name), '[\p{L}\p{N}]+|[^\p{L}\p{N}]+'), lambda x: upper(x[1]) || x[2:]), '') AS title,
 lower(regexp_replace(team_name, '\s+', '-', 'g')) || '-' || team_id AS slug, least(team_id, api_team_id) || '_' || greatest(team_id, api_team_id) AS pair,
