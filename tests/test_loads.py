@@ -127,6 +127,37 @@ def test_metadata_refresh(spark, tmp_path):
     assert changed[1].team_name == "A2" and changed[1].updated_at == datetime(2024, 11, 3) and changed[2].updated_at == NOW
 
 
+def test_failed_requests_and_rejected_payloads_are_kept(spark, tmp_path):
+    config = _install(spark, tmp_path)
+    answers = tmp_path / "api"
+    kept = lambda: {(r.pipeline, r.request, r.error) for r in landing.failures(spark, config.root).collect()}
+    assert kept() == set()
+    _answer(answers, "/fixtures", {"league": 7, "season": 2024}, [_payload(2, goals=(None, None), status="NS"), {"fixture": None}])
+    pipelines.full_load(spark, config, "2024-11-01", NOW)
+    refused = "Failed: refused with status 404"
+    full = {("full_load", '{"league": 7, "season": 2024}', "missing fixture,league,teams,score"), ("full_load", '{"league": 8, "season": 2024}', refused)}
+    assert kept() == full
+    assert [r.error for r in landing.dead_letters(spark, config.root).collect()] == [refused]
+    # an empty answer is no failed request
+    _answer(answers, "/fixtures", {"league": 8, "season": 2024}, [])
+    pipelines.replay_dead_letters(spark, config, "2024-11-02", NOW)
+    assert kept() == full
+    assert pipelines.incremental_load(spark, config, "2024-11-02", NOW) == 0
+    assert kept() - full == {("incremental_load", '{"ids": "2"}', refused)}
+    pipelines.correct_kickoffs(spark, config, NOW, mode="missed")
+    assert {r for _, r, _ in kept() - full} == {'{"ids": "2"}', '{"last": 11, "league": 7}', '{"last": 11, "league": 8}'}
+
+
+def test_lost_requests_raise():
+    for bad in [(404, {}, ""), (200, {}, "no json"), (200, {}, "[]"), (500, {}, "")]:
+        try:
+            api.require_response(lambda *a, bad=bad: bad, "/x", {}, lambda s: None)
+            raise AssertionError
+        except api.Failed:
+            pass
+    assert api.require_response(lambda *a: (200, {}, '{"response": []}'), "/x", {}) == []
+
+
 def test_requests_wait_and_retry():
     slept = []
     script = iter(["down", (429, {"Retry-After": "9"}, ""), (200, {"x-ratelimit-remaining": "0"}, ""), (200, {"x-ratelimit-requests-remaining": "0"}, ""), (200, {"x-ratelimit-remaining": "?"}, '{"response": [1]}')])

@@ -61,12 +61,18 @@ def earliest_missing(stale: DataFrame) -> DataFrame:
     return groups.agg(F.min("kickoff_utc").cast("date").alias("from_date"))
 
 
-def fetch(spark: SparkSession, config: Config, requests: list[dict]) -> tuple[DataFrame, DataFrame]:
-    """(flat fixtures, failed requests with their error) of many requests."""
-    rows = api.read_api(spark, "/fixtures", requests, **config.transport())
+def fetch(spark: SparkSession, config: Config, requests: list[dict], pipeline: str, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """(flat fixtures, failed requests with their error) of many requests, each made once.
+
+    Failed requests and rejected payloads are kept in ``landing.failures``.
+    """
+    rows = materialise(api.read_api(spark, "/fixtures", requests, **config.transport()), "answers")
     body = F.from_json("body", FIXTURE_PAYLOAD).alias("p")
-    flat, _ = flatten_fixtures(rows.filter(F.col("error").isNull()).select(body).select("p.*"))
-    return flat, rows.filter(F.col("error").isNotNull()).select("request", "error")
+    flat, rejected = flatten_fixtures(rows.filter(F.col("error").isNull()).select("request", "body", body).select("request", "body", "p.*"))
+    failed = rows.filter(F.col("error").isNotNull())
+    entries = failed.select("request", "error", "body").unionByName(rejected.select("request", F.col("reason").alias("error"), "body"))
+    landing.put_failures(entries.withColumns({"pipeline": F.lit(pipeline), "timestamp": F.lit(now.isoformat())}), config.root)
+    return flat, failed.select("request", "error")
 
 
 def full_load(spark: SparkSession, config: Config, ds: str, now: datetime) -> dict[str, int]:
@@ -79,22 +85,23 @@ def full_load(spark: SparkSession, config: Config, ds: str, now: datetime) -> di
     work = pending_seasons(seasons, landing.current(spark, config.warehouse, "dim_leagues"), landing.current(spark, config.warehouse, "dim_countries")).collect()
     if not work:
         return {"pending": 0, "loaded": 0, "failed": 0, "fixtures": 0}
-    flat, _ = fetch(spark, config, [{"league": r["api_league_id"], "season": r["season_year"]} for r in work])
+    flat, failed = fetch(spark, config, [{"league": r["api_league_id"], "season": r["season_year"]} for r in work], "full_load", now)
     path = landing.land_fixtures(flat, config.root, ds)
     landed = landing.read_landed(spark, path).filter(F.col("ds") == ds)
     got = {(r[0], r[1]) for r in landed.select("api_league_id", "season").distinct().collect()}
     done = [r["league_season_id"] for r in work if (r["api_league_id"], r["season_year"]) in got]
     lost = [r for r in work if r["league_season_id"] not in set(done)]
-    _dead_letters(spark, config, lost, ds, now)
+    _dead_letters(spark, config, lost, dict(map(tuple, failed.collect())) if lost else {}, ds, now)
     count = load(spark, config, landed.drop("league", "season_year", "ds"), fixtures, ["api_league_id", "season"], now) if got else 0
     marked = spark.createDataFrame([(k,) for k in done], "league_season_id bigint")
     landing.publish(upsert.mark_done(seasons, marked, ["league_season_id"], "fixtures_bootstrap_done", "fixtures_bootstrap_at", _at(now)), config.warehouse, "dim_league_seasons")
     return {"pending": len(work), "loaded": len(done), "failed": len(lost), "fixtures": count}
 
 
-def _dead_letters(spark: SparkSession, config: Config, lost: list, ds: str, now: datetime) -> None:
+def _dead_letters(spark: SparkSession, config: Config, lost: list, errors: dict[str, str], ds: str, now: datetime) -> None:
     if lost:
-        rows = [(r["api_league_id"], r["season_year"], r["league_name"], ds, "no fixtures", "", now.isoformat()) for r in lost]
+        asked = lambda r: json.dumps({"league": r["api_league_id"], "season": r["season_year"]}, sort_keys=True)
+        rows = [(r["api_league_id"], r["season_year"], r["league_name"], ds, errors.get(asked(r), "no fixtures"), "", now.isoformat()) for r in lost]
         landing.put_dead_letters(spark.createDataFrame(rows, landing.DLQ_ENTRY), config.root)
 
 
@@ -134,7 +141,7 @@ def incremental_load(spark: SparkSession, config: Config, ds: str, now: datetime
         requests = [{"league": r["api_league_id"], "season": r["season"], "from": str(r["from_date"]), "to": end} for r in earliest_missing(stale).collect()]
     if not requests:
         return 0
-    flat, _ = fetch(spark, config, requests)
+    flat, _ = fetch(spark, config, requests, "incremental_load", now)
     path = landing.land_fixtures(flat, config.root, ds, full=False)
     landed = landing.read_landed(spark, path).filter(F.col("ds") == ds).drop("ds")
     landing.publish(apply_updates(fixtures, landed, _at(now), ["kickoff_utc"]), config.warehouse, "raw_fixtures")
@@ -146,7 +153,7 @@ def correct_kickoffs(spark: SparkSession, config: Config, now: datetime, mode: s
     fixtures = landing.current(spark, config.warehouse, "raw_fixtures")
     leagues = [r[0] for r in landing.current(spark, config.warehouse, "dim_leagues").select("api_league_id").collect()]
     sides = {"missed": ["last"], "changed": ["next"], "both": ["last", "next"]}[mode]
-    flat, _ = fetch(spark, config, [{"league": lg, side: config.look} for lg in leagues for side in sides])
+    flat, _ = fetch(spark, config, [{"league": lg, side: config.look} for lg in leagues for side in sides], "correct_kickoffs", now)
     seen = upsert.dedupe_last_wins(flat.select("api_fixture_id", "kickoff_utc"), ["api_fixture_id"], ["kickoff_utc"])
     moved = upsert.moved_kickoffs(seen, fixtures, "api_fixture_id", "kickoff_utc", "fixture_status")
     changes = moved.filter(F.col("new_kickoff_utc").isNotNull()).select("api_fixture_id", F.col("new_kickoff_utc").alias("kickoff_utc"))
@@ -242,7 +249,7 @@ def replay_dead_letters(spark: SparkSession, config: Config, ds: str, now: datet
     units = letters.select("api_league_id", "season_year").distinct().collect()
     if not units:
         return {"replayed": 0, "left": 0}
-    flat, _ = fetch(spark, config, [{"league": r[0], "season": r[1]} for r in units])
+    flat, _ = fetch(spark, config, [{"league": r[0], "season": r[1]} for r in units], "replay_dead_letters", now)
     path = landing.land_fixtures(flat, config.root, ds)
     landed = landing.read_landed(spark, path).filter(F.col("ds") == ds).drop("league", "season_year", "ds")
     got = landed.select("api_league_id", F.col("season").alias("season_year")).distinct()

@@ -61,6 +61,8 @@ TEAM_PAYLOAD = "team struct<id: int, name: string, code: string>"
 CONFIG_TREE = "country string, leagues array<struct<name: string>>"
 DLQ_ENTRY = "api_league_id int, season_year int, league_name string, ds string, error string, traceback string, timestamp string"
 
+FAILURE = "pipeline string, request string, error string, body string, timestamp string"
+
 #: The flat fixture record that is landed between extraction and load.
 LANDED_FIXTURE = ", ".join(
     " ".join(part.split()[:2])

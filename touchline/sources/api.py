@@ -18,22 +18,36 @@ class Transient(Exception):
     """A failure that may pass: connection lost, time out, server error."""
 
 
+class Failed(Exception):
+    """A request without an answer: refused, unreadable or given up."""
+
+
 def get_response(fetch: Callable, endpoint: str, params: dict, sleep: Callable = time.sleep, now: Callable | None = None) -> list:
-    """The ``response`` list of one request, or an empty list when all attempts fail.
+    """As ``require_response``, but an empty list for a request that fails."""
+    try:
+        return require_response(fetch, endpoint, params, sleep, now)
+    except Failed:
+        return []
+
+
+def require_response(fetch: Callable, endpoint: str, params: dict, sleep: Callable = time.sleep, now: Callable | None = None) -> list:
+    """The ``response`` list of one request; ``Failed`` when it is refused, unreadable, or all attempts fail.
 
     ``fetch(endpoint, params, timeout)`` gives (status, headers, text). A spent daily allowance
     waits for the next UTC day, a spent minute for sixty seconds, status 429 for as long as told;
     transient errors double the wait up to a cap; other errors end it.
     """
     now = now or (lambda: datetime.now(timezone.utc))
-    wait = 1
+    wait, last = 1, ""
     for _ in range(ATTEMPTS):
         try:
             status, headers, text = fetch(endpoint, params, TIMEOUT_S)
-        except Transient:
+        except Transient as e:
+            last = f"no connection {e}".strip()
             sleep(wait)
             wait = min(2 * wait, BACKOFF_CAP_S)
             continue
+        last = f"status {status}"
         if _left(headers, "x-ratelimit-requests-remaining") < 1:
             t = now()
             sleep((t.replace(hour=0, minute=0, second=0, microsecond=0) + timedelta(days=1) - t).total_seconds())
@@ -45,13 +59,13 @@ def get_response(fetch: Callable, endpoint: str, params: dict, sleep: Callable =
             sleep(wait)
             wait = min(2 * wait, BACKOFF_CAP_S)
         elif status >= 400:
-            return []
+            raise Failed(f"refused with {last}")
         else:
             try:
                 return json.loads(text).get("response", [])
-            except ValueError:
-                return []
-    return []
+            except (ValueError, AttributeError) as e:
+                raise Failed("the answer is no JSON document") from e
+    raise Failed(f"{ATTEMPTS} attempts, the last with {last}")
 
 
 def _left(headers: dict, name: str) -> int:
@@ -119,7 +133,7 @@ class _Reader(DataSourceReader):
         fetch = folder_fetch(o["folder"]) if o.get("folder") else http_fetch(o["base"], json.loads(o.get("headers", "{}")))
         params = json.dumps(partition.params, sort_keys=True)
         try:
-            for item in get_response(fetch, o["endpoint"], partition.params):
+            for item in require_response(fetch, o["endpoint"], partition.params):
                 yield params, json.dumps(item), None
         except Exception as e:  # a failed unit is recorded; the others go on
             yield params, None, f"{type(e).__name__}: {e}"

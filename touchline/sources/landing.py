@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.schemas import CONFIG_TREE, DLQ_ENTRY, LANDED_FIXTURE, schema
+from touchline.schemas import CONFIG_TREE, DLQ_ENTRY, FAILURE, LANDED_FIXTURE, schema
 
 
 def land_fixtures(df: DataFrame, root: str, ds: str, full: bool = True) -> str:
@@ -26,8 +26,9 @@ def land_fixtures(df: DataFrame, root: str, ds: str, full: bool = True) -> str:
 
 
 def read_landed(spark: SparkSession, path: str, ddl: str = LANDED_FIXTURE) -> DataFrame:
-    """Landed JSON with its declared schema; values found in folder names come as columns."""
-    return spark.read.schema(ddl).json(path)
+    """Landed JSON with its declared schema; values found in folder names come as columns, a null ``ds`` where nothing landed yet."""
+    rows = spark.read.schema(ddl).json(path)
+    return rows if "ds" in rows.columns else rows.withColumn("ds", F.lit(None).cast("string"))
 
 
 def read_json_array(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -76,6 +77,23 @@ def dead_letters(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("folder", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
 
 
+def put_failures(entries: DataFrame, root: str) -> int:
+    """Append failed requests and rejected payloads (pipeline, request, error, body, timestamp); their number."""
+    rows = entries.select(*T.StructType.fromDDL(FAILURE).names)
+    n = rows.count()
+    if n:
+        rows.write.mode("append").json(f"{root}/failures")
+    return n
+
+
+def failures(spark: SparkSession, root: str) -> DataFrame:
+    """All failed requests and rejected payloads so far; no rows where there are none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/failures")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], FAILURE)
+    return spark.read.schema(FAILURE).json(f"{root}/failures")
+
+
 def drop_dead_letters(spark: SparkSession, folders: list[str]) -> None:
     """Remove the folders of dead letters that were replayed."""
     jvm = spark.sparkContext._jvm
