@@ -5,7 +5,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from touchline.llm.visual import LOOK_ALIKES, code_points, look_alike_classes, look_alike_pairs, one_form, to_strings, visual_form
+from touchline.llm.visual import LOOK_ALIKES, code_points, in_pieces, look_alike_classes, look_alike_links, look_alike_pairs, one_form, to_strings, visual_form
 
 SAME = [
     ("café", "café"),
@@ -23,6 +23,7 @@ SAME = [
     ("ế", "ế"),
 ]
 OTHER = [("a", "A"), ("cafe", "café"), ("rn", "m"), ("0", "O"), ("1", "l"), ("I", "l"), ("Ã©", "é"), ("a.", "a!"), ("’", "'"), ("…", "..."), ("a b", "a  b"), ("й", "и"), ("²", "2"), ("a\rb", "ab"), ("a\x81", "a"), ("æ", "ae")]
+OTHER += [("می\u200cخواهم", "میخواهم"), ("👩\u200d👧", "👩👧"), ("☺\ufe0f", "☺"), ("क\u094d\u200dष", "क\u094dष")]
 
 
 def _form(*texts):
@@ -86,10 +87,13 @@ def test_pairs_and_classes_match_brute_force(spark):
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] is not None and b[1] is not None and a[1] != b[1] and form[a[0]] == form[b[0]]}
     got = look_alike_pairs(df, "id", "t").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
-    # beyond the copies that are expanded, every copy still meets the other texts' least ids
-    few = {tuple(r) for r in look_alike_pairs(df, "id", "t", expand=1).collect()}
-    assert few <= want and {i for p in few for i in p} == {i for p in want for i in p}
-    classes = {r.id: (r.class_id, r.n_links) for r in look_alike_classes(df, "id", "t").collect()}
+    # links are linear, and with the membership of copies they give all pairs again
+    links = {tuple(r) for r in look_alike_links(df, "id", "t").collect()}
+    rows_of = look_alike_classes(df, "id", "t").collect()
+    assert len(links) == len({r.copy_of for r in rows_of}) - len({r.class_id for r in rows_of}) and links <= want
+    member = {r.id: (r.class_id, r.copy_of) for r in rows_of}
+    assert want == {(a, b) for a in member for b in member if a < b and member[a][0] == member[b][0] and member[a][1] != member[b][1]}
+    classes = {r.id: (r.class_id, r.n_links) for r in rows_of}
     assert len(classes) == len(rows)
     for i, t, *_ in rows:
         mates = [r for r in rows if t is not None and r[1] is not None and form[r[0]] == form[i]]
@@ -108,3 +112,24 @@ def test_many_copies_are_all_paired(spark):
     got = look_alike_pairs(spark.createDataFrame(rows, DDL), "id", "t").collect()
     assert len(got) == 40 * 40
     assert {tuple(r) for r in got} == {(a, b) for a in range(80) for b in range(a + 1, 80) if (b - a) % 2}
+
+
+def test_many_variants_give_few_links(spark):
+    rows = [(i, "ab" + "\u200b" * i, "f", "s", 0, "r") for i in range(2000)]
+    df = spark.createDataFrame(rows, DDL)
+    assert look_alike_links(df, "id", "t").count() == 1999
+    assert {(r.class_id, r.n_links) for r in look_alike_classes(df, "id", "t").collect()} == {(0, 1999)}
+
+
+def test_pieces_give_the_same():
+    texts = ["é" * 50, None, "", "x" * 5000, "Сосо", *["a\u0301"] * 30, None]
+    array = pa.array(texts, pa.string())
+    for size in (1, 64, 1000, 1 << 20):
+        assert in_pieces(array, size).equals(one_form(array))
+        assert in_pieces(array.slice(3, 7), size).equals(one_form(array).slice(3, 7))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=[chr(c) for c in (*range(0xC0, 0xD8), *range(0x300, 0x30A), 0x328, *range(0x9BE, 0x9D0), *range(0xAC00, 0xAC20), 0x1100, 0x1103, 0x1161, 0x1165, 0x11A8, 0x11AB)], max_size=12))
+def test_composition_is_that_of_unicode(text):
+    assert _form(text) == [unicodedata.normalize("NFC", text)]

@@ -10,7 +10,7 @@ from touchline.llm.packing import combine_texts, containers, pack_documents, pac
 from touchline.llm.runs import collapse_runs
 from touchline.llm.tokens import token_count, token_sizes
 from touchline.llm.topn import latest_of_key, top_n
-from touchline.llm.visual import look_alike_classes, look_alike_pairs
+from touchline.llm.visual import look_alike_classes, look_alike_links, look_alike_pairs
 from touchline.plans.problems import kept_fixtures
 from touchline.session import materialise, read_table
 
@@ -113,6 +113,10 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return look_alike_pairs(read_table(spark, root, "documents"), "doc_id", "text")
 
 
+def p8_links(spark: SparkSession, root: str) -> DataFrame:
+    return look_alike_links(read_table(spark, root, "documents"), "doc_id", "text")
+
+
 def p8_classes(spark: SparkSession, root: str) -> DataFrame:
     return look_alike_classes(read_table(spark, root, "documents"), "doc_id", "text")
 
@@ -129,6 +133,7 @@ QUERIES = {
     "p7_mix": p7_mix,
     "p7_report": p7_report,
     "p8_found": p8_found,
+    "p8_links": p8_links,
     "p8_classes": p8_classes,
 }
 
@@ -164,7 +169,44 @@ kept AS (
   FROM numbered GROUP BY home_team_id, result, island HAVING count(*) > 1
 )"""
 
+#: Letters that look like Latin ones, written out a second time for the SQL.
+_ALIKE = "аеорсухіјѕАВЕКМНОРСТУХІЈЅӀΑΒΕΖΗΙΚΜΝΟΡΤΥΧονρ"
+_LATIN = "aeopcyxijsABEKMHOPCTYXIJSIABEZHIKMNOPTYXovp"
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
+
+
+def _form_sql(text: str) -> str:
+    """The one form of a text for the signs that the tables hold: joined, then replaced letter by letter, then joined again."""
+    import unicodedata
+
+    look = dict(zip(_ALIKE, _LATIN))
+    single = look | {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
+    single |= {chr(c): " " for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)} | {chr(0xB5): chr(0x3BC)}
+    several = dict(_LIGATURES)
+    for c in range(0x370, 0x530):  # accented letters of the other scripts
+        first, *marks = unicodedata.normalize("NFD", chr(c))
+        if marks and first in look:
+            into = unicodedata.normalize("NFC", look[first] + "".join(marks))
+            (single if len(into) == 1 else several)[chr(c)] = into
+    widthless = "".join(map(chr, (0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF)))
+    body = f"replace(nfc_normalize(regexp_replace({text}, '[{widthless}]', '', 'g')), chr(13) || chr(10), chr(10))"
+    for a, b in several.items():
+        body = f"replace({body}, '{a}', '{b}')"
+    quote = lambda x: x.replace("'", "''")
+    return f"nfc_normalize(translate({body}, '{quote(''.join(single))}', '{quote(''.join(single.values()))}'))"
+
+
+_FORMS = f"""
+forms AS (SELECT doc_id, text, {_form_sql('text')} AS form FROM documents WHERE text IS NOT NULL),
+texts AS (SELECT form, text, min(doc_id) AS rep FROM forms GROUP BY form, text),
+classes AS (SELECT form, min(rep) AS head, count(*) AS n FROM texts GROUP BY form)"""
+
 ORACLES = {
+    "p8_found": f"WITH {_FORMS} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.form = b.form WHERE a.text <> b.text AND a.doc_id < b.doc_id",
+    "p8_links": f"WITH {_FORMS} SELECT head AS doc_id_a, rep AS doc_id_b FROM texts JOIN classes USING (form) WHERE rep <> head",
+    "p8_classes": f"""WITH {_FORMS} SELECT f.doc_id, c.head AS class_id, t.rep AS copy_of, c.n - 1 AS n_links
+FROM forms f JOIN texts t ON t.form = f.form AND t.text = f.text JOIN classes c ON c.form = f.form
+UNION ALL SELECT doc_id, doc_id, doc_id, 0 FROM documents WHERE text IS NULL""",
     "p4_found": f"WITH {_BEST} SELECT league_season_id, team_id, event_name, context FROM ranked WHERE rank <= 10",
     "p4_ranked": f"""WITH {_BEST} SELECT league_season_id, event_name, context, team_id, score, streak_length, CAST(rank AS INTEGER) AS rank
 FROM ranked WHERE rank <= 10""",
