@@ -136,3 +136,15 @@ def test_repeated_and_null_ids_keep_their_texts(spark):
     without = pack_documents(sizes, "doc_id", "n_tokens", [("l", 2000)])
     with pytest.raises(Exception, match="different texts of one doc_id"):
         combine_texts(without, df, "doc_id", "t").collect()
+
+
+def test_the_same_rows_in_any_order_and_split(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.randint(0, 900)) for i in range(3000)] + [(5, 77)] * 2500 + [(None, 40)] * 3
+    results = []
+    for parts, seed in ((1, 1), (7, 2), (3, 3)):
+        random.Random(seed).shuffle(rows)
+        df = spark.createDataFrame(rows, "id int, n int").repartition(parts)
+        results.append(sorted(map(str, pack_documents(df, "id", "n", [("a", 500), ("b", 2048)], shard_rows=800).collect())))
+    assert results[0] == results[1] == results[2]
+    assert len({r.container_id >> 32 for r in pack_documents(df, "id", "n", [("a", 500)], shard_rows=800).collect()}) == 7

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,9 +12,12 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from touchline.llm.tokens import VOCABULARY, encoder
+from touchline.session import shuffle_parts
 
-#: Documents that one task packs at a time; a document's shard is a hash, so all are about as large.
+#: Documents that are packed together; a document's shard is a hash, so all are about as large.
 SHARD_ROWS = 50_000
+#: Copies of one document that go to a shard as one row with their number.
+COPIES = 1000
 #: Sizes that the configurations are made of, and the share of the capacity up to which an item is small.
 GROUPS, SMALL = 120, 1 / 8
 #: Steps into which a capacity is divided when configurations are searched.
@@ -177,14 +182,20 @@ def pack_documents(
     other item; others are never divided. ``inside`` names an array column with the token positions
     within a character (``token_sizes``); such a cut moves before that character, so that no piece
     gains tokens by being encoded again. What stands between the texts of a container takes
-    ``between`` tokens of its room each time. Documents spread by hash over shards of about
-    ``shard_rows``, however uneven their sizes or repeated their ids, and each shard is packed for
-    each profile by itself; only the last containers of a shard can stay open, so sharding costs
-    next to nothing. A null size is left out, an empty text takes a place of no tokens. Equal ids
-    are packed as different items; ``key`` names a column (``text_key``) that tells them apart and
-    comes out too. Empty input: no rows. Other columns are not read.
+    ``between`` tokens of its room each time.
+
+    Documents spread by a hash of all that tells them apart over shards of about ``shard_rows``, and
+    each shard is packed for each profile by itself, in order of size and hash; so the result
+    depends on the rows alone, not on their order, files or tasks, and a task that runs again gives
+    the same. Rows equal in id, size and text are counted first and go on as one row for each 1,000
+    of them, so that a document that a third of all rows repeat is no hot shard. Only the last
+    containers of a shard can stay open, so sharding costs next to nothing. A null size is left out,
+    an empty text takes a place of no tokens. Equal ids are packed as different items; ``key`` names
+    a column (``text_key``) that tells them apart and comes out too. Empty input: no rows. Other
+    columns are not read.
     """
     limits = [(p, int(c)) for p, c in limits if p is not None and c is not None and c > 0]
+    spark = sizes.sparkSession
     kind = sizes.schema[id_col].dataType
     tag = [T.StructField(key, T.LongType())] if key else []
     out = T.StructType(
@@ -203,47 +214,77 @@ def pack_documents(
     marks = (F.col(inside) if inside else F.lit(None)).cast("array<int>").alias("inside")
     known = sizes.filter(F.col(tokens) >= 0).select(F.col(id_col).alias("id"), F.col(tokens).cast("long").alias("n"), marks, (F.col(key) if key else F.lit(None)).cast("long").alias("key"))
     if not limits:
-        return sizes.sparkSession.createDataFrame([], out)
+        return spark.createDataFrame([], out)
     shards = max(1, -(-known.count() // shard_rows))
-    each = F.explode(F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(c).alias("capacity")) for p, c in limits])).alias("limit")
-    spread = known.withColumn("shard", F.pmod(F.xxhash64("id", "n", F.monotonically_increasing_id()), F.lit(shards)))
+    same = ["id", "n", "inside", "key"]
+    blocks = known.groupBy(*same).agg(F.count(F.lit(1)).alias("c")).select(*same, "c", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / COPIES))).alias("block"))
+    counted = blocks.withColumns(
+        {
+            "times": F.least(F.lit(COPIES), F.col("c") - F.col("block") * COPIES),
+            "h": F.xxhash64("id", "key", "inside"),
+            "shard": F.pmod(F.xxhash64(*same, "block"), F.lit(shards)),
+        }
+    )
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("profile"), F.lit(c).alias("capacity")) for i, (p, c) in enumerate(limits)])).alias("limit")
     divided = F.when(F.col("n") > F.col("limit.capacity"), F.col("inside")).alias("inside")
-    items = spread.select("id", "key", "n", "inside", "shard", each).select("id", "key", "n", "shard", "limit.profile", "limit.capacity", divided)
+    unit = (F.col("shard") * len(limits) + F.col("limit.i")).alias("unit")
+    items = counted.select("*", each).select(unit, "id", "key", "n", "h", "block", "times", "shard", "limit.profile", "limit.capacity", divided)
+    # a shard and profile is a unit of work; units are dealt out evenly, not by hash
+    tasks = min(shards * len(limits), max(shuffle_parts(spark), len(limits)))
+    dealt = items.repartitionById(tasks, F.pmod("unit", F.lit(tasks)).cast("int")).sortWithinPartitions("unit", F.desc("n"), "h", "block")
     wanted = to_arrow_schema(out)
 
     def fill(table: pa.Table) -> pa.Table:
-        ids, n = table["id"].combine_chunks(), np.asarray(table["n"]).astype(np.int64)
+        row = np.repeat(np.arange(table.num_rows), np.asarray(table["times"]))
+        n = np.asarray(table["n"]).astype(np.int64)
         capacity, shard = table["capacity"][0].as_py(), table["shard"][0].as_py()
         long = np.flatnonzero(n > capacity)
-        cuts = [_cuts(n[d].item(), capacity, set(x or ())) for d, x in zip(long, table["inside"].take(pa.array(long)).to_pylist())]
+        cuts = dict(zip(long.tolist(), ([*_cuts(n[d].item(), capacity, set(x or ()))] for d, x in zip(long, table["inside"].take(pa.array(long)).to_pylist()))))
         full = np.zeros(len(n), np.int64)
-        full[long] = [len(c) - 2 for c in cuts]
+        full[long] = [len(c) - 2 for c in cuts.values()]
         last = np.zeros(len(n), np.int64)  # where a text's last piece begins
-        last[long] = [c[-2] for c in cuts]
-        full_doc = np.repeat(np.arange(len(n)), full)
+        last[long] = [c[-2] for c in cuts.values()]
+        n, full, last = n[row], full[row], last[row]
+        full_doc = np.repeat(np.arange(len(row)), full)
         full_piece = np.arange(full_doc.size) - np.repeat(np.cumsum(full) - full, full)
         # a text and what stands before the next one; the last text of a container needs no such room
         place = pack(n - last + between, capacity + between)
-        doc = np.concatenate((full_doc, np.arange(len(n))))
+        doc = np.concatenate((full_doc, np.arange(len(row))))
         piece = np.concatenate((full_piece, full))
         container = np.concatenate((np.arange(full_doc.size), full_doc.size + place)) + (shard << 32)
-        start = np.concatenate((np.array([x for c in cuts for x in c[:-2]], np.int64), last))
-        end = np.concatenate((np.array([x for c in cuts for x in c[1:-1]], np.int64), n))
+        whole = [cuts[r] for r in row.tolist() if r in cuts] if cuts else []
+        start = np.concatenate((np.array([x for c in whole for x in c[:-2]], np.int64), last))
+        end = np.concatenate((np.array([x for c in whole for x in c[1:-1]], np.int64), n))
+        of = pa.array(row[doc])
         columns = [
             pa.repeat(table["profile"][0], doc.size),
             pa.repeat(table["capacity"][0], doc.size),
             pa.array(container),
-            ids.take(pa.array(doc)),
+            table["id"].take(of),
             pa.array(piece),
             pa.array(start),
             pa.array(end),
             pa.array(end - start),
         ]
         if key:
-            columns.append(table["key"].combine_chunks().take(pa.array(doc)))
+            columns.append(table["key"].take(of))
         return pa.Table.from_arrays(columns, names=wanted.names).cast(wanted)
 
-    return items.groupBy("profile", "capacity", "shard").applyInArrow(fill, out)
+    def fill_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the rows of one unit, which may go on in the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            units = np.asarray(table["unit"])
+            for a, b in zip((cut := [0, *(np.flatnonzero(np.diff(units)) + 1).tolist(), len(units)]), cut[1:]):
+                if held and b > a and held[0]["unit"][0].as_py() != units[a]:
+                    yield from fill(pa.concat_tables(held).combine_chunks()).to_batches()
+                    held = []
+                if b > a:
+                    held.append(table.slice(a, b - a))
+        if held:
+            yield from fill(pa.concat_tables(held).combine_chunks()).to_batches()
+
+    return dealt.mapInArrow(fill_units, out)
 
 
 def text_key(text: Column | str) -> Column:
@@ -276,6 +317,9 @@ def combine_texts(
         known: dict[str, tuple[bytes, np.ndarray]] = {}  # each text of the batch is encoded once
         out = []
         for t, a, b in zip(body.to_pylist(), start.to_pylist(), end.to_pylist()):
+            if t is None:
+                out.append(None)
+                continue
             if t not in known:
                 sizes = [len(x) for x in encoding.decode_tokens_bytes(encoding.encode_ordinary(t))]
                 known[t] = t.encode(), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
@@ -288,13 +332,12 @@ def combine_texts(
         return pa.array(out, pa.string())
 
     cut.__annotations__ = {"body": pa.Array, "start": pa.Array, "end": pa.Array, "return": pa.Array}
-    joined = mine.join(texts, on)
-    # pieces of more than one are few: a token span that isn't the whole text needs the tokenizer
+    # pieces of more than one are few: a token span that isn't the whole text needs the tokenizer,
+    # and only these texts go to Python
     divided = mine.filter("piece > 0").select(*on).distinct().withColumn("d", F.lit(True))
-    known = joined.join(divided, on, "left")
-    whole = known.filter("d is null")
-    cuts = known.filter("d is not null").withColumn("t", F.arrow_udf(cut, T.StringType())("t", "token_from", "token_to"))
-    pieces = whole.unionByName(cuts)
+    known = mine.join(texts, on).join(divided, on, "left")
+    part = F.arrow_udf(cut, T.StringType())(F.when(F.col("d"), F.col("t")), "token_from", "token_to")
+    pieces = known.withColumn("t", F.coalesce(part, "t"))
     item = F.struct(F.col(id_col).alias("i"), F.col("piece").alias("p"), F.col("t").alias("t"))
     grouped = pieces.groupBy("profile", "capacity", "container_id").agg(F.sort_array(F.collect_list(item)).alias("l"), F.sum("n_tokens").alias("n_tokens"))
     body = F.array_join(F.transform("l", lambda x: x.t), between)
