@@ -49,3 +49,28 @@ def test_latest_of_key_and_empty(spark):
     empty = spark.createDataFrame([], DDL).drop("__tl_rn", "rank")
     assert top_n(empty, "g", "score", _order(), 3).count() == 0
     assert top_n(spark.createDataFrame([(1, "a", 1.0, 1, 0, "")], DDL).drop("__tl_rn", "rank"), "g", "score", _order(), 0).count() == 0
+
+
+def test_heavy_groups_of_every_kind_of_score(spark):
+    nan, inf = float("nan"), float("inf")
+    scores = [nan, inf, -inf, 1e305, -1e305, 0.0, -0.0, 1e-9, -1e-9, -5.25, None, 3.0, 3.0000001, 17.0]
+    rnd = random.Random(8)
+    rows = [(g, f"i{i:05d}", rnd.choice(scores), rnd.choice([None, 1, 2])) for i, g in enumerate(rnd.choices([1, 2, None, 4], [5, 3, 3, 0.2], k=900))]
+    df = spark.createDataFrame(rows, "g int, item string, score double, streak int")
+    for nulls, order in ((F.desc("score"), 0), (F.desc_nulls_first("score"), 1)):
+        for n in (1, 9, 400):
+            got = {(r.g, r.item) for r in top_n(df, "g", "score", [nulls, F.desc_nulls_last("streak"), F.asc("item")], n, heavy_rows=60).collect()}
+            want = set()
+            for g in {r[0] for r in rows}:
+                key = lambda r: ((order if r[2] is None else 1 - order), r[2] != r[2], 0 if r[2] is None or r[2] != r[2] else r[2] + 0.0, r[3] is not None, r[3] or 0)
+                mine = sorted(sorted((r for r in rows if r[0] == g), key=lambda r: r[1]), key=key, reverse=True)
+                want |= {(g, r[1]) for r in mine[:n]}
+            assert got == want, (n, order)
+
+
+def test_plan_does_not_grow_with_heavy_groups(spark):
+    rows = [(g, i) for g in range(12) for i in range(40)]
+    df = spark.createDataFrame(rows, "g int, score int").repartition(3)
+    few, many = (len(top_n(df, "g", "score", [F.desc("score")], 3, heavy_rows=h)._jdf.queryExecution().optimizedPlan().toString()) for h in (10**6, 30))
+    assert abs(few - many) < 200
+    assert top_n(df, "g", "score", [F.desc("score")], 3, heavy_rows=30).count() == 36

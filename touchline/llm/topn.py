@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.operators.skew import heavy_keys
 from touchline.session import shuffle_parts
 
 #: Groups below this many rows are ordinary.
 HEAVY_ROWS = 20_000
-_RN, _RANGE, _SALT = "__tl_rn", "__tl_range", "__tl_salt"
+#: Score ranges for each factor of e; a range is about 0.4 % wide.
+RANGES_PER_E = 256
+#: More possible heavy groups than this are joined by shuffle instead of broadcast.
+BROADCAST_GROUPS = 100_000
+_RN, _RANGE, _SALT, _KEY, _CUT, _SALTS = "__tl_rn", "__tl_range", "__tl_salt", "__tl_key", "__tl_cut", "__tl_salts"
 
 
 def latest_of_key(df: DataFrame, keys: list[str], at: str, columns: list[str]) -> DataFrame:
@@ -25,18 +30,13 @@ def latest_of_key(df: DataFrame, keys: list[str], at: str, columns: list[str]) -
     return found.select(*keys, *[F.col(f"__tl_best.c{i}").alias(c) for i, c in enumerate(columns)])
 
 
-def _bounds_of(df: DataFrame, group: str, found: list) -> Column:
-    """The cut points of a row's group, from (group, points) rows, as a constant map."""
-    kind = df.schema[group].dataType
-
-    def points(values) -> Column:
-        return F.array(*map(F.lit, values or [])).cast("array<double>")
-
-    known = [(k, b) for k, b in found if k is not None]
-    table = F.map_from_arrays(F.array(*[F.lit(k).cast(kind) for k, _ in known]), F.array(*[points(b) for _, b in known])) if known else None
-    missing = next((b for k, b in found if k is None), None)
-    of_null = F.when(F.col(group).isNull(), points(missing))
-    return of_null if table is None else of_null.otherwise(F.try_element_at(table, F.col(group)))
+def _range_of(score: str) -> Column:
+    """The range of a score, a long that never falls as the score rises; null of null, the largest of NaN."""
+    x = F.col(score).cast("double")
+    size = F.floor(F.log1p(F.abs(x) * F.lit(float(1 << 20))) * RANGES_PER_E)
+    far = F.lit(1 << 40)
+    near = F.when(F.abs(x) > 1e300, far).otherwise(size)
+    return F.when(F.isnan(x), far + 1).when(x < 0, -near).otherwise(near)
 
 
 def top_n(
@@ -54,41 +54,42 @@ def top_n(
     ``order`` must begin with descending ``score``, a number, and should decide all ties; rows
     that are equal in all of it are interchangeable. ``rank`` names a column for the position.
 
-    Exact counts split the groups. Light ones go through one window. Of a heavy group, one that
-    holds more than a fair partition, rows are sorted in ranges of the score (cut at approximate
-    quantiles of that group, which decides only balance), and ranges that ties make large are
-    salted by a hash of the row. Each (range, salt) yields its first n, and the group's first n
-    come from these. At most as many groups as there are shuffle partitions can be heavy, so their
-    cut points go into the plan as constants. Counts
-    may be taken from ``counts_of``, the rows before cheap filters, which saves a pass.
-
-    The null group is a group. Null scores sort as ``order`` says; NaN is the largest number.
-    n <= 0 and empty tables give no rows.
+    Exact counts split the groups. Light ones go through one window. A heavy group holds more than
+    a fair partition; its rows are counted by ranges of the score, and ranges below the one in which
+    its n-th row lies drop out before anything is sorted. What is left, still large where many rows
+    tie, is salted by a hash of the row; each (range, salt) is sorted and yields its first n, and the
+    group's first n come from these. Fewer groups than there are shuffle partitions can be heavy, so
+    their table, one row each, is broadcast (joined by shuffle beyond 100,000 partitions). Ranges
+    and both branches read the same rows: where ``df`` ends in a shuffle, Spark reuses it, and all
+    three scan the input once.
+
+    Counts may be taken from ``counts_of``, rows that include those of ``df`` and of which only the
+    group is read; groups that only look heavy there are served as well. The null group
+    is a group. Null scores sort as ``order`` says; NaN is the largest number. n <= 0 and empty
+    tables give no rows.
     """
     parts = shuffle_parts(df.sparkSession)
-    heavy = heavy_keys(counts_of if counts_of is not None else df, group, heavy_rows)
+    sizes = counts_of if counts_of is not None else df
+    limit = max(heavy_rows, ceil(sizes.count() / parts))
     named = rank or _RN
 
     def first_n(rows: DataFrame, by: list[str], out: str) -> DataFrame:
         return rows.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(out) <= n)
 
-    keys = [k for k, _ in heavy if k is not None]
-    is_heavy = F.coalesce(F.col(group).isin(keys), F.lit(False)) if keys else F.lit(False)
-    if any(k is None for k, _ in heavy):
-        is_heavy = is_heavy | F.col(group).isNull()
-    light = first_n(df.filter(~is_heavy) if heavy else df, [group], named)
-    if heavy:
-        big = df.filter(is_heavy)
-        pieces = max(2, min(64, parts))
-        cuts = [i / pieces for i in range(1, pieces)]
-        quantiles = (counts_of if counts_of is not None else df).filter(is_heavy).groupBy(group)
-        found = quantiles.agg(F.percentile_approx(F.col(score).cast("double"), cuts, 1000)).collect()
-        ranged = big.withColumns(
-            {
-                _RANGE: F.coalesce(F.size(F.filter(_bounds_of(df, group, found), lambda b: b < F.col(score).cast("double"))), F.lit(-1)),
-                _SALT: F.pmod(F.xxhash64(*df.columns), F.lit(min(parts, 16))),
-            }
-        )
-        candidates = first_n(ranged, [group, _RANGE, _SALT], _RN)
-        light = light.unionByName(first_n(candidates.drop(_RN, _RANGE, _SALT), [group], named))
-    return light if rank else light.drop(_RN)
+    def small(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if parts <= BROADCAST_GROUPS else table
+
+    heavy = sizes.groupBy(F.col(group).alias(_KEY)).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit).select(_KEY)
+    ranged = df.join(small(heavy), F.col(group).eqNullSafe(F.col(_KEY))).groupBy(_KEY, _range_of(score).alias("r")).agg(F.count(F.lit(1)).alias("c"))
+    above = F.coalesce(F.sum(F.when(F.col("r").isNotNull(), F.col("c"))).over(Window.partitionBy(_KEY).orderBy(F.desc_nulls_last("r")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # rows without a score may come first or last, so they stay
+    left = ranged.withColumn("above", above).filter((F.col("above") < n) | F.col("r").isNull())
+    salts = F.greatest(F.lit(1), F.least(F.lit(parts), F.ceil(F.sum("c") / limit)))
+    cuts = left.groupBy(_KEY).agg(F.coalesce(F.min("r"), F.lit(0)).alias(_CUT), salts.alias(_SALTS))
+    tagged = df.join(small(cuts), F.col(group).eqNullSafe(F.col(_KEY)), "left").withColumn(_RANGE, _range_of(score))
+    light = first_n(tagged.filter(F.col(_CUT).isNull()).select(*df.columns), [group], named)
+    big = tagged.filter(F.col(_CUT).isNotNull() & (F.col(_RANGE).isNull() | (F.col(_RANGE) >= F.col(_CUT))))
+    salted = big.withColumn(_SALT, F.pmod(F.xxhash64(*df.columns), F.col(_SALTS)))
+    candidates = first_n(salted, [group, _RANGE, _SALT], _RN)
+    found = light.unionByName(first_n(candidates.select(*df.columns), [group], named))
+    return found if rank else found.drop(_RN)
