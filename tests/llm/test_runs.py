@@ -43,6 +43,15 @@ def test_runs_match_brute_force(spark, hot, min_hot, chunk):
     assert got == _brute(rows)
 
 
+@pytest.mark.parametrize("hot, min_hot, chunk", [(0.1, 20_000, 1 << 18), (0.6, 60, 40)])
+def test_single_events_are_kept_where_asked(spark, hot, min_hot, chunk):
+    rows = _rows(700, hot, 5)
+    for least in (1, 3):
+        found = collapse_runs(spark.createDataFrame(rows, DDL), "e", "at", "id", "event", least, min_hot, chunk).collect()
+        got = {(r.e, r.event, r.first_id, r.last_id, r.first_at, r.last_at, r.n_events, r.duration_s) for r in found}
+        assert len(got) == len(found) and got == _brute(rows, least)
+
+
 @pytest.mark.parametrize("min_hot, chunk", [(50, 40), (20_000, 40), (50, 1 << 18)])
 def test_one_run_over_all_cuts(spark, min_hot, chunk):
     rows = [(7, T0 + timedelta(hours=i), i, "win", "", "") for i in range(500)]

@@ -43,11 +43,11 @@ def meaning(result):
     )
 
 
-def _series(spark: SparkSession, root: str) -> DataFrame:
+def _series(spark: SparkSession, root: str, least: int = 2) -> DataFrame:
     columns = ["home_team_id", "kickoff_utc", "api_fixture_id", "home_fulltime_result"]
     kept = kept_fixtures(spark, root, columns).withColumn("result", meaning(F.col("home_fulltime_result")))
     sizes = read_table(spark, root, "raw_fixtures").select("home_team_id", "kickoff_utc")
-    return collapse_runs(kept, "home_team_id", "kickoff_utc", "api_fixture_id", "result", sizes_of=sizes)
+    return collapse_runs(kept, "home_team_id", "kickoff_utc", "api_fixture_id", "result", least, sizes_of=sizes)
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
@@ -55,8 +55,8 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return found.select("home_team_id", F.col("first_id").alias("first_api_fixture_id"), F.col("n_events").cast("int").alias("n_events"))
 
 
-def p5_series(spark: SparkSession, root: str) -> DataFrame:
-    return _series(spark, root).select(
+def p5_series(spark: SparkSession, root: str, least: int = 2) -> DataFrame:
+    return _series(spark, root, least).select(
         "home_team_id",
         F.col("event").alias("result"),
         F.col("first_id").alias("first_api_fixture_id"),
@@ -68,6 +68,11 @@ def p5_series(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def p5_collapsed(spark: SparkSession, root: str) -> DataFrame:
+    """Whole sequences collapsed: series of one are in it too."""
+    return p5_series(spark, root, 1)
+
+
 def _sizes(spark: SparkSession, root: str) -> DataFrame:
     documents = read_table(spark, root, "documents")
     return materialise(documents.select("doc_id", "source", token_count("text").alias("n_tokens")), "sizes")
@@ -109,6 +114,14 @@ def p7_report(spark: SparkSession, root: str) -> DataFrame:
     return mixing_report(mix(sizes, rates, "doc_id"), rates)
 
 
+def p7_capped(spark: SparkSession, root: str) -> DataFrame:
+    """A mixture as large as all documents together, for which scarce sources reach their cap and fall short."""
+    sizes = _sizes(spark, root)
+    total = sizes.agg(F.sum("n_tokens").alias("t")).first()["t"] or 0
+    rates = mixing_rates(sizes, read_table(spark, root, "mix_targets"), total)
+    return mixing_report(mix(sizes, rates, "doc_id"), rates)
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return look_alike_pairs(read_table(spark, root, "documents"), "doc_id", "text")
 
@@ -126,12 +139,14 @@ QUERIES = {
     "p4_ranked": p4_ranked,
     "p5_found": p5_found,
     "p5_series": p5_series,
+    "p5_collapsed": p5_collapsed,
     "p6_pack": p6_pack,
     "p6_containers": p6_containers,
     "p6_texts": p6_texts,
     "p6_report": p6_report,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
+    "p7_capped": p7_capped,
     "p8_found": p8_found,
     "p8_links": p8_links,
     "p8_classes": p8_classes,
@@ -166,7 +181,7 @@ kept AS (
          last(api_fixture_id ORDER BY kickoff_utc, api_fixture_id) AS last_api_fixture_id,
          CAST(floor(epoch(min(kickoff_utc))) AS BIGINT) AS first_s, CAST(floor(epoch(max(kickoff_utc))) AS BIGINT) AS last_s,
          CAST(count(*) AS INTEGER) AS n_events
-  FROM numbered GROUP BY home_team_id, result, island HAVING count(*) > 1
+  FROM numbered GROUP BY home_team_id, result, island
 )"""
 
 #: Letters that look like Latin ones, written out a second time for the SQL.
@@ -210,6 +225,7 @@ UNION ALL SELECT doc_id, doc_id, doc_id, 0 FROM documents WHERE text IS NULL""",
     "p4_found": f"WITH {_BEST} SELECT league_season_id, team_id, event_name, context FROM ranked WHERE rank <= 10",
     "p4_ranked": f"""WITH {_BEST} SELECT league_season_id, event_name, context, team_id, score, streak_length, CAST(rank AS INTEGER) AS rank
 FROM ranked WHERE rank <= 10""",
-    "p5_found": f"WITH {_SERIES} SELECT home_team_id, first_api_fixture_id, n_events FROM series",
-    "p5_series": f"WITH {_SERIES} SELECT *, CAST(last_s - first_s AS BIGINT) AS duration_s FROM series",
+    "p5_found": f"WITH {_SERIES} SELECT home_team_id, first_api_fixture_id, n_events FROM series WHERE n_events > 1",
+    "p5_series": f"WITH {_SERIES} SELECT *, CAST(last_s - first_s AS BIGINT) AS duration_s FROM series WHERE n_events > 1",
+    "p5_collapsed": f"WITH {_SERIES} SELECT *, CAST(last_s - first_s AS BIGINT) AS duration_s FROM series",
 }

@@ -22,6 +22,7 @@ CHUNK = 1 << 18
 _FIRST = 0x100
 _END = chr(_FIRST - 1)
 _REPEATED = re.compile(r"([^" + _END + r"])\1+", re.S)
+_EVERY = re.compile(r"([^" + _END + r"])\1*", re.S)
 _ANY = re.compile(r"(.)\1*", re.S)
 
 
@@ -35,10 +36,10 @@ def _text(symbols: np.ndarray) -> str:
     return symbols.astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _spans(rows: pa.Table, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _spans(rows: pa.Table, cut: np.ndarray, single: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(first row, end row, touches the start, touches the end) of each run in sorted rows.
 
-    Whole entities yield runs of two or more. Pieces of a sequence, where ``cut`` is true, yield
+    Whole entities yield runs of two or more, or of one too if ``single``. Pieces of a sequence, where ``cut`` is true, yield
     their first and last run at any length, flagged, as these may go on in the next piece.
     """
     n = rows.num_rows
@@ -46,7 +47,7 @@ def _spans(rows: pa.Table, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     new = np.flatnonzero(np.r_[True, np.asarray(pc.not_equal(seg.slice(1), seg.slice(0, n - 1)))])
     # one string for all entities of the piece, an end sign after each
     text = _text(np.insert(symbols, new[1:], np.uint32(_FIRST - 1)))
-    found = np.array([m.span() for m in _REPEATED.finditer(text)], np.int64).reshape(-1, 2)
+    found = np.array([m.span() for m in (_EVERY if single else _REPEATED).finditer(text)], np.int64).reshape(-1, 2)
     shift = np.arange(new.size)  # row = position minus the end signs before it
     starts_in_text = new + shift
     which = np.searchsorted(starts_in_text, found[:, 0], side="right") - 1
@@ -77,7 +78,7 @@ def collapse_runs(
     chunk: int = CHUNK,
     sizes_of: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per run of equal consecutive events of an entity, of ``min_events`` (at least 2) or more.
+    """One row per run of equal consecutive events of an entity, of ``min_events`` or more; with 1, single events come out too.
 
     Returns ``entity``, event, first_id and last_id (values of ``tie``), first_at, last_at,
     n_events long, duration_s double. Order within an entity is ``at``, then ``tie``. Near-identical
@@ -138,7 +139,7 @@ def collapse_runs(
             # cut are sliced entities, pieces after the first, and the piece that goes on
             cut = np.asarray(pc.greater(table["__tl_slice"], 0)) | (first_of & (piece > 0)) | (last_of & goes_on)
             numbers = np.where(first_of, piece, 0).astype(np.int32)
-            a, b, at_start, at_end = _spans(table, cut)
+            a, b, at_start, at_end = _spans(table, cut, min_events < 2)
             if a.size:
                 one, two = table.take(pa.array(a)), table.take(pa.array(b - 1))
                 found = [one["__tl_entity"], one["__tl_event"], one["__tl_tie"], two["__tl_tie"], one["__tl_at"], two["__tl_at"]]
@@ -187,7 +188,7 @@ def collapse_runs(
     whole = found.filter(~edge).select(*columns)
     if any_cut:
         whole = whole.unionByName(joined.select(*columns))
-    return whole.filter(F.col("n_events") >= max(2, min_events)).select(
+    return whole.filter(F.col("n_events") >= min_events).select(
         F.col("__tl_entity").alias(entity),
         "event",
         "first_id",
