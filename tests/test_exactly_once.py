@@ -89,3 +89,34 @@ def test_batches_accept_once(spark):
     assert sorted(named) == sorted(every)
     ranges = [r for r in seen.collect() if r.lo is not None]
     assert sum(r.hi - r.lo + 1 for r in ranges) == len(every) - 1
+
+
+def test_scattered_numbers_leave_nothing_behind():
+    """A task holds the ranges of one block, so the work is in proportion to the rows."""
+    import pyarrow as pa
+
+    from touchline.operators.exactly_once import _Gate
+
+    rng = np.random.default_rng(2)
+    seq = np.sort(rng.integers(0, 1 << 60, 400_000))
+    seq[1::4] = seq[::4]
+    gate, kept = _Gate(), 0
+    for a in range(0, seq.size, 10_000):
+        part = pa.array(seq[a : a + 10_000])
+        kept += int(gate.accepted(pa.array([""] * len(part)), part, pa.nulls(len(part), pa.string()), np.zeros(len(part), bool)).sum())
+        assert gate.ranges.lo.size <= 2
+    assert kept == np.unique(seq).size
+
+
+def test_only_malformed_identifiers(spark):
+    import uuid
+
+    rnd = random.Random(3)
+    ids = [f"{uuid.UUID(int=rnd.getrandbits(128))}x" for _ in range(300)]
+    rows = [(rnd.choice(ids), i) for i in range(2000)]
+    marked = exactly_once(spark.createDataFrame(rows, "id string, at int").repartition(5), "id", ["at"]).collect()
+    newest = {}
+    for k, at in rows:
+        newest[k] = max(at, newest.get(k, -1))
+    assert {(r.id, r.at) for r in marked if r.is_kept} == set(newest.items())
+    assert len(marked) == len(rows) and sum(r.is_kept for r in marked) == len(newest)

@@ -16,7 +16,6 @@ from touchline.session import shuffle_parts
 _PRODUCER, _SEQ, _EXACT, _DUP, _ROW = "__tl_producer", "__tl_seq", "__tl_exact", "__tl_dup", "__tl_row"
 #: Numbers of one producer that share a task; larger producers spread over many tasks.
 BLOCK_BITS = 14
-_LOW_BITS = 32
 
 
 class SeenRanges:
@@ -49,31 +48,48 @@ class SeenRanges:
 
 
 class _Gate:
-    """What one task has seen: ranges of sequence numbers, and exact keys for malformed identifiers."""
+    """What one task has seen where it stands: the ranges of the block of numbers it is in, and the last exact key.
+
+    Rows come sorted by producer, block and exact key, so nothing before has to be kept.
+    """
 
     def __init__(self) -> None:
         self.ranges = SeenRanges()
-        self.exact: set[str] = set()
-        self.codes: dict[tuple, int] = {}
+        self.block: tuple | None = None
+        self.exact: str | None = None
+
+    def numbered(self, producer: pa.Array, seq: np.ndarray) -> np.ndarray:
+        """Positions of the accepted numbers."""
+        block = seq >> BLOCK_BITS
+        change = np.r_[True, np.asarray(pc.not_equal(producer.slice(1), producer.slice(0, len(producer) - 1))) | (np.diff(block) != 0)]
+        part = np.cumsum(change) - 1
+        end = (producer[-1].as_py(), int(block[-1]))
+        begin = int(np.searchsorted(part, 1)) if (producer[0].as_py(), int(block[0])) == self.block else 0
+        goes_on = self.ranges.accept(seq[:begin])
+        _, first = np.unique(part[begin:] << BLOCK_BITS | (seq[begin:] & ((1 << BLOCK_BITS) - 1)), return_index=True)
+        if begin < seq.size:
+            self.ranges, self.block = SeenRanges(), end
+            self.ranges.accept(seq[part == part[-1]])
+        return np.concatenate((goes_on, first + begin))
+
+    def named(self, exact: pa.Array) -> np.ndarray:
+        """Whether each exact key, in order, differs from the one before it."""
+        other = np.asarray(pc.not_equal(exact.slice(1), exact.slice(0, len(exact) - 1)))
+        fresh = np.r_[exact[0].as_py() != self.exact, other]
+        self.exact = exact[-1].as_py()
+        return fresh
 
     def accepted(self, producer: pa.Array, seq: pa.Array, exact: pa.Array, skip: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(seq), bool)
-        numbered = np.flatnonzero(np.asarray(pc.is_valid(seq)) & ~skip)
-        if numbered.size:
-            value = np.asarray(seq.take(pa.array(numbered)))
-            names = producer.take(pa.array(numbered)).dictionary_encode()
-            pair = np.stack((np.asarray(names.indices).astype(np.int64), value >> _LOW_BITS), 1)
-            kinds, which = np.unique(pair, axis=0, return_inverse=True)
-            words = names.dictionary.to_pylist()
-            code = np.array([self.codes.setdefault((words[a], int(b)), len(self.codes)) for a, b in kinds], np.int64)
-            out[numbered[self.ranges.accept((code[which.ravel()] << _LOW_BITS) | (value & ((1 << _LOW_BITS) - 1)))]] = True
-        for i in np.flatnonzero(np.asarray(pc.is_valid(exact)) & ~skip):
-            key = exact[int(i)].as_py()
-            if key not in self.exact:
-                self.exact.add(key)
-                out[i] = True
-        nameless = np.asarray(pc.is_null(seq)) & np.asarray(pc.is_null(exact))
-        return out | nameless
+        has_seq, has_exact = np.asarray(pc.is_valid(seq)), np.asarray(pc.is_valid(exact))
+        out = ~has_seq & ~has_exact
+        at = np.flatnonzero(has_seq & ~skip)
+        if at.size:
+            where = pa.array(at)
+            out[at[self.numbered(producer.take(where), np.asarray(seq.take(where)))]] = True
+        at = np.flatnonzero(has_exact & ~skip)
+        if at.size:
+            out[at] = self.named(exact.take(pa.array(at)))
+        return out
 
 
 def _pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,21 +129,23 @@ def exactly_once(df: DataFrame, id_col: str, newest: list[str], carry: list[str]
     equal in all of these are ordered by a hash of the carried columns, so that repeated rows keep
     exactly one copy, and the same one when a lost task runs again.
 
-    Rows are read newest first against the disjoint ranges of sequence numbers seen so far: an
-    uncovered number is accepted and merged into the ranges, a covered one is a copy. This runs
-    twice. Each input partition first gates its own rows, without a shuffle, so an identifier that
-    a third of all rows carry leaves a partition as one candidate. Candidates then meet in the
-    task of their (producer, block of 2^14 numbers); rows already known as copies are spread
-    evenly by their hash and only pass through. Memory of a task is its ranges. Malformed
-    identifiers are looked up by their exact text in the same way. Rows with a null identifier
-    have no copies and are all kept. An empty input gives an empty result. Columns other than
-    those named are not read; names of the input can't clash, as only carried columns stay.
+    Rows of a producer's block of 2^14 numbers come newest first and meet the disjoint ranges of
+    numbers seen so far: an uncovered number is accepted and merged into the ranges, a covered one
+    is a copy. Ranges are dropped where their block ends, so a task holds those of one block. This
+    runs twice. Each input partition first gates its own rows, without a shuffle, so an identifier
+    that a third of all rows carry leaves a partition as one candidate. Candidates then meet in the
+    task of their block; rows already known as copies are spread evenly by their hash and only pass
+    through. Malformed identifiers come sorted by their exact text and are looked up in the text
+    before, in whole arrays. Rows with a null identifier have no copies and are all kept. An empty
+    input gives an empty result. Columns other than those named are not read; names of the input
+    can't clash, as only carried columns stay.
     """
     carry = list(carry or df.columns)
     producer, seq, exact = identifier_parts(df, id_col)
     spark = df.sparkSession
     parts = shuffle_parts(spark)
-    order = [F.desc_nulls_last(f"__tl_o{i}") for i in range(len(newest))] + [F.asc(_ROW)]
+    newest_first = [F.desc_nulls_last(f"__tl_o{i}") for i in range(len(newest))] + [F.asc(_ROW)]
+    order = [F.col(_DUP), F.col(_PRODUCER), F.shiftright(_SEQ, BLOCK_BITS), F.col(_EXACT), *newest_first]
     gated = df.select(
         *carry,
         *[F.col(c).alias(f"__tl_o{i}") for i, c in enumerate(newest)],
