@@ -4,7 +4,9 @@ from datetime import datetime, timedelta
 import pyarrow as pa
 import pytest
 
-from touchline.operators.history import close_versions, entity_history, merge_runs
+from pyspark.sql import functions as F
+
+from touchline.operators.history import SnapshotRuns, close_versions, entity_history, merge_runs
 
 T0 = datetime(2024, 1, 1)
 DDL = "e int, f string, at timestamp, created timestamp, rank int, form string, valid_from string, __x int"
@@ -69,6 +71,51 @@ def test_many_copies_of_one_instant(spark):
     assert got == _brute(rows) and len(got) == len(found)
 
 
+def test_keys_that_join_to_the_same_text_stay_apart(spark):
+    odd = ["a\u0001b", "c", "a", "b\u0001c", "\u0002", None, "", "1:a", "-", "a\u0003"]
+    rows = [(a, b, T0, T0, 1, "W") for a in odd for b in odd]
+    df = spark.createDataFrame(rows, "e string, f string, at timestamp, created timestamp, rank int, form string")
+    assert {(r.e, r.f) for r in entity_history(df, ["e", "f"], "at", "created", ["rank", "form"]).collect()} == {(a, b) for a in odd for b in odd}
+
+
+@pytest.mark.parametrize("min_hot", [20_000, 60])
+def test_a_new_run_joins_the_old_ones(spark, tmp_path, min_hot):
+    first, second = _rows(500, 6, 0.5), _rows(300, 7, 0.5)
+    runs = SnapshotRuns(spark, f"file://{tmp_path}/h", ["e", "f"], "at", "created", ["rank", "form"])
+    runs.add(spark.createDataFrame(first, DDL), F.year("created"), min_hot)
+
+    def written():
+        return {p: p.stat().st_mtime_ns for p in (tmp_path / "h" / "runs").rglob("*.parquet")}
+
+    def found():
+        rows = runs.history().collect()
+        got = {(r.e, r.f, r.rank, r.form, r.valid_from, r.valid_to) for r in rows}
+        assert len(got) == len(rows)
+        return got
+
+    assert found() == _brute(first)
+    old = written()
+    runs.add(spark.createDataFrame(second, DDL), F.lit("second"))
+    assert old.items() <= written().items() and len(written()) > len(old)
+    assert found() == _brute(first + second)
+    runs.add(spark.createDataFrame(second, DDL), F.lit("second"))  # a run written again takes its own place
+    assert found() == _brute(first + second)
+
+
+def test_files_are_replaced_in_one_step(spark, tmp_path):
+    from touchline import files
+
+    path = f"file://{tmp_path}/a/marker"
+    assert files.read_text(spark, path) is None and files.children(spark, f"file://{tmp_path}/a") == []
+    files.write_text(spark, path, "one é")
+    files.write_text(spark, path, "two")
+    assert files.read_text(spark, path) == "two" and files.exists(spark, path)
+    assert files.children(spark, f"file://{tmp_path}/a") == ["marker"]
+    assert abs(files.modified_at(spark, path) - __import__("time").time()) < 60
+    files.delete(spark, path)
+    assert not files.exists(spark, path)
+
+
 def test_empty(spark):
     assert entity_history(spark.createDataFrame([], DDL), ["e", "f"], "at", "created", ["rank", "form"]).count() == 0
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from touchline.operators.skew import MIN_HOT_ROWS, time_slices
+from touchline import files
+from touchline.operators.skew import MIN_HOT_ROWS, cut_by, slice_bounds
 from touchline.session import materialise, new_shared_path, shuffle_parts
 
 #: What runs are sorted by: entity (and slice), time, delivery, and a hash that settles exact ties.
@@ -132,29 +135,133 @@ def _chunks(array) -> list[pa.Array]:
     return array.chunks if isinstance(array, pa.ChunkedArray) else [array]
 
 
-def _open_run(uri: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """Batches of one run's file, in its order; the file is read row group by row group."""
+def _runs_of(root: str, bucket: int, columns: list[str]) -> list[Iterator[pa.RecordBatch]]:
+    """The runs' files of one bucket below ``root``, found by the task that merges them."""
     import pyarrow.fs as pafs
+
+    root = root[5:] if root.startswith("file:/") and not root.startswith("file://") else root
+    system, base = (pafs.LocalFileSystem(), root) if root.startswith("/") else pafs.FileSystem.from_uri(root)
+    runs = [f.path for f in system.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.base_name.startswith("__tl_run=")]
+    found = []
+    for run in sorted(runs):
+        held = system.get_file_info(pafs.FileSelector(f"{run}/__tl_bucket={bucket}", allow_not_found=True))
+        found += sorted(f.path for f in held if f.base_name.endswith(".parquet") and f.base_name[0] not in "._")
+    return [_read_run(system, path, columns) for path in found]
+
+
+def _read_run(system, path: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of one run's file, in its order; the file is read row group by row group."""
     import pyarrow.parquet as pq
 
-    system, path = (pafs.LocalFileSystem(), uri) if uri.startswith("/") else pafs.FileSystem.from_uri(uri)
     with system.open_input_file(path) as source:
         yield from pq.ParquetFile(source).iter_batches(batch_size=BATCH_ROWS, columns=columns, use_threads=False)
 
 
-def _files(spark: SparkSession, path: str) -> list[tuple[int, str]]:
-    """(bucket, file) of a table written with a ``__tl_bucket`` folder per bucket; metadata only."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    walk = system.listFiles(root, True)
-    found = []
-    while walk.hasNext():
-        uri = walk.next().getPath().toString()
-        if uri.endswith(".parquet"):
-            uri = uri[5:] if uri.startswith("file:/") and not uri.startswith("file://") else uri
-            found.append((int(uri.rpartition("__tl_bucket=")[2].partition("/")[0]), uri))
-    return found
+def _entity(keys: list[str]) -> Column:
+    """One text for the key columns that differs wherever one of them does: each value after its length, null apart."""
+    text = [F.col(k).cast("string") for k in keys]
+    return F.concat(*[F.when(t.isNull(), "-").otherwise(F.concat(F.length(t).cast("string"), F.lit(":"), t)) for t in text])
+
+
+@dataclass(frozen=True)
+class SnapshotRuns:
+    """Snapshots in the folder ``root`` as runs: co-partitioned by entity and sorted by entity and time.
+
+    ``add`` sorts and writes new snapshots as runs beside the old ones, which are left as they are;
+    ``history`` merges all runs. Buckets, and the cuts of entities that are large when the first run
+    is added, are settled then and kept in ``root``/layout; an entity that grows large later is
+    merged by one task, in bounded memory, until its runs are written anew into another folder.
+    """
+
+    spark: SparkSession
+    root: str
+    keys: list[str]
+    at: str
+    delivered: str
+    payload: list[str]
+
+    @property
+    def _names(self) -> list[str]:
+        return [f"__tl_k{i}" for i in range(len(self.keys))]
+
+    @property
+    def _values(self) -> list[str]:
+        return [f"__tl_v{i}" for i in range(len(self.payload))]
+
+    def _layout(self, snapshots: DataFrame | None = None, min_hot_rows: int = MIN_HOT_ROWS) -> dict:
+        """What was settled with the first run: at most a few numbers for each partition."""
+        path = f"{self.root}/layout"
+        text = files.read_text(self.spark, path)
+        if text is None:
+            if snapshots is None:
+                raise ValueError(f"no runs in {self.root}")
+            bounds, _ = slice_bounds(snapshots, "__tl_e", _T, min_hot_rows)
+            kept = snapshots.select(*self._names, *self._values).schema
+            text = json.dumps({"buckets": shuffle_parts(self.spark), "bounds": bounds, "types": kept.json()})
+            files.write_text(self.spark, path, text)
+        return json.loads(text)
+
+    def add(self, df: DataFrame, run: Column, min_hot_rows: int = MIN_HOT_ROWS) -> None:
+        """Write snapshots as the runs that the column ``run`` names; a run that exists is replaced."""
+        name, value = self._names, self._values
+        snapshots = df.filter(F.col(self.at).isNotNull()).select(
+            *[F.col(k).alias(n) for k, n in zip(self.keys, name)],
+            *[F.col(p).alias(v) for p, v in zip(self.payload, value)],
+            _entity(self.keys).alias("__tl_e"),
+            F.unix_micros(F.col(self.at).cast("timestamp")).alias(_T),
+            F.coalesce(F.unix_micros(F.col(self.delivered).cast("timestamp")), F.lit(-(2**63) + 1)).alias(_D),
+            run.alias("__tl_run"),
+        )
+        # no constant, even if the run is one: else the writer's own sort would take the place of the one below
+        snapshots = snapshots.withColumn("__tl_run", F.concat(F.col("__tl_run").cast("string"), F.substring("__tl_e", 1, 0)))
+        layout = self._layout(snapshots, min_hot_rows)
+        parts = layout["buckets"]
+        sliced = cut_by(snapshots, "__tl_e", _T, "__tl_slice", [tuple(b) for b in layout["bounds"]])
+        ordered = sliced.withColumns(
+            {
+                _SEG: F.concat("__tl_e", F.lpad(F.col("__tl_slice").cast("string"), 9, "0")),
+                _H: F.xxhash64(*value),
+                "__tl_bucket": F.pmod(F.xxhash64("__tl_e", "__tl_slice"), F.lit(parts)).cast("int"),
+            }
+        )
+        ordered = ordered.select(*name, *value, "__tl_e", "__tl_slice", _SEG, _T, _D, _H, "__tl_bucket", "__tl_run")
+        if layout["bounds"]:  # copies of one snapshot of a heavy entity shrink to one row on the map side
+            ordered = ordered.filter("__tl_slice = 0").unionByName(_newest_of_instant(ordered.filter("__tl_slice > 0"), name, value))
+        (
+            ordered.repartitionById(parts, F.col("__tl_bucket"))
+            .sortWithinPartitions("__tl_run", "__tl_bucket", _SEG, _T, _D, _H)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("__tl_run", "__tl_bucket")
+            .parquet(f"{self.root}/runs")
+        )
+
+    def history(self) -> DataFrame:
+        """The versions of ``entity_history``, from all runs added so far; no run is sorted again."""
+        layout, name, value = self._layout(), self._names, self._values
+        types = T.StructType.fromJson(json.loads(layout["types"]))
+        out = T.StructType(
+            [*types, T.StructField("__tl_e", T.StringType()), T.StructField("__tl_slice", T.IntegerType()), T.StructField(_T, T.LongType())]
+            + [T.StructField("__tl_first", T.BooleanType()), T.StructField("__tl_to", T.LongType())]
+        )
+        columns, wanted, root = [*types.names, "__tl_e", "__tl_slice", _SEG, _T, _D, _H], to_arrow_schema(out), f"{self.root}/runs"
+
+        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for bucket in batch.column(0).to_pylist():
+                    for table in close_versions(merge_runs(_runs_of(root, bucket, columns)), value):
+                        yield from table.select(wanted.names).cast(wanted).to_batches()
+
+        # a task for each bucket; it lists its own files
+        versions = self.spark.range(0, layout["buckets"], 1, layout["buckets"]).mapInArrow(merge, out)
+        joined = _join_slices(materialise(versions, "versions"), value) if layout["bounds"] else versions
+        return joined.select(
+            *[F.col(n).alias(k) for n, k in zip(name, self.keys)],
+            *[F.col(v).alias(p) for v, p in zip(value, self.payload)],
+            F.timestamp_micros(_T).alias("valid_from"),
+            F.timestamp_micros("__tl_to").alias("valid_to"),
+            F.col("__tl_to").isNull().alias("is_current"),
+        )
 
 
 def entity_history(
@@ -173,76 +280,21 @@ def entity_history(
     valid_to. Of snapshots with equal ``at`` the one with the latest ``delivered`` counts (a null
     delivery is the earliest; of exact ties the largest payload hash counts).
 
-    Snapshots are written to the shared folder as runs, by default one for each year of delivery
-    (or of the column ``run``): co-partitioned by entity and sorted by entity and time. A task
-    then opens the k runs of its partition and merges their iterators; it holds one batch of each
-    run and the open version, never a history. The history of an entity with more rows than a
-    fair share is cut into slices of time, which different tasks merge, and versions that go on
-    across a cut are joined from the slices' first and last versions alone. Copies of one snapshot
-    of such an entity, even a third of all rows, are combined before they are shuffled.
+    Snapshots are written to the shared folder as runs (``SnapshotRuns``), by default one for each
+    year of delivery (or of the column ``run``): co-partitioned by entity and sorted by entity and
+    time. A task then opens the k runs of its partition and merges their iterators; it holds one
+    batch of each run and the open version, never a history. The history of an entity with more
+    rows than a fair share is cut into slices of time, which different tasks merge, and versions
+    that go on across a cut are joined from the slices' first and last versions alone. Copies of one
+    snapshot of such an entity, even a third of all rows, are combined before they are shuffled.
 
     Null key values form an entity of their own, as in GROUP BY. Rows with a null ``at`` have no
     place in time and are left out. Null payloads are equal only to null. Empty input: no rows.
     Other columns are not read, whatever their names.
     """
-    spark = df.sparkSession
-    parts = shuffle_parts(spark)
-    name = [f"__tl_k{i}" for i in range(len(keys))]
-    value = [f"__tl_v{i}" for i in range(len(payload))]
-    entity = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in keys])
-    snapshots = df.filter(F.col(at).isNotNull()).select(
-        *[F.col(k).alias(n) for k, n in zip(keys, name)],
-        *[F.col(p).alias(v) for p, v in zip(payload, value)],
-        entity.alias("__tl_e"),
-        F.unix_micros(F.col(at).cast("timestamp")).alias(_T),
-        F.coalesce(F.unix_micros(F.col(delivered).cast("timestamp")), F.lit(-(2**63) + 1)).alias(_D),
-        (F.year(delivered) if run is None else F.col(run)).cast("string").alias("__tl_run"),
-    )
-    sliced, _, cut = time_slices(snapshots, "__tl_e", _T, "__tl_slice", min_hot_rows)
-    ordered = sliced.withColumns(
-        {
-            _SEG: F.concat_ws("\u0003", "__tl_e", F.lpad(F.col("__tl_slice").cast("string"), 9, "0")),
-            _H: F.xxhash64(*value),
-            "__tl_bucket": F.pmod(F.xxhash64("__tl_e", "__tl_slice"), F.lit(parts)).cast("int"),
-        }
-    )
-    kept = [*name, *value, "__tl_e", "__tl_slice", _SEG, _T, _D, _H]
-    ordered = ordered.select(*kept, "__tl_bucket", "__tl_run")
-    if cut:  # copies of one snapshot of a heavy entity shrink to one row on the map side
-        ordered = ordered.filter("__tl_slice = 0").unionByName(_newest_of_instant(ordered.filter("__tl_slice > 0"), name, value))
-    path = new_shared_path(spark, "runs")
-    (
-        ordered.repartitionById(parts, F.col("__tl_bucket"))
-        .sortWithinPartitions("__tl_bucket", "__tl_run", _SEG, _T, _D, _H)
-        .write.partitionBy("__tl_bucket", "__tl_run")
-        .parquet(path)
-    )
-    written = ordered.select(*kept).schema
-    out = T.StructType(
-        [f for f in written if f.name not in (_SEG, _D, _H)]
-        + [T.StructField("__tl_first", T.BooleanType()), T.StructField("__tl_to", T.LongType())]
-    )
-    columns, wanted = kept, to_arrow_schema(out)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for files in batch.column(0).to_pylist():
-                for table in close_versions(merge_runs([_open_run(f, columns) for f in files]), value):
-                    yield from table.select(wanted.names).cast(wanted).to_batches()
-
-    files: dict[int, list[str]] = {}
-    for bucket, uri in _files(spark, path):
-        files.setdefault(bucket, []).append(uri)
-    tasks = spark.createDataFrame([(b, sorted(f)) for b, f in sorted(files.items())], "b int, f array<string>")
-    versions = tasks.repartitionById(max(1, parts), F.col("b")).select("f").mapInArrow(merge, out)
-    joined = _join_slices(materialise(versions, "versions"), value) if cut else versions
-    return joined.select(
-        *[F.col(n).alias(k) for n, k in zip(name, keys)],
-        *[F.col(v).alias(p) for v, p in zip(value, payload)],
-        F.timestamp_micros(_T).alias("valid_from"),
-        F.timestamp_micros("__tl_to").alias("valid_to"),
-        F.col("__tl_to").isNull().alias("is_current"),
-    )
+    runs = SnapshotRuns(df.sparkSession, new_shared_path(df.sparkSession, "runs"), keys, at, delivered, payload)
+    runs.add(df, F.year(delivered) if run is None else F.col(run), min_hot_rows)
+    return runs.history()
 
 
 def _newest_of_instant(rows: DataFrame, name: list[str], value: list[str]) -> DataFrame:
