@@ -54,3 +54,17 @@ def test_empty_tables(spark):
     assert reference_report(refs, pars).count() == 0
     refs, pars = _frames(spark, [(5, T0, T0, "", "", 1)], [])
     assert [r.kind for r in dangling_references(refs, pars).collect()] == ["missing"]
+
+
+def test_keys_of_other_types(spark):
+    child = spark.createDataFrame([("a-1", T0, T0), ("b", T0, T0), ("7", T0, T0), (None, T0, T0)], "k string, at timestamp, created_at timestamp")
+    text = spark.createDataFrame([("b", T0), ("c", T0)], "id string, created_at timestamp")
+    whole = spark.createDataFrame([(7, T0 + timedelta(days=1))], "id int, created_at timestamp")
+    refs = [Reference(child, "c", "k", p, "at") for p in ("text", "whole")]
+    found = dangling_references([refs[0]], [Parent(text, "text", "id")])
+    assert found.schema["ref_key"].dataType.simpleString() == "string"
+    assert {(r.ref_key, r.kind) for r in found.collect()} == {("a-1", "missing"), ("7", "missing")}
+    parents = [Parent(text, "text", "id"), Parent(whole, "whole", "id")]
+    kinds = {r.ref_key: r.kind for r in dangling_references([refs[1]], parents).collect()}
+    assert kinds == {"a-1": "missing", "b": "missing", "7": "late"}
+    assert {(r.kind, r.n_keys) for r in reference_report([refs[1]], parents).collect()} == {("missing", 2), ("late", 1)}

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -35,11 +36,17 @@ def _period(column: str):
     return F.date_format(F.col(column).cast("timestamp"), "yyyy-MM")
 
 
-def _children(references: list[Reference]) -> DataFrame:
+def _key_type(references: list[Reference], parents: list[Parent]) -> str:
+    """long if all keys are whole numbers, else string, so that keys of any type can be compared."""
+    kinds = [r.rows.schema[r.column].dataType for r in references] + [p.rows.schema[p.key].dataType for p in parents]
+    return "long" if all(isinstance(k, T.IntegralType) for k in kinds) else "string"
+
+
+def _children(references: list[Reference], kind: str) -> DataFrame:
     parts = [
         ref.rows.select(
             F.lit(ref.parent).alias("parent"),
-            F.col(ref.column).cast("long").alias("key"),
+            F.col(ref.column).cast(kind).alias("key"),
             F.lit(ref.table).alias("src_table"),
             F.lit(ref.column).alias("src_column"),
             _period(ref.period_from).alias("period"),
@@ -51,12 +58,12 @@ def _children(references: list[Reference]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _parents(parents: list[Parent]) -> DataFrame:
+def _parents(parents: list[Parent], kind: str) -> DataFrame:
     nothing = F.lit(None).cast("string")
     parts = [
         parent.rows.select(
             F.lit(parent.name).alias("parent"),
-            F.col(parent.key).cast("long").alias("key"),
+            F.col(parent.key).cast(kind).alias("key"),
             nothing.alias("src_table"),
             nothing.alias("src_column"),
             nothing.alias("period"),
@@ -69,9 +76,10 @@ def _parents(parents: list[Parent]) -> DataFrame:
 
 
 def _judged(references: list[Reference], parents: list[Parent]) -> DataFrame:
+    kind = _key_type(references, parents)
     combined = (
-        _children(references)
-        .unionByName(_parents(parents))
+        _children(references, kind)
+        .unionByName(_parents(parents, kind))
         .groupBy("parent", "key", "src_table", "src_column", "period", "is_parent")
         .agg(F.count(F.lit(1)).alias("n"), F.min("written").alias("first_written"), F.max("written").alias("last_written"))
     )
@@ -82,12 +90,15 @@ def _judged(references: list[Reference], parents: list[Parent]) -> DataFrame:
             "born": F.min(F.when(F.col("is_parent"), F.col("first_written"))).over(group),
         }
     )
-    kind = F.when(~F.col("has_parent"), "missing").when(F.col("first_written") < F.col("born"), "late")
-    return flagged.filter(~F.col("is_parent")).withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    fault = F.when(~F.col("has_parent"), "missing").when(F.col("first_written") < F.col("born"), "late")
+    return flagged.filter(~F.col("is_parent")).withColumn("kind", fault).filter(F.col("kind").isNotNull())
 
 
 def dangling_references(references: list[Reference], parents: list[Parent]) -> DataFrame:
-    """Keys that point nowhere: (src_table, src_column, ref_key long, period, kind), distinct.
+    """Keys that point nowhere: (src_table, src_column, ref_key, period, kind), distinct.
+
+    ref_key is a long if all keys of all tables are whole numbers; otherwise keys are compared as
+    text, and it is a string.
 
     ``kind`` is ``missing`` if the parent has no such key and ``late`` if a row of that month was
     written before the parent row was.
@@ -107,24 +118,15 @@ def dangling_references(references: list[Reference], parents: list[Parent]) -> D
 def reference_report(references: list[Reference], parents: list[Parent]) -> DataFrame:
     """Dangling references counted: (src_table, src_column, period, kind, n_keys, n_rows longs).
 
-    Missing keys, and late ones whose month lies wholly before the parent row, are counted from
-    the combined groups. Only months that the parent's birth cuts in two need their rows again:
-    these few (key, column, month) groups are joined back, a join that AQE splits where one group
-    is large. Nulls as in ``dangling_references``.
+    Whether a row is late is a matter of each row, so the parent's birth, one small row for each
+    parent key, is attached before rows are combined: a broadcast where the parents are small, else
+    a join whose large keys AQE splits. Rows then combine per (key, column, month, kind) on the map
+    side, and once more per month. Each table is scanned once. Nulls as in ``dangling_references``.
     """
-    judged = _judged(references, parents)
-    whole = (F.col("kind") == "missing") | (F.col("last_written") < F.col("born"))
-    keys = ["src_table", "src_column", "key", "period"]
-    cut = judged.filter(~whole).select(*[F.col(k).alias(f"c_{k}") for k in keys], "born")
-    rows = _children(references).select(*keys, "written")
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in keys])
-    split = (
-        rows.join(cut, same & (F.col("written") < F.col("born")))
-        .groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("kind", F.lit("late"))
-    )
-    counted = judged.filter(whole).select(*keys, "kind", "n").unionByName(split.select(*keys, "kind", "n"))
-    return counted.groupBy("src_table", "src_column", "period", "kind").agg(
-        F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_rows")
-    )
+    kind = _key_type(references, parents)
+    born = _parents(parents, kind).groupBy("parent", "key").agg(F.min("written").alias("born")).withColumn("known", F.lit(True))
+    fault = F.when(F.col("known").isNull(), "missing").when(F.col("written") < F.col("born"), "late")
+    rows = _children(references, kind).join(born, ["parent", "key"], "left").withColumn("kind", fault).filter(F.col("kind").isNotNull())
+    columns = ["src_table", "src_column", "period", "kind"]
+    by_key = rows.groupBy("key", *columns).agg(F.count(F.lit(1)).alias("n"))
+    return by_key.groupBy(*columns).agg(F.count(F.lit(1)).alias("n_keys"), F.sum("n").alias("n_rows"))
