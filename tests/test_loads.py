@@ -182,9 +182,10 @@ def test_sources_and_contracts(spark, tmp_path):
     assert landing.read_seed(spark, str(tmp_path / "seed.csv"), "category string, weight double").first().weight == 1.0
     (tmp_path / "m.yaml").write_text("countries:\n- country: X\n  leagues:\n  - name: L\n- country: Y\n")
     assert {(r.country, len(r.leagues)) for r in landing.read_config(spark, str(tmp_path / "m.yaml")).collect()} == {("X", 1), ("Y", 0)}
-    assert landing.changed_since(str(tmp_path / "m.yaml"), str(tmp_path / "mark"))[0]
-    landing.commit_marker(str(tmp_path / "mark"), landing.changed_since(str(tmp_path / "m.yaml"), str(tmp_path / "mark"))[1])
-    assert not landing.changed_since(str(tmp_path / "m.yaml"), str(tmp_path / "mark"))[0]
+    changed = lambda: landing.changed_since(spark, str(tmp_path / "m.yaml"), str(tmp_path / "mark"))
+    assert changed()[0]
+    landing.commit_marker(spark, str(tmp_path / "mark"), changed()[1])
+    assert not changed()[0]
     (tmp_path / "a.json").write_text('[{"x": 1}, {"x": null}]')
     rows = landing.path_parts(landing.read_json_array(spark, str(tmp_path / "a.json"), "x int"), {"file": 1}).collect()
     assert [r.x for r in rows] == [1, None] and rows[0].file == "a.json"
@@ -217,8 +218,7 @@ def test_streams(spark, tmp_path):
         ):
             query.awaitTermination()
             assert query.exception() is None
-        at = int(float((tmp_path / "up" / "BATCH").read_text()))
-        held = {(r.k, r.v) for r in spark.read.parquet(str(tmp_path / "up" / f"b{at}")).collect()}
+        held = {(r.k, r.v) for r in incremental.KeyedState(spark, str(tmp_path / "up"), ddl, ["k"]).read().collect()}
         out = sorted(r.id for r in spark.read.parquet(str(tmp_path / "once" / "out")).collect())
         return held, out
 
@@ -228,6 +228,26 @@ def test_streams(spark, tmp_path):
     assert run()[1] == ["odd", "p1", "p2", "p3"]
 
 
+def test_state_rewrites_only_what_a_batch_touches(spark, tmp_path):
+    state = incremental.KeyedState(spark, f"file://{tmp_path}/s", "k int, v int", ["k"])
+    frame = lambda *rows: spark.createDataFrame(rows, "k int, v int")
+    everything = frame(*[(i, 0) for i in range(40)])
+    state.replace(0, everything, state.touched(everything))
+    assert state.seen(0) and not state.seen(1) and state.read().count() == 40
+    one = frame((7, 1))
+    (bucket,) = state.touched(one)
+    rows = state.read([bucket]).filter("k != 7").unionByName(one)
+    kept = rows.count()
+    assert 0 < kept < 40
+    state.replace(1, rows, [bucket])
+    assert {(r.k, r.v) for r in state.read().collect()} == {(i, int(i == 7)) for i in range(40)}
+    assert len(list((tmp_path / "s" / "b1").glob("__tl_bucket=*"))) == 1
+    # the replaced files go one batch later, and a bucket may become empty
+    assert (tmp_path / "s" / "b0" / f"__tl_bucket={bucket}").exists()
+    state.replace(2, frame(), [bucket])
+    assert state.read().count() == 40 - kept and not (tmp_path / "s" / "b0" / f"__tl_bucket={bucket}").exists()
+
+
 def test_stream_windows(spark, tmp_path):
     ddl = "id string, kind string, at timestamp"
     spark.createDataFrame([("a", "x", T0), ("a", "x", T0), ("b", "x", T0)], ddl).write.parquet(str(tmp_path / "in"))

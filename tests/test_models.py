@@ -1,9 +1,12 @@
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.functions.columns import pair_key, round_ratio, season_label, slugify, title_words, utc_instant
+from touchline.plans.model_queries import ratings
 from touchline.plans.models import Warehouse, mart_fixture_page_context, mart_team_page_context
+from touchline.sources.landing import published
 
 NOW = datetime(2024, 11, 1)
 STAMP = datetime(2024, 1, 1)
@@ -25,6 +28,7 @@ def _warehouse(spark, fixtures, standings=None, teams=4):
         spark,
         "",
         NOW,
+        elo_rating=ratings,
         raw_fixtures=frame("raw_fixtures", rows),
         raw_league_standings=frame("raw_league_standings", table),
         dim_countries=frame("dim_countries", [(1, "X", None, STAMP, STAMP)]),
@@ -108,10 +112,44 @@ def test_empty_tables(spark):
 def test_build_writes_tables(spark, tmp_path):
     w = _warehouse(spark, [(1, -3, 1, 2, 2, 1, "FT")])
     done = w.build(str(tmp_path), ["int_fixtures", "fact_team_fixtures", "fact_team_events"])
-    assert done[-1] == "fact_team_events" and spark.read.parquet(str(tmp_path / "fact_team_fixtures")).count() == 2
+    assert done[-1] == "fact_team_events" and published(spark, str(tmp_path), "fact_team_fixtures").count() == 2
     assert not (tmp_path / "fact_team_events").exists()
 
 
+def test_incremental_models_take_only_what_is_new(spark, tmp_path):
+    names = ["stg_raw_fixtures", "int_fixtures", "fact_team_fixtures", "fact_head_to_head"]
+
+    def run(rows, **how):
+        w = _warehouse(spark, rows)
+        # a fixture of one delivery is as new as its number
+        w._given["raw_fixtures"] = w._given["raw_fixtures"].withColumn("updated_at", F.make_interval(days=F.col("fixture_id").cast("int")) + F.col("updated_at"))
+        w.build(str(tmp_path), names, **how)
+        return [published(spark, str(tmp_path), n) for n in names]
+
+    first = [(3, -9, 1, 2, 1, 0, "FT"), (4, -8, 2, 1, 2, 2, "FT")]
+    run(first)
+    stale = (1, -7, 1, 3, 5, 5, "FT")  # older than the mark, so a further run passes it over
+    stg, _, sides, meetings = run([(3, -9, 1, 2, 9, 9, "FT"), stale, (5, -6, 1, 2, 0, 1, "FT")])
+    assert {(r.fixture_id, r.home_team_fulltime_goal) for r in stg.collect()} == {(3, 1), (4, 2), (5, 0)}
+    assert sides.count() == 6 and meetings.select("team_fixture_key").distinct().count() == meetings.count() == 6
+    assert {r.next_fixture_id for r in sides.filter("fixture_id = 4").collect()} == {5}
+    stg, *_ = run([stale], full_refresh=True)
+    assert [r.fixture_id for r in stg.collect()] == [1]
+
+
+def test_now_is_the_present_and_ratings_are_not_invented(spark):
+    w = Warehouse(spark, "/no/such/folder")
+    assert abs((w.as_of - datetime.now(timezone.utc).replace(tzinfo=None)).total_seconds()) < 60
+    with pytest.raises(Exception, match="elo_rating"):
+        w.ref("elo_rating")
+
+
+def test_fixtures_without_an_identifier_all_stay(spark):
+    w = _warehouse(spark, [(1, -3, 1, 2, 2, 1, "FT"), (2, -3, 1, 2, 2, 1, "FT")])
+    w._given["raw_fixtures"] = w._given["raw_fixtures"].withColumn("api_fixture_id", F.lit(None).cast("bigint"))
+    assert w.ref("stg_raw_fixtures").count() == 2
+
+
 def test_columns(spark):
     df = spark.createDataFrame([("saint-étienne  FC o'b", 57, 200), (None, 1, 0)], "n string, a int, b int")
     one, two = df.select(title_words("n"), slugify("n", "a"), pair_key("a", "b"), round_ratio("a", "b", 2), season_label("b")).collect()

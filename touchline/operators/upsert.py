@@ -1,6 +1,6 @@
 """Keyed changes of a target by a batch, each one a plan from DataFrames to the new target.
 
-A plan never writes to the path it reads; ``touchline.sources.sinks`` publishes results. All
+A plan never writes to the path it reads; ``touchline.sources.landing`` publishes results. All
 functions need the key columns on both sides; the target's columns decide the result's.
 """
 

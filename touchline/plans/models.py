@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from dataclasses import dataclass
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,10 +14,10 @@ from touchline.functions.columns import iso_time, letter_of, pair_key, slugify,
 from touchline.operators.collect import as_json, ordered_list, payload
 from touchline.operators.sequences import islands, latest_per, next_pointers, ordered, recent_values, running_stats, tile
 from touchline.operators.shapes import EVENTS, fan_out_events, fan_out_scopes, unpivot_sides
-from touchline.session import read_table
+from touchline.operators.upsert import newer_than, numbered, replace_keys
+from touchline.session import materialise, read_table
+from touchline.sources.landing import publish, published
 
-#: The instant that stands for "now" on the test tables.
-AS_OF = datetime(2025, 3, 1)
 #: Statuses that take part in the analysis.
 STATUSES = ["FT", "1H", "HT", "2H", "LIVE", "NS"]
 #: Seeds of the relevance score.
@@ -50,14 +51,28 @@ NEXT = {
 _SEQUENCE = ["team_id", "event_name", "context_scope"]
 _ORDER = ["kickoff_utc", "fixture_id"]
 
-_MODELS: dict[str, tuple[Callable, str]] = {}
+@dataclass(frozen=True)
+class Model:
+    """A model: its function, its kind (view, table, incremental), and how an incremental one goes on."""
 
+    build: Callable
+    kind: str
+    key: tuple[str, ...] = ()
+    since: tuple[str, str] | None = None
 
-def model(kind: str):
-    """Register a function of a warehouse as a model; ``kind`` is view, table or incremental."""
+
+_MODELS: dict[str, Model] = {}
+
+
+def model(kind: str, key: tuple[str, ...] = (), since: tuple[str, str] | None = None):
+    """Register a function of a warehouse as a model of ``kind`` view, table or incremental.
+
+    ``key`` tells the rows of an incremental model apart, and ``since``, a source and its column,
+    restricts a further run to that source's rows after the largest value the model already has.
+    """
 
     def add(f: Callable) -> Callable:
-        _MODELS[f.__name__] = (f, kind)
+        _MODELS[f.__name__] = Model(f, kind, key, since)
         return f
 
     return add
@@ -69,49 +84,87 @@ def min_length(event: Column) -> Column:
 
 
 class Warehouse:
-    """The models over the tables of one folder, as of one instant.
+    """The models over the tables of one folder, as of one instant, by default the present one.
 
     ``ref`` builds a model once and gives the same DataFrame to all that refer to it; nothing
-    runs before an action. Small dimensions are joined without hints: Spark broadcasts them below
-    its threshold and sorts beyond it.
+    runs before an action, but for the few models that write what they read several times. ``given`` puts DataFrames, or functions of the warehouse, in the place of
+    sources and models. Small dimensions are joined without hints: Spark broadcasts them below its
+    threshold and sorts beyond it.
     """
 
-    def __init__(self, spark: SparkSession, root: str, as_of: datetime = AS_OF, **given: DataFrame) -> None:
-        self.spark, self.root, self.as_of, self._built = spark, root, as_of, dict(given)
+    def __init__(self, spark: SparkSession, root: str, as_of: datetime | None = None, **given: DataFrame | Callable) -> None:
+        self.spark, self.root = spark, root
+        self.as_of = as_of or datetime.now(timezone.utc).replace(tzinfo=None)
+        self._given, self._built, self._tables = given, {}, set()
 
     def source(self, table: str) -> DataFrame:
         if table not in self._built:
-            self._built[table] = read_table(self.spark, self.root, table)
+            self._built[table] = self._put(table) if table in self._given else read_table(self.spark, self.root, table)
         return self._built[table]
 
     def ref(self, name: str) -> DataFrame:
         if name not in self._built:
-            self._built[name] = _MODELS[name][0](self)
+            self._built[name] = self._put(name) if name in self._given else _MODELS[name].build(self)
         return self._built[name]
 
+    def written(self, name: str) -> DataFrame:
+        """``ref``, as a table: one that ``build`` wrote, or one written now, once, for what reads it several times."""
+        if name not in self._tables:
+            self._built[name] = materialise(self.ref(name), name)
+            self._tables.add(name)
+        return self._built[name]
+
+    def _put(self, name: str) -> DataFrame:
+        given = self._given[name]
+        return given(self) if callable(given) else given
+
+    def limited(self, **parts: DataFrame) -> Warehouse:
+        """The same warehouse with some models replaced by part of their rows.
+
+        What those models don't depend on is shared; all that is built on them is built on the part.
+        """
+        shared = {n: df for n, df in self._built.items() if n not in _MODELS} | {n: self.ref(n) for n in ("int_league_context", "dim_team")}
+        return Warehouse(self.spark, self.root, self.as_of, **shared | self._given | parts)
+
     def now(self) -> Column:
         return F.lit(self.as_of.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
 
     @staticmethod
     def names() -> dict[str, str]:
-        return {name: kind for name, (_, kind) in _MODELS.items()}
+        return {name: m.kind for name, m in _MODELS.items()}
 
-    def build(self, target: str, names: list[str] | None = None) -> list[str]:
+    def build(self, target: str, names: list[str] | None = None, full_refresh: bool = False) -> list[str]:
         """Write the table and incremental models to ``target`` in an order that suits them.
 
         A written model replaces its lazy form, so that what refers to it reads the table. Model
-        functions call ``ref``, so asking for one builds what it needs.
+        functions call ``ref``, so asking for one builds what it needs. An incremental model that is
+        already there takes only new rows, by its key; ``full_refresh`` builds it anew. Tables are
+        written as new versions beside the old ones (``landing.publish``).
         """
         done = []
         for name in names or list(_MODELS):
-            df = self.ref(name)
-            if _MODELS[name][1] != "view":
-                path = f"{target}/{name}"
-                df.write.mode("overwrite").parquet(path)
-                self._built[name] = self.spark.read.parquet(path)
+            kind = _MODELS[name].kind
+            if kind != "view":
+                held = published(self.spark, target, name) if kind == "incremental" and not full_refresh else None
+                df = self.ref(name) if held is None else self.next_run(name, held)
+                self._built[name] = self.spark.read.parquet(publish(df, target, name))
+                self._tables.add(name)
             done.append(name)
         return done
 
+    def next_run(self, name: str, held: DataFrame) -> DataFrame:
+        """An incremental model after a further run: new and changed keys take the place of old ones.
+
+        The model sees only what its source has after the mark. Columns that it gained meanwhile are
+        null in old rows.
+        """
+        m, at = _MODELS[name], self
+        if m.since:
+            source, column = m.since
+            fresh = newer_than(self.source(source), held, column)
+            at = Warehouse(self.spark, self.root, self.as_of, **self._given | {source: fresh})
+        return replace_keys(held, at.ref(name), list(m.key))
+
 
 @model("view")
 def stg_dim_countries(w: Warehouse) -> DataFrame:
@@ -136,12 +189,13 @@ def stg_dim_teams(w: Warehouse) -> DataFrame:
     return w.source("dim_teams").select("team_id", "api_team_id", "team_name", "logo_file_id", "venue_id")
 
 
-@model("incremental")
+@model("incremental", key=("api_fixture_id",), since=("raw_fixtures", "updated_at"))
 def stg_raw_fixtures(w: Warehouse) -> DataFrame:
-    """The newest delivery of each fixture, by one aggregate with map-side combining."""
+    """The newest delivery of each fixture, by one aggregate with map-side combining; those without an identifier all stay."""
     rows = w.source("raw_fixtures")
     rest = [c for c in rows.columns if c not in ("api_fixture_id", "updated_at", "fixture_id")]
-    newest = rows.groupBy("api_fixture_id").agg(F.max_by(F.struct(*rest), F.struct("updated_at", "fixture_id")).alias("r"), F.max(F.struct("updated_at", "fixture_id")).alias("k"))
+    own = F.when(F.col("api_fixture_id").isNull(), F.col("fixture_id")).alias("own")
+    newest = rows.groupBy("api_fixture_id", own).agg(F.max_by(F.struct(*rest), F.struct("updated_at", "fixture_id")).alias("r"), F.max(F.struct("updated_at", "fixture_id")).alias("k"))
     flat = newest.select("k.fixture_id", "api_fixture_id", *[F.col(f"r.{c}") for c in rest if c != "created_at"], "r.created_at", "k.updated_at")
     return flat.withColumn("is_played", F.col("fixture_status") == "FT")
 
@@ -256,7 +310,7 @@ def int_dim_search(w: Warehouse) -> DataFrame:
     return teams.unionByName(part(w.ref("int_league_context"), "league", "league_season_id", "league_name", "league_logo_file_id"))
 
 
-@model("incremental")
+@model("incremental", key=("fixture_id", "team_id"))
 def fact_team_fixtures(w: Warehouse) -> DataFrame:
     """Two rows per fixture, with what the team plays next; all later windows reuse this shuffle by team."""
     keep = ["fixture_id", "kickoff_utc", "league_season_id", "league_name", "season", "updated_at", "is_played", "is_current"]
@@ -404,11 +458,8 @@ def fact_team_stats(w: Warehouse) -> DataFrame:
 
 @model("view")
 def elo_rating(w: Warehouse) -> DataFrame:
-    """Ratings given as a table, or, where there is none, numbers made from the keys for tests."""
-    rating = F.lit(1500.0) + F.pmod(F.col("team_id") * 37 + F.col("fixture_id") * 11, F.lit(400))
-    return w.ref("fact_team_fixtures").select(
-        "team_id", "league_season_id", "fixture_id", rating.alias("pre_elo_rating"), F.lit("match").alias("snapshot_type")
-    )
+    """Ratings from outside the models: the table of that name; an error where there is none."""
+    return w.source("elo_rating").select("team_id", "league_season_id", "fixture_id", "pre_elo_rating", "snapshot_type")
 
 
 @model("view")
@@ -468,12 +519,15 @@ def int_tier_event_divergence(w: Warehouse) -> DataFrame:
 
 @model("view")
 def int_tier_sensitive_events(w: Warehouse) -> DataFrame:
-    """Events whose rate depends on the opponent's tier by more than a threshold that adapts."""
+    """Events whose rate depends on the opponent's tier by more than a threshold that adapts.
+
+    The median over a season's events, at most 63 rows, is a window, so the rates are computed once.
+    """
     mean = w.ref("int_tier_event_divergence").groupBy(*_TIER).agg(F.avg("abs_divergence").alias("d"), F.min("n_matches").alias("min_tier_n"))
-    median = mean.groupBy("league_season_id").agg(F.percentile("d", 0.5).alias("m"))
+    median = F.percentile("d", 0.5).over(Window.partitionBy("league_season_id"))
     floor = F.lit(0.03) + F.lit(0.03) * F.exp(-F.col("min_tier_n") / F.lit(60.0))
-    scaled = mean.join(median, "league_season_id").withColumns({"f": floor, "s": F.least(F.lit(0.06), F.col("m") * 1.2)})
-    return scaled.withColumn("t", F.greatest("f", "s")).select(
+    scaled = mean.withColumn("m", median).withColumns({"f": floor, "s": F.least(F.lit(0.06), F.col("m") * 1.2)})
+    return scaled.filter(F.col("league_season_id").isNotNull()).withColumn("t", F.greatest("f", "s")).select(
         *_TIER,
         "min_tier_n",
         F.round("d", 6).alias("avg_abs_divergence"),
@@ -484,7 +538,7 @@ def int_tier_sensitive_events(w: Warehouse) -> DataFrame:
     )
 
 
-@model("incremental")
+@model("incremental", key=("team_fixture_key",))
 def fact_head_to_head(w: Warehouse) -> DataFrame:
     columns = ["league_season_id", "league_name", "season", "fixture_id", "team_id", "team_name", "opponent_id", "opponent_name", "kickoff_utc"]
     columns += ["goals_for", "goals_against", "halftime_result", "fulltime_result", "is_home", "is_current", "is_played", "updated_at", "team_pair_key"]
@@ -614,8 +668,8 @@ def mart_head_to_head_fixtures(w: Warehouse) -> DataFrame:
     return w.ref("fact_head_to_head")
 
 
-@model("table")
-def mart_head_to_head_streaks(w: Warehouse) -> DataFrame:
+def _meetings_rolled(w: Warehouse) -> DataFrame:
+    """One row per pair of teams: the list of its streaks, and the wins and draws of each team by its id."""
     scope = F.col("h2h_context_scope")
     teams = F.when(F.lower("event_name").isin(BOTH_TEAMS), "both").otherwise(scope)
     card = payload(
@@ -629,11 +683,21 @@ def mart_head_to_head_streaks(w: Warehouse) -> DataFrame:
         is_home=F.col("latest_is_home"),
     )
     order = [(F.col("latest_streak_length"), True), (F.col("event_name"), False), (F.col("team_id"), False), (scope, False)]
+
+    def by_team(event: str) -> Column:
+        totals = F.struct("team_id", F.struct(F.col("total_event_count").alias("n"), F.col("total_event_flag_sum").alias("hits")))
+        return F.map_from_entries(F.collect_list(F.when((scope == "all") & (F.col("event_name") == event), totals)))
+
     return w.ref("fact_head_to_head_latest").groupBy("team_pair_key").agg(
-        as_json(ordered_list(card, order)).alias("h2h_streaks_json"), F.max("updated_at").alias("updated_at")
+        as_json(ordered_list(card, order)).alias("h2h_streaks_json"), F.max("updated_at").alias("updated_at"), by_team("win").alias("wins"), by_team("draw").alias("drawn")
     )
 
 
+@model("table")
+def mart_head_to_head_streaks(w: Warehouse) -> DataFrame:
+    return _meetings_rolled(w).select("team_pair_key", "h2h_streaks_json", "updated_at")
+
+
 @model("table")
 def mart_head_to_head_matches(w: Warehouse) -> DataFrame:
     """The last five meetings of the two teams of each coming fixture."""
@@ -667,27 +731,21 @@ def mart_head_to_head_matches(w: Warehouse) -> DataFrame:
 
 @model("table")
 def mart_head_to_head_info(w: Warehouse) -> DataFrame:
-    """Totals of the two teams of each coming fixture; null where a side's event never happened."""
-    current = w.ref("mart_fixture_info").select(F.col("fixture_id").alias("current_fixture_id"), "team_pair_key", "home_team_id", "away_team_id")
-    latest = w.ref("fact_head_to_head_latest").filter("h2h_context_scope = 'all'")
-    known = w.ref("fact_head_to_head_events").filter("event_flag = 1").select("team_pair_key").distinct()
-    of = latest.select("team_pair_key", "team_id", "event_name", "total_event_count", "total_event_flag_sum")
-    home, away = F.col("team_id") == F.col("home_team_id"), F.col("team_id") == F.col("away_team_id")
-    win, draw = F.col("event_name") == "win", F.col("event_name") == "draw"
-    totals = (
-        current.join(known, "team_pair_key", "left_semi")
-        .join(of.filter(win | draw), "team_pair_key", "left")
-        .groupBy("team_pair_key", "current_fixture_id")
-        .agg(
-            F.max(F.when(win & home, F.col("total_event_count"))).alias("totalMatches"),
-            F.max(F.when(win & home, F.col("total_event_flag_sum"))).alias("homeWins"),
-            F.max(F.when(draw & home, F.col("total_event_flag_sum"))).alias("draws"),
-            F.max(F.when(win & away, F.col("total_event_flag_sum"))).alias("awayWins"),
-        )
+    """Totals of the two teams of each coming fixture; null where a side's event never happened.
+
+    Only meetings of pairs that have a coming fixture fan out into events, and once. All sides of
+    fixtures, the coming fixtures and these pairs' rows are read several times, so they are tables.
+    """
+    fixtures, info = w.written("fact_team_fixtures"), w.written("mart_fixture_info")
+    current = info.select(F.col("fixture_id").alias("current_fixture_id"), "team_pair_key", "home_team_id", "away_team_id")
+    ahead = fixtures.join(current.select("team_pair_key").distinct(), "team_pair_key", "left_semi")
+    part = w.limited(fact_team_fixtures=materialise(ahead, "meetings"), mart_fixture_info=info)
+    of = lambda table, side: F.try_element_at(table, F.col(f"{side}_team_id"))
+    counts = F.struct(
+        of("wins", "home").n.alias("totalMatches"), of("wins", "home").hits.alias("homeWins"), of("drawn", "home").hits.alias("draws"), of("wins", "away").hits.alias("awayWins")
     )
-    info = totals.select("team_pair_key", "current_fixture_id", as_json(F.struct("totalMatches", "homeWins", "draws", "awayWins")).alias("h2h_info_json"))
-    streaks = w.ref("mart_head_to_head_streaks").drop("updated_at")
-    return info.join(streaks, "team_pair_key", "left").join(w.ref("mart_head_to_head_matches"), ["team_pair_key", "current_fixture_id"], "left")
+    info = current.join(_meetings_rolled(part), "team_pair_key").select("team_pair_key", "current_fixture_id", as_json(counts).alias("h2h_info_json"), "h2h_streaks_json")
+    return info.join(part.ref("mart_head_to_head_matches"), ["team_pair_key", "current_fixture_id"], "left")
 
 
 @model("table")
@@ -757,18 +815,26 @@ def mart_league_info(w: Warehouse) -> DataFrame:
 
 @model("table")
 def mart_league_teams(w: Warehouse) -> DataFrame:
-    return w.ref("mart_team_info").select(
+    """Of a team's row only its standing is wanted here, which needs no fixtures."""
+    return w.ref("dim_team_standings").select(
         "team_id", "team_name", "team_slug", F.col("rank").alias("team_rank"), F.col("form").alias("team_form"), "logo_file_id", "league_season_id"
     )
 
 
 @model("view")
 def mart_homepage_top_streaks(w: Warehouse) -> DataFrame:
-    """Streaks of matches within seven days, best first."""
+    """Streaks of matches within seven days, best first.
+
+    A streak's next match is that of one of its team's rows, so only teams with such a row fan out;
+    that is known by a window in the partitions that the pointers already have.
+    """
     team = w.ref("dim_team").select("team_id", "team_name", F.col("logo_file_id").alias("team_logo_file_id"))
     league = w.ref("int_league_context").select("league_season_id", "league_name", "league_logo_file_id", "country_name", "country_logo_file_id")
     soon = (F.col("next_kickoff_utc") > w.now()) & (F.col("next_kickoff_utc") < w.now() + F.expr("interval 7 days"))
-    rows = latest_per(w.ref("fact_team_streak_relevance_score"), _SEQUENCE, _ORDER).filter(soon & F.col("is_streak_eligible"))
+    playing = F.bool_or(F.coalesce(soon & F.col("is_played") & F.col("is_current"), F.lit(False))).over(Window.partitionBy("team_id"))
+    ahead = w.ref("fact_team_fixtures").withColumn("__tl_soon", playing).filter("__tl_soon").drop("__tl_soon")
+    scores = w.limited(fact_team_fixtures=ahead).ref("fact_team_streak_relevance_score")
+    rows = latest_per(scores, _SEQUENCE, _ORDER).filter(soon & F.col("is_streak_eligible"))
     joined = rows.drop("team_name", "league_name").join(team, "team_id").join(league, "league_season_id")
     return joined.select(
         *["streak_id", "team_id", "team_name", "team_logo_file_id", "league_season_id", "league_name", "league_logo_file_id"],
@@ -780,27 +846,33 @@ def mart_homepage_top_streaks(w: Warehouse) -> DataFrame:
 
 @model("table")
 def mart_top_team_streaks(w: Warehouse) -> DataFrame:
-    """Eligible streaks, numbered in order of team, season, event, type and scope.
-
-    A global number without sorting all rows in one task: rows are numbered within their team, and
-    a running sum over one row per team gives the number at which each team begins.
-    """
+    """Eligible streaks, numbered in order of team, season, event, type and scope."""
     rows = w.ref("fact_team_streaks_latest").filter("is_streak_eligible")
+    columns = ["team_id", "league_name", "team_name", "next_opponent_name", "next_opponent_id", "next_fixture_id"]
+    columns += ["next_kickoff_utc", "event_name", "streak_type", "context_scope", "current_streak_length"]
     order = ["team_id", "league_season_id", "event_name", "streak_type", "context_scope"]
-    per_team = rows.groupBy("team_id").agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("team_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    start = per_team.select("team_id", before.alias("start"))
-    within = F.row_number().over(Window.partitionBy("team_id").orderBy(*order[1:]))
-    numbered = rows.withColumn("i", within).join(start, "team_id").withColumn("streak_id", F.col("start") + F.col("i"))
-    return numbered.select(
-        *["streak_id", "team_id", "league_name", "team_name", "next_opponent_name", "next_opponent_id", "next_fixture_id"],
-        *["next_kickoff_utc", "event_name", "streak_type", "context_scope", "current_streak_length"],
+    return numbered(rows.select(*columns, "league_season_id"), order, "streak_id").select("streak_id", *columns)
+
+
+def of_teams(w: Warehouse, team_ids: list) -> Warehouse:
+    """The warehouse of a few teams: their standings and their own rows of the fixtures, before anything fans out."""
+    ids = [i for i in team_ids if i is not None]
+    api = [r[0] for r in w.ref("stg_dim_teams").filter(F.col("team_id").isin(ids)).select("api_team_id").collect()]
+    fixtures = w.written("int_fixtures")
+    both = F.col("home_team_id").isin(ids) | F.col("away_team_id").isin(ids)
+    part = w.limited(
+        stg_raw_league_standings=w.ref("stg_raw_league_standings").filter(F.col("api_team_id").isin(api)), int_fixtures=fixtures.filter(both)
     )
+    # the other sides of these matches have gaps, so only the teams' own rows stay
+    return part.limited(fact_team_fixtures=materialise(part.ref("fact_team_fixtures").filter(F.col("team_id").isin(ids)), "team-fixtures"))
 
 
 def mart_fixture_page_context(w: Warehouse, fixture_id: int) -> DataFrame:
-    """One row of payloads for a fixture; the key reaches every part as a filter."""
+    """One row of payloads for a fixture. Its two teams are looked up first, and only their rows are worked on."""
+    teams = w.written("int_fixtures").filter(F.col("fixture_id") == fixture_id).select("home_team_id", "away_team_id").first()
+    w = of_teams(w, list(teams or []))
     fixture = w.ref("mart_fixture_info").filter(F.col("fixture_id") == fixture_id)
+    w = w.limited(mart_fixture_info=fixture)
     streaks = w.ref("mart_fixture_streaks").filter(F.col("fixture_id") == fixture_id)
     order = [(F.col("streak_length"), True), (F.col("event_name"), False), (F.col("scope"), False)]
     home, away = F.col("team_id") == F.col("home_team_id"), F.col("team_id") == F.col("away_team_id")
@@ -809,7 +881,8 @@ def mart_fixture_page_context(w: Warehouse, fixture_id: int) -> DataFrame:
     empty = lambda c: F.when(F.size(c) > 0, F.col(c))
     streak_json = listed.select("fixture_id", as_json(payload(home=empty("h"), away=empty("a"))).alias("fixture_streaks_json"))
     h2h = w.ref("mart_head_to_head_info").filter(F.col("current_fixture_id") == fixture_id).drop("team_pair_key").withColumnRenamed("current_fixture_id", "fixture_id")
-    lists = w.ref("mart_team_fixture").join(fixture.select("home_team_id", "away_team_id"), F.col("team_id").isin(F.col("home_team_id"), F.col("away_team_id")))
+    sides = fixture.select("fixture_id", "home_team_id", "away_team_id", F.explode(F.array_distinct(F.array("home_team_id", "away_team_id"))).alias("team_id"))
+    lists = w.ref("mart_team_fixture").join(sides, "team_id")
     scope = F.col("context_scope")
 
     def of(side: Column, column: str, *scopes: str) -> Column:
@@ -821,15 +894,19 @@ def mart_fixture_page_context(w: Warehouse, fixture_id: int) -> DataFrame:
         body = [F.concat(F.lit(f',"{s}":'), F.coalesce(of(side, "fixtures_json", s), F.lit("null"))) for s in ("overall", name)]
         return F.concat(F.lit(f'"{name}":'), head.substr(F.lit(1), F.length(head) - 1), *body, F.lit("}"))
 
-    pages = lists.agg(F.concat(F.lit("{"), part(home, "home"), F.lit(","), part(away, "away"), F.lit("}")).alias("team_fixtures_json"))
-    return fixture.join(streak_json, "fixture_id", "left").join(h2h, "fixture_id", "left").join(pages, F.lit(True), "left")
+    pages = lists.groupBy("fixture_id").agg(F.concat(F.lit("{"), part(home, "home"), F.lit(","), part(away, "away"), F.lit("}")).alias("team_fixtures_json"))
+    side = '{"team_id":null,"team_name":null,"overall":null,"%s":null}'
+    nothing = '{"home":' + side % "home" + ',"away":' + side % "away" + "}"  # for teams that haven't played
+    page = fixture.join(streak_json, "fixture_id", "left").join(h2h, "fixture_id", "left").join(pages, "fixture_id", "left")
+    return page.withColumn("team_fixtures_json", F.coalesce("team_fixtures_json", F.lit(nothing)))
 
 
 def mart_team_page_context(w: Warehouse, team_id: int) -> DataFrame:
-    """Payloads for a team, one row per season it has a standing in."""
+    """Payloads for a team, one row per season it has a standing in. Only its own matches fan out."""
+    everyone, w = w, of_teams(w, [team_id])
     team = w.ref("mart_team_info").filter(F.col("team_id") == team_id)
     peer = payload(teamId=F.col("team_id"), name=F.col("team_name"), teamHref=F.col("team_slug"), logoFileId=F.col("logo_file_id"))
-    peers = w.ref("mart_league_teams").filter(F.col("team_id") != team_id)
+    peers = everyone.ref("mart_league_teams").filter(F.col("team_id") != team_id).join(team.select("league_season_id").distinct(), "league_season_id", "left_semi")
     listed = peers.groupBy("league_season_id").agg(as_json(ordered_list(peer, [(F.col("team_rank"), False), (F.col("team_id"), False)])).alias("league_teams_json"))
     card = payload(
         teamId=F.col("team_id"),

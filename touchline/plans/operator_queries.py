@@ -13,7 +13,8 @@ from touchline.operators.search import trigrams
 from touchline.operators.sequences import islands
 from touchline.operators.shapes import flatten_fixtures, flatten_standings
 from touchline.plans.model_sql import chain
-from touchline.plans.models import AS_OF, Warehouse, mart_fixture_page_context, mart_team_page_context
+from touchline.plans.model_queries import AS_OF, warehouse
+from touchline.plans.models import Warehouse, mart_fixture_page_context, mart_team_page_context
 from touchline.plans.pipelines import earliest_missing, pending_seasons, stale_fixtures
 from touchline.session import read_table
 
@@ -92,6 +93,13 @@ def o_incremental_watermark(spark, root):
     return upsert.newer_than(rows, rows.filter(F.col("created_at") < _cut()), "updated_at")
 
 
+def o_build_incremental(spark, root):
+    """A further run of the staged fixtures: held are the deliveries before the cut, new those after the largest update held."""
+    rows = read_table(spark, root, "raw_fixtures")
+    held = Warehouse(spark, root, AS_OF, raw_fixtures=rows.filter(F.col("created_at") < _cut())).ref("stg_raw_fixtures")
+    return warehouse(spark, root).next_run("stg_raw_fixtures", held)
+
+
 def o_kickoff_correction(spark, root):
     old, batch = _deliveries(spark, root)
     return upsert.moved_kickoffs(_newest(batch), old, "api_fixture_id", "kickoff_utc", "fixture_status")
@@ -111,7 +119,7 @@ def o_attach_keys(spark, root):
 
 
 def _stale(spark, root):
-    w = Warehouse(spark, root)
+    w = warehouse(spark, root)
     return stale_fixtures(w.ref("stg_raw_fixtures"), w.ref("stg_dim_leagues"), w.ref("stg_dim_league_seasons"), _now())
 
 
@@ -159,7 +167,7 @@ def q_relationships(spark, root):
 
 
 def q_future_finished(spark, root):
-    rows = Warehouse(spark, root).ref("stg_raw_fixtures")
+    rows = warehouse(spark, root).ref("stg_raw_fixtures")
     return quality.expression(rows, F.col("is_played") & (F.col("kickoff_utc") > _cut())).select("fixture_id", "api_fixture_id", "kickoff_utc", "fixture_status")
 
 
@@ -173,7 +181,7 @@ def o_flatten_fixtures(spark, root):
     """Fixtures as the service nests them, written to JSON, parsed and made flat again."""
     from touchline.schemas import FIXTURE_PAYLOAD
 
-    rows = Warehouse(spark, root).ref("stg_raw_fixtures")
+    rows = warehouse(spark, root).ref("stg_raw_fixtures")
 
     def pair(a: str, b: str, names=("home", "away")):
         return F.struct(F.col(a).alias(names[0]), F.col(b).alias(names[1]))
@@ -200,7 +208,7 @@ def o_flatten_fixtures(spark, root):
 
 def o_flatten_standings(spark, root):
     """Standings nested by league season, two lists deep, and made flat again."""
-    rows = Warehouse(spark, root).ref("stg_raw_league_standings")
+    rows = warehouse(spark, root).ref("stg_raw_league_standings")
     goals = F.struct(F.col("goals_for").alias("for"), F.col("goals_against").alias("against")).alias("goals")
     record = F.struct(F.col("games_played").alias("played"), F.col("wins").alias("win"), F.col("draws").alias("draw"), F.col("losses").alias("lose"), goals)
     line = F.struct(
@@ -232,7 +240,7 @@ def o_trigrams(spark, root):
 
 def o_search_trigrams(spark, root):
     """The trigrams of the search table: teams and leagues by ``name_lc``."""
-    return trigrams(Warehouse(spark, root).ref("mart_dim_search"), ["entity_type", "entity_id"], "name_lc")
+    return trigrams(warehouse(spark, root).ref("mart_dim_search"), ["entity_type", "entity_id"], "name_lc")
 
 
 def o_numbered(spark, root):
@@ -257,7 +265,7 @@ def o_season_labels(spark, root):
 
 
 def o_results(spark, root):
-    rows = Warehouse(spark, root).ref("stg_raw_fixtures")
+    rows = warehouse(spark, root).ref("stg_raw_fixtures")
     home, away = "home_team_fulltime_goal", "away_team_fulltime_goal"
     text = F.date_format("kickoff_utc", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return rows.select(
@@ -271,13 +279,13 @@ def o_results(spark, root):
 
 
 def m_mart_fixture_page_context(spark, root):
-    w = Warehouse(spark, root)
+    w = warehouse(spark, root)
     first = w.ref("mart_fixture_info").agg(F.min("fixture_id").alias("f")).first()["f"]
     return mart_fixture_page_context(w, first if first is not None else -1)
 
 
 def m_mart_team_page_context(spark, root):
-    w = Warehouse(spark, root)
+    w = warehouse(spark, root)
     first = w.ref("mart_team_streaks").agg(F.min("team_id").alias("t")).first()["t"]
     return mart_team_page_context(w, first if first is not None else -1)
 
@@ -292,6 +300,7 @@ _RUNS = [
     o_partition_replace,
     o_upsert_last_wins,
     o_incremental_watermark,
+    o_build_incremental,
     o_kickoff_correction,
     o_point_update,
     o_attach_keys,
@@ -380,6 +389,9 @@ WHERE NOT EXISTS (SELECT 1 FROM fresh f WHERE f.api_league_id = o.api_league_id
     "o_upsert_last_wins": f"WITH {_SPLIT} SELECT * FROM old WHERE api_fixture_id NOT IN (SELECT api_fixture_id FROM fresh) UNION ALL SELECT * FROM fresh",
     "o_incremental_watermark": f"""SELECT fixture_id, api_fixture_id, created_at, updated_at FROM raw_fixtures
 WHERE updated_at > (SELECT max(updated_at) FROM raw_fixtures WHERE created_at < {_CUT_SQL})""",
+    "o_build_incremental": f"""WITH held AS (SELECT * EXCLUDE (rn), fixture_status = 'FT' AS is_played FROM (SELECT *, {_NEWEST} AS rn FROM raw_fixtures WHERE created_at < {_CUT_SQL}) WHERE rn = 1),
+later AS (SELECT * EXCLUDE (rn), fixture_status = 'FT' AS is_played FROM (SELECT *, {_NEWEST} AS rn FROM raw_fixtures WHERE updated_at > (SELECT max(updated_at) FROM held)) WHERE rn = 1)
+SELECT * FROM later UNION ALL SELECT * FROM held h WHERE NOT EXISTS (SELECT 1 FROM later l WHERE l.api_fixture_id = h.api_fixture_id)""",
     "o_kickoff_correction": f"WITH {_SPLIT}, {_MOVED} SELECT * FROM moved",
     "o_point_update": f"""WITH {_SPLIT}, {_MOVED} SELECT o.api_fixture_id, CASE WHEN m.api_fixture_id IS NOT NULL THEN m.new_kickoff_utc ELSE o.kickoff_utc END AS kickoff_utc,
 CASE WHEN m.api_fixture_id IS NOT NULL THEN {_NOW_SQL} ELSE o.updated_at END AS updated_at FROM old o LEFT JOIN moved m ON m.api_fixture_id = o.api_fixture_id""",
@@ -422,7 +434,7 @@ TRY_CAST(team_code AS INTEGER) AS code_number, md5(team_id || '::' || team_name)
 CASE WHEN home_team_fulltime_goal > away_team_fulltime_goal THEN 'W' WHEN home_team_fulltime_goal = away_team_fulltime_goal THEN 'D' WHEN home_team_fulltime_goal < away_team_fulltime_goal THEN 'L' END AS letter,
 date_trunc('second', kickoff_utc) AS kickoff, CAST(NULL AS TIMESTAMPTZ) AS unreadable FROM stg_raw_fixtures"""),
     "m_mart_fixture_page_context": chain(f"""SELECT f.fixture_id, f.team_pair_key, f.home_team_id, f.away_team_id, f.fixture_slug, f.fixture_info_json, s.fixture_streaks_json,
-h.h2h_info_json, h.h2h_streaks_json, h.h2h_matches_json, h.h2h_context_scopes_json, p.team_fixtures_json
+h.h2h_info_json, h.h2h_streaks_json, h.h2h_matches_json, h.h2h_context_scopes_json, coalesce(p.team_fixtures_json, '{{"home":{{"team_id":null,"team_name":null,"overall":null,"home":null}},"away":{{"team_id":null,"team_name":null,"overall":null,"away":null}}}}') AS team_fixtures_json
 FROM (SELECT * FROM mart_fixture_info WHERE fixture_id = (SELECT min(fixture_id) FROM mart_fixture_info)) f
 LEFT JOIN (SELECT fixture_id, CAST(json_object('home', to_json(list({_CARD} ORDER BY streak_length DESC, event_name, scope) FILTER (team_id = home_team_id)),
   'away', to_json(list({_CARD} ORDER BY streak_length DESC, event_name, scope) FILTER (team_id = away_team_id))) AS VARCHAR) AS fixture_streaks_json FROM mart_fixture_streaks GROUP BY fixture_id) s ON s.fixture_id = f.fixture_id

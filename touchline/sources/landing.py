@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline import files
 from touchline.schemas import CONFIG_TREE, DLQ_ENTRY, FAILURE, LANDED_FIXTURE, schema
 
 
@@ -69,9 +68,7 @@ def put_dead_letters(entries: DataFrame, root: str) -> str:
 def dead_letters(spark: SparkSession, root: str) -> DataFrame:
     """Open dead letters with the folder each lies in; no rows where there is no queue."""
     path = f"{root}/dlq"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not files.exists(spark, path):
         return spark.createDataFrame([], DLQ_ENTRY + ", folder string")
     rows = spark.read.schema(DLQ_ENTRY).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     return rows.withColumn("folder", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
@@ -88,32 +85,31 @@ def put_failures(entries: DataFrame, root: str) -> int:
 
 def failures(spark: SparkSession, root: str) -> DataFrame:
     """All failed requests and rejected payloads so far; no rows where there are none."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/failures")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not files.exists(spark, f"{root}/failures"):
         return spark.createDataFrame([], FAILURE)
     return spark.read.schema(FAILURE).json(f"{root}/failures")
 
 
 def drop_dead_letters(spark: SparkSession, folders: list[str]) -> None:
     """Remove the folders of dead letters that were replayed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for folder in folders:
-        at = jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(conf).delete(at, True)
+        files.delete(spark, folder)
+
+
+def residual(spark: SparkSession, root: str) -> DataFrame:
+    """What is still in the queue: one row per league and season with the day, time and error of its last failure."""
+    last = F.max_by(F.struct("league_name", "ds", "timestamp", "error"), F.struct("timestamp", "ds")).alias("r")
+    return dead_letters(spark, root).groupBy("api_league_id", "season_year").agg(F.count(F.lit(1)).alias("n_failures"), last).select("api_league_id", "season_year", "n_failures", "r.*")
 
 
-def changed_since(path: str, marker: str) -> tuple[bool, float]:
+def changed_since(spark: SparkSession, path: str, marker: str) -> tuple[bool, float]:
     """Whether a file is newer than the time kept in ``marker``; call ``commit_marker`` after success."""
-    seen = float(open(marker).read()) if os.path.exists(marker) else 0.0
-    now = os.path.getmtime(path)
+    seen, now = float(files.read_text(spark, marker) or 0), files.modified_at(spark, path)
     return now > seen, now
 
 
-def commit_marker(marker: str, at: float) -> None:
-    with open(f"{marker}.new", "w") as f:
-        f.write(repr(at))
-    os.replace(f"{marker}.new", marker)
+def commit_marker(spark: SparkSession, marker: str, at: float) -> None:
+    files.write_text(spark, marker, repr(at))
 
 
 def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
@@ -129,23 +125,27 @@ def bulk_csv(df: DataFrame, path: str) -> None:
 def publish(df: DataFrame, root: str, name: str, keep: int = 2) -> str:
     """Write a new version of a table beside the old ones and point to it by a marker file.
 
-    Readers of an older version aren't disturbed and no path is overwritten while it is read.
+    Readers of an older version aren't disturbed and no path is overwritten while it is read. All
+    lies in the file system of ``root``, where any driver finds it again; a version that was begun
+    and not finished is never pointed to, and its number is not used again.
     """
-    os.makedirs(f"{root}/{name}", exist_ok=True)
-    versions = sorted(int(v[1:]) for v in os.listdir(f"{root}/{name}") if v[:1] == "v" and v[1:].isdigit())
+    spark, home = df.sparkSession, f"{root}/{name}"
+    versions = sorted(int(v[1:]) for v in files.children(spark, home) if v[:1] == "v" and v[1:].isdigit())
     new = (versions[-1] if versions else 0) + 1
-    df.write.parquet(f"{root}/{name}/v{new}")
-    commit_marker(f"{root}/{name}/CURRENT", new)
-    import shutil
-
+    df.write.parquet(f"{home}/v{new}")
+    files.write_text(spark, f"{home}/CURRENT", str(new))
     for old in versions[: max(0, len(versions) - keep + 1)]:
-        shutil.rmtree(f"{root}/{name}/v{old}", ignore_errors=True)
-    return f"{root}/{name}/v{new}"
+        files.delete(spark, f"{home}/v{old}")
+    return f"{home}/v{new}"
+
+
+def published(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """The version of a table that is in force, or None before the first."""
+    version = files.read_text(spark, f"{root}/{name}/CURRENT")
+    return None if version is None else spark.read.parquet(f"{root}/{name}/v{version}")
 
 
 def current(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The published version of a table; an empty one with the declared schema before the first."""
-    marker = f"{root}/{name}/CURRENT"
-    if not os.path.exists(marker):
-        return spark.createDataFrame([], schema(name))
-    return spark.read.parquet(f"{root}/{name}/v{int(float(open(marker).read()))}")
+    held = published(spark, root, name)
+    return spark.createDataFrame([], schema(name)) if held is None else held
