@@ -45,11 +45,13 @@ def test_full_load_dead_letters_replay_and_updates(spark, tmp_path):
     answers = tmp_path / "api"
     _answer(answers, "/fixtures", {"league": 7, "season": 2024}, [_payload(1), _payload(2, goals=(None, None), status="NS"), {"fixture": None}])
     counts = pipelines.full_load(spark, config, "2024-11-01", NOW)
-    assert counts == {"pending": 2, "loaded": 1, "failed": 1, "fixtures": 2}
+    assert counts == {"pending": 2, "loaded": 1, "failed": 1, "skipped": 0, "extracted": 2, "fixtures": 2}
     fixtures = landing.current(spark, config.warehouse, "raw_fixtures")
     assert {(r.fixture_id, r.api_fixture_id, r.home_fulltime_result) for r in fixtures.collect()} == {(1, 1, "win"), (2, 2, None)}
     assert [r.api_league_id for r in landing.dead_letters(spark, config.root).collect()] == [8]
     assert pipelines.replay_dead_letters(spark, config, "2024-11-02", NOW) == {"replayed": 0, "left": 1}
+    (left,) = landing.residual(spark, config.root).collect()
+    assert (left.api_league_id, left.season_year, left.n_failures, left.ds, left.error) == (8, 2024, 1, "2024-11-01", "Failed: refused with status 404")
     _answer(answers, "/fixtures", {"league": 8, "season": 2024}, [_payload(3, league=8)])
     assert pipelines.replay_dead_letters(spark, config, "2024-11-02", NOW) == {"replayed": 1, "left": 0}
     assert landing.dead_letters(spark, config.root).count() == 0
@@ -69,18 +71,24 @@ def test_corrections_and_standings(spark, tmp_path):
     for league in (7, 8):
         _answer(answers, "/fixtures", {"league": league, "season": 2024}, [_payload(league, league, "2024-12-01T18:00:00", (None, None), "NS")])
     pipelines.full_load(spark, config, "d", NOW)
-    _answer(answers, "/fixtures", {"league": 7, "next": 11}, [_payload(7, 7, "2024-12-02T19:00:00+01:00", (None, None), "NS"), _payload(99)])
-    _answer(answers, "/fixtures", {"league": 8, "last": 11}, [_payload(8, 8, "2024-12-01T18:00:00Z")])
+    _answer(answers, "/fixtures", {"league": 7, "season": 2024, "next": 11}, [_payload(7, 7, "2024-12-02T19:00:00+01:00", (None, None), "NS"), _payload(99)])
+    _answer(answers, "/fixtures", {"league": 8, "season": 2024, "last": 11}, [_payload(8, 8, "2024-12-01T18:00:00Z")])
     assert pipelines.correct_kickoffs(spark, config, NOW) == 1
     rows = {r.api_fixture_id: r.kickoff_utc for r in landing.current(spark, config.warehouse, "raw_fixtures").collect()}
     assert rows == {7: datetime(2024, 12, 2, 18), 8: datetime(2024, 12, 1, 18)}
     line = {"team": {"id": 1, "name": "A"}, "rank": 1, "points": 3, "goalsDiff": 1, "form": "W", "all": {"played": 1, "win": 1, "draw": 0, "lose": 0, "goals": {"for": 1, "against": 0}}}
     table = {"league_season_id": 1, "league": {"standings": [[line], [{**line, "rank": 2}, {**line, "team": {"id": None, "name": "?"}}]]}}
     payload = spark.createDataFrame([table], STANDINGS_PAYLOAD).coalesce(1)
-    assert pipelines.refresh_standings(spark, config, payload, NOW) == 1
-    assert pipelines.refresh_standings(spark, config, payload, NOW) == 1
+    assert pipelines.refresh_standings(spark, config, NOW, payload) == 1
+    assert pipelines.refresh_standings(spark, config, NOW, payload) == 1
     held = landing.current(spark, config.warehouse, "raw_league_standings").collect()
     assert [(r.api_team_id, r["rank"], r.api_league_id) for r in held] == [(1, 2, 7)]
+    # asked of the service: the first element of each answer counts, a refused season is kept as a failure
+    _answer(answers, "/standings", {"league": 7, "season": 2024}, [{"league": {"standings": [[{**line, "rank": 5}], [{**line, "team": {"id": 4, "name": "D"}}]]}}, {"league": {"standings": [[{**line, "rank": 9}]]}}])
+    assert pipelines.refresh_standings(spark, config, NOW) == 2
+    held = landing.current(spark, config.warehouse, "raw_league_standings").collect()
+    assert {(r.api_team_id, r["rank"]) for r in held} == {(1, 5), (4, 1)}
+    assert [(r.pipeline, r.request) for r in landing.failures(spark, config.root).filter("pipeline = 'refresh_standings'").collect()] == [("refresh_standings", '{"league": 8, "season": 2024}')]
 
 
 def test_metadata_refresh(spark, tmp_path):
@@ -145,22 +153,27 @@ def test_failed_requests_and_rejected_payloads_are_kept(spark, tmp_path):
     assert pipelines.incremental_load(spark, config, "2024-11-02", NOW) == 0
     assert kept() - full == {("incremental_load", '{"ids": "2"}', refused)}
     pipelines.correct_kickoffs(spark, config, NOW, mode="missed")
-    assert {r for _, r, _ in kept() - full} == {'{"ids": "2"}', '{"last": 11, "league": 7}', '{"last": 11, "league": 8}'}
+    assert {r for _, r, _ in kept() - full} == {'{"ids": "2"}', '{"last": 11, "league": 7, "season": 2024}', '{"last": 11, "league": 8, "season": 2024}'}
+
+
+def _pace(lanes=1, now=datetime(2024, 1, 1)):
+    slept = []
+    return api.Pace(lanes, slept.append, lambda: now), slept
 
 
 def test_lost_requests_raise():
     for bad in [(404, {}, ""), (200, {}, "no json"), (200, {}, "[]"), (500, {}, "")]:
+        pace, slept = _pace()
         try:
-            api.require_response(lambda *a, bad=bad: bad, "/x", {}, lambda s: None)
+            api.require_response(lambda *a, bad=bad: bad, "/x", {}, pace)
             raise AssertionError
         except api.Failed:
-            pass
+            assert slept == ([1, 2, 4, 8] if bad[0] == 500 else [])
     assert api.require_response(lambda *a: (200, {}, '{"response": []}'), "/x", {}) == []
 
 
 def test_requests_wait_and_retry():
-    slept = []
-    script = iter(["down", (429, {"Retry-After": "9"}, ""), (200, {"x-ratelimit-remaining": "0"}, ""), (200, {"x-ratelimit-requests-remaining": "0"}, ""), (200, {"x-ratelimit-remaining": "?"}, '{"response": [1]}')])
+    script = iter(["down", (429, {"Retry-After": "9"}, ""), (200, {"x-ratelimit-remaining": "0"}, '{"response": [1]}'), (200, {"x-ratelimit-remaining": "?"}, '{"response": [2]}')])
 
     def fetch(endpoint, params, timeout):
         step = next(script)
@@ -168,15 +181,43 @@ def test_requests_wait_and_retry():
             raise api.Transient
         return step
 
-    assert api.get_response(fetch, "/x", {}, slept.append, lambda: datetime(2024, 1, 1, 23, 59)) == [1]
-    assert slept == [1, 9, 60, 60.0]
-    for bad in [(404, {}, ""), (200, {}, "no json")]:
-        assert api.get_response(lambda *a, bad=bad: bad, "/x", {}, slept.append) == []
-    slept.clear()
-    assert api.get_response(lambda *a: (500, {}, ""), "/x", {}, slept.append) == [] and slept == [1, 2, 4, 8, 16]
+    pace, slept = _pace()
+    assert api.require_response(fetch, "/x", {}, pace) == [1] and slept == [1, 9]
+    # a good answer counts even where it spends the minute; the next request waits
+    assert api.require_response(fetch, "/x", {}, pace) == [2] and slept == [1, 9, 60]
     assert api.batches_of_ids(list(range(41)))[2] == {"ids": "40"}
 
 
+def test_a_spent_day_fails_the_rest_at_once():
+    pace, slept = _pace(lanes=3)
+    assert api.require_response(lambda *a: (200, {"x-ratelimit-requests-remaining": "2"}, '{"response": [1]}'), "/x", {}, pace) == [1]
+    try:
+        api.require_response(lambda *a: (200, {}, '{"response": [2]}'), "/x", {}, pace)
+        raise AssertionError
+    except api.Failed as e:
+        assert "day" in str(e) and slept == []
+    pace.now = lambda: datetime(2024, 1, 2)
+    assert api.require_response(lambda *a: (200, {}, '{"response": [2]}'), "/x", {}, pace) == [2]
+
+
+def test_lanes_share_out_the_requests(spark, tmp_path):
+    for i in range(5):
+        _answer(tmp_path, "/x", {"i": i}, [i])
+    for lanes in ("1", "3", "9"):
+        df = api.read_api(spark, "/x", [{"i": i} for i in range(6)], folder=str(tmp_path), lanes=lanes)
+        assert df.rdd.getNumPartitions() == min(int(lanes), 6)
+        rows = df.collect()
+        assert sorted(r.body for r in rows if r.body) == list("01234") and [r.request for r in rows if r.error] == ['{"i": 5}']
+
+
+def test_settings_come_from_the_environment(monkeypatch):
+    monkeypatch.setenv("TOUCHLINE_LOOK", "5")
+    monkeypatch.setenv("TOUCHLINE_LANES", "many")
+    monkeypatch.setenv("TOUCHLINE_WAREHOUSE", "wh")
+    config = Config.from_environment(root="r")
+    assert (config.root, config.warehouse, config.look, config.lanes, config.first_season) == ("r", "wh", 5, 1, 2020)
+
+
 def test_sources_and_contracts(spark, tmp_path):
     (tmp_path / "seed.csv").write_text("category,weight\nresult,1.0\n")
     assert landing.read_seed(spark, str(tmp_path / "seed.csv"), "category string, weight double").first().weight == 1.0

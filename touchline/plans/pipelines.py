@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+import os
+from dataclasses import dataclass, fields
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,9 +28,23 @@ class Config:
     headers: str = "{}"
     first_season: int = 2020
     look: int = 11
+    lanes: int = 1
 
     def transport(self) -> dict[str, str]:
-        return {"folder": self.folder} if self.folder else {"base": self.base, "headers": self.headers}
+        where = {"folder": self.folder} if self.folder else {"base": self.base, "headers": self.headers}
+        return where | {"lanes": str(self.lanes)}
+
+    @classmethod
+    def from_environment(cls, prefix: str = "TOUCHLINE_", **given: str) -> Config:
+        """Settings from variables named by ``prefix`` and the field in capitals; what is no number keeps its default."""
+        values = {}
+        for f in fields(cls):
+            text = given.get(f.name) or os.environ.get(prefix + f.name.upper())
+            if text is not None and f.type in (int, "int"):
+                text = int(text) if str(text).strip().isdigit() else None
+            if text is not None:
+                values[f.name] = text
+        return cls(**values)
 
 
 def _at(t: datetime) -> Column:
@@ -79,23 +94,27 @@ def full_load(spark: SparkSession, config: Config, ds: str, now: datetime) -> di
     """Pending league seasons: fetched, landed, loaded by replacing their partitions, marked done.
 
     A season with no answer goes to the dead letters and stays pending. The work list is one row
-    per league season, a small table that the driver may hold.
+    per league season, a small table that the driver may hold. Returns the numbers of units pending,
+    loaded and failed (of these skipped: answered with nothing), and of fixtures extracted and loaded.
     """
     seasons, fixtures = landing.current(spark, config.warehouse, "dim_league_seasons"), landing.current(spark, config.warehouse, "raw_fixtures")
     work = pending_seasons(seasons, landing.current(spark, config.warehouse, "dim_leagues"), landing.current(spark, config.warehouse, "dim_countries")).collect()
     if not work:
-        return {"pending": 0, "loaded": 0, "failed": 0, "fixtures": 0}
+        return {"pending": 0, "loaded": 0, "failed": 0, "skipped": 0, "extracted": 0, "fixtures": 0}
     flat, failed = fetch(spark, config, [{"league": r["api_league_id"], "season": r["season_year"]} for r in work], "full_load", now)
     path = landing.land_fixtures(flat, config.root, ds)
     landed = landing.read_landed(spark, path).filter(F.col("ds") == ds)
-    got = {(r[0], r[1]) for r in landed.select("api_league_id", "season").distinct().collect()}
+    counts = landed.groupBy("api_league_id", "season").agg(F.count(F.lit(1)).alias("n")).collect()
+    got = {(r[0], r[1]): r[2] for r in counts}
     done = [r["league_season_id"] for r in work if (r["api_league_id"], r["season_year"]) in got]
     lost = [r for r in work if r["league_season_id"] not in set(done)]
-    _dead_letters(spark, config, lost, dict(map(tuple, failed.collect())) if lost else {}, ds, now)
+    errors = dict(map(tuple, failed.collect())) if lost else {}
+    _dead_letters(spark, config, lost, errors, ds, now)
     count = load(spark, config, landed.drop("league", "season_year", "ds"), fixtures, ["api_league_id", "season"], now) if got else 0
     marked = spark.createDataFrame([(k,) for k in done], "league_season_id bigint")
     landing.publish(upsert.mark_done(seasons, marked, ["league_season_id"], "fixtures_bootstrap_done", "fixtures_bootstrap_at", _at(now)), config.warehouse, "dim_league_seasons")
-    return {"pending": len(work), "loaded": len(done), "failed": len(lost), "fixtures": count}
+    # skipped are units that answered with nothing
+    return {"pending": len(work), "loaded": len(done), "failed": len(lost), "skipped": len(lost) - len(errors), "extracted": sum(got.values()), "fixtures": count}
 
 
 def _dead_letters(spark: SparkSession, config: Config, lost: list, errors: dict[str, str], ds: str, now: datetime) -> None:
@@ -110,7 +129,7 @@ def load(spark: SparkSession, config: Config, landed: DataFrame, fixtures: DataF
     kept = fixtures.join(landed.select(*partition).distinct(), partition, "left_anti")
     top = fixtures.agg(F.max("fixture_id").alias("m")).first()["m"] or 0
     rows = upsert.numbered(landed, ["api_fixture_id"], "fixture_id", top).withColumns({"created_at": _at(now), "updated_at": _at(now)})
-    new = upsert.normalise(rows, fixtures)
+    new = materialise(upsert.normalise(rows, fixtures), "loaded")
     landing.publish(kept.unionByName(new), config.warehouse, "raw_fixtures")
     return new.count()
 
@@ -127,18 +146,16 @@ def apply_updates(fixtures: DataFrame, updates: DataFrame, now: Column, order: l
     return upsert.coalesce_upsert(fixtures, stamped, ["api_fixture_id"], [c for c in fixtures.columns if c not in keep], now)
 
 
-def incremental_load(spark: SparkSession, config: Config, ds: str, now: datetime, mode: str = "ids", to_date: str | None = None) -> int:
+def incremental_load(spark: SparkSession, config: Config, ds: str, now: datetime, mode: str = "ids", to_date: str | None = None, from_date: str | None = None) -> int:
     """Refresh stale fixtures, asked by ids or by dates of each league season; returns rows received."""
     fixtures = landing.current(spark, config.warehouse, "raw_fixtures")
     leagues, seasons = landing.current(spark, config.warehouse, "dim_leagues"), landing.current(spark, config.warehouse, "dim_league_seasons")
-    today = _at(now).cast("date")
-    flagged = seasons.withColumn("is_current", F.coalesce(today.between(F.col("start_date"), F.col("end_date")), F.lit(False)))
-    stale = stale_fixtures(fixtures, leagues, flagged, _at(now))
+    stale = stale_fixtures(fixtures, leagues, _current(seasons, now), _at(now))
     if mode == "ids":
         requests = api.batches_of_ids([r[0] for r in stale.select("api_fixture_id").distinct().orderBy("api_fixture_id").toLocalIterator()])
     else:
         end = to_date or now.strftime("%Y-%m-%d")
-        requests = [{"league": r["api_league_id"], "season": r["season"], "from": str(r["from_date"]), "to": end} for r in earliest_missing(stale).collect()]
+        requests = [{"league": r["api_league_id"], "season": r["season"], "from": from_date or str(r["from_date"]), "to": end} for r in earliest_missing(stale).collect()]
     if not requests:
         return 0
     flat, _ = fetch(spark, config, requests, "incremental_load", now)
@@ -148,23 +165,58 @@ def incremental_load(spark: SparkSession, config: Config, ds: str, now: datetime
     return landed.count()
 
 
+def _current(seasons: DataFrame, now: datetime) -> DataFrame:
+    """League seasons with ``is_current``: those whose dates hold today; one without dates isn't."""
+    held = _at(now).cast("date").between(F.col("start_date"), F.col("end_date"))
+    return seasons.withColumn("is_current", F.coalesce(held, F.lit(False)))
+
+
+def _current_units(spark: SparkSession, config: Config, now: datetime) -> list:
+    """(league_season_id, api_league_id, season) of the current seasons, in order."""
+    seasons = _current(landing.current(spark, config.warehouse, "dim_league_seasons"), now).filter("is_current")
+    leagues = landing.current(spark, config.warehouse, "dim_leagues").select("league_id", "api_league_id")
+    return seasons.join(leagues, "league_id").select("league_season_id", "api_league_id", "season").orderBy("league_season_id").collect()
+
+
 def correct_kickoffs(spark: SparkSession, config: Config, now: datetime, mode: str = "both") -> int:
-    """Compare the last and next fixtures of each league with the service and move changed kickoffs."""
+    """Compare the last and next fixtures of each league's current season with the service and move changed kickoffs."""
     fixtures = landing.current(spark, config.warehouse, "raw_fixtures")
-    leagues = [r[0] for r in landing.current(spark, config.warehouse, "dim_leagues").select("api_league_id").collect()]
     sides = {"missed": ["last"], "changed": ["next"], "both": ["last", "next"]}[mode]
-    flat, _ = fetch(spark, config, [{"league": lg, side: config.look} for lg in leagues for side in sides], "correct_kickoffs", now)
+    asked = [{"league": u["api_league_id"], "season": u["season"], side: config.look} for u in _current_units(spark, config, now) for side in sides]
+    if not asked:
+        return 0
+    flat, _ = fetch(spark, config, asked, "correct_kickoffs", now)
     seen = upsert.dedupe_last_wins(flat.select("api_fixture_id", "kickoff_utc"), ["api_fixture_id"], ["kickoff_utc"])
     moved = upsert.moved_kickoffs(seen, fixtures, "api_fixture_id", "kickoff_utc", "fixture_status")
-    changes = moved.filter(F.col("new_kickoff_utc").isNotNull()).select("api_fixture_id", F.col("new_kickoff_utc").alias("kickoff_utc"))
+    changes = materialise(moved.filter(F.col("new_kickoff_utc").isNotNull()).select("api_fixture_id", F.col("new_kickoff_utc").alias("kickoff_utc")), "moved")
     n = changes.count()
     if n:
         landing.publish(upsert.point_update(fixtures, changes, ["api_fixture_id"], "kickoff_utc", _at(now)), config.warehouse, "raw_fixtures")
     return n
 
 
-def refresh_standings(spark: SparkSession, config: Config, payload: DataFrame, now: datetime) -> int:
-    """Upsert standings, the last row of a team and season counting, from payloads of STANDINGS_PAYLOAD."""
+def fetch_standings(spark: SparkSession, config: Config, now: datetime) -> tuple[DataFrame, int]:
+    """(payloads of STANDINGS_PAYLOAD of all current seasons, number of failed requests); of each answer the first element counts.
+
+    Failed requests are kept in ``landing.failures``.
+    """
+    requests = {json.dumps({"league": u["api_league_id"], "season": u["season"]}, sort_keys=True): (u["league_season_id"],) for u in _current_units(spark, config, now)}
+    body = STANDINGS_PAYLOAD.replace("league_season_id int,", "", 1)
+    answers, failed = _ask(spark, config, "/standings", requests, "league_season_id bigint", body)
+    rows = [("refresh_standings", r, e, None, now.isoformat()) for r, e in failed]
+    if rows:
+        landing.put_failures(spark.createDataFrame(rows, landing.FAILURE), config.root)
+    first = answers.groupBy("league_season_id").agg(F.min_by("league", "pos").alias("league"))
+    return first.select(F.col("league_season_id").cast("int").alias("league_season_id"), "league"), len(failed)
+
+
+def refresh_standings(spark: SparkSession, config: Config, now: datetime, payload: DataFrame | None = None) -> int:
+    """Upsert the standings of all current seasons, the last row of a team and season counting.
+
+    They are asked of the service, unless payloads of STANDINGS_PAYLOAD are given.
+    """
+    if payload is None:
+        payload, _ = fetch_standings(spark, config, now)
     standings, seasons = landing.current(spark, config.warehouse, "raw_league_standings"), landing.current(spark, config.warehouse, "dim_league_seasons")
     leagues = landing.current(spark, config.warehouse, "dim_leagues").select("league_id", "api_league_id")
     context = seasons.join(leagues, "league_id").select(F.col("league_season_id").cast("int").alias("league_season_id"), "api_league_id", "season")
@@ -244,7 +296,10 @@ def refresh_metadata(spark: SparkSession, config: Config, tree: DataFrame, now:
 
 
 def replay_dead_letters(spark: SparkSession, config: Config, ds: str, now: datetime) -> dict[str, int]:
-    """Try failed units again; those that answer are landed, loaded, marked done and removed from the queue."""
+    """Try failed units again; those that answer are landed, loaded, marked done and removed from the queue.
+
+    ``landing.residual`` lists what is left, unit by unit.
+    """
     letters = landing.dead_letters(spark, config.root)
     units = letters.select("api_league_id", "season_year").distinct().collect()
     if not units:
@@ -264,5 +319,3 @@ def replay_dead_letters(spark: SparkSession, config: Config, ds: str, now: datet
         landing.drop_dead_letters(spark, folders)
     return {"replayed": n, "left": len(units) - n}
 
-
-STANDINGS_SCHEMA = STANDINGS_PAYLOAD

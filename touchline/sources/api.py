@@ -1,17 +1,20 @@
-"""The REST source as a Python data source: one partition per request, with rate limits and retries."""
+"""The REST source as a Python data source: requests in lanes that share the service's allowance."""
 
 from __future__ import annotations
 
 import json
 import time
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta, timezone
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: How the service is asked.
 TIMEOUT_S, ATTEMPTS, BACKOFF_CAP_S, IDS_PER_REQUEST = 10, 5, 60, 20
+#: What is left for the day and for the minute, as the service tells in its headers.
+_DAY, _MINUTE = "x-ratelimit-requests-remaining", "x-ratelimit-remaining"
 
 
 class Transient(Exception):
@@ -22,57 +25,81 @@ class Failed(Exception):
     """A request without an answer: refused, unreadable or given up."""
 
 
-def get_response(fetch: Callable, endpoint: str, params: dict, sleep: Callable = time.sleep, now: Callable | None = None) -> list:
-    """As ``require_response``, but an empty list for a request that fails."""
+def _utc() -> datetime:
+    return datetime.now(timezone.utc)
+
+
+@dataclass
+class Pace:
+    """When the next request of a lane may go out, from what the answers so far told.
+
+    ``lanes`` ask at the same time, so a lane stops when fewer requests are left than there are
+    lanes. A minute's allowance comes back, so it is waited for; a day's doesn't in the time of a
+    task, so what is left of a lane fails at once and can be asked again the next day.
+    """
+
+    lanes: int = 1
+    sleep: Callable = time.sleep
+    now: Callable = _utc
+    _pause: float = field(default=0, init=False)
+    _spent_on: object = field(default=None, init=False)
+
+    def before(self) -> None:
+        if self._spent_on == self.now().date():
+            raise Failed("the allowance of the day is spent")
+        pause, self._pause = self._pause, 0
+        if pause:
+            self.sleep(pause)
+
+    def after(self, headers: dict) -> None:
+        def left(name: str) -> float:
+            text = str(headers.get(name, "")).strip()
+            return int(text) if text.isdigit() else float("inf")
+
+        if left(_DAY) < self.lanes:
+            self._spent_on = self.now().date()
+        if left(_MINUTE) < self.lanes:
+            self.rest(60)
+
+    def rest(self, seconds: float) -> None:
+        self._pause = max(self._pause, seconds)
+
+
+def _items(text: str) -> list:
     try:
-        return require_response(fetch, endpoint, params, sleep, now)
-    except Failed:
-        return []
+        document = json.loads(text)
+    except ValueError as e:
+        raise Failed("the answer is no JSON document") from e
+    if not isinstance(document, dict):
+        raise Failed("the answer is no JSON object")
+    return document.get("response", [])
 
 
-def require_response(fetch: Callable, endpoint: str, params: dict, sleep: Callable = time.sleep, now: Callable | None = None) -> list:
+def require_response(fetch: Callable, endpoint: str, params: dict, pace: Pace | None = None) -> list:
     """The ``response`` list of one request; ``Failed`` when it is refused, unreadable, or all attempts fail.
 
-    ``fetch(endpoint, params, timeout)`` gives (status, headers, text). A spent daily allowance
-    waits for the next UTC day, a spent minute for sixty seconds, status 429 for as long as told;
-    transient errors double the wait up to a cap; other errors end it.
+    ``fetch(endpoint, params, timeout)`` gives (status, headers, text). A good answer counts
+    whatever its headers say of the allowance; the next request pays for that.
     """
-    now = now or (lambda: datetime.now(timezone.utc))
-    wait, last = 1, ""
-    for _ in range(ATTEMPTS):
+    pace, why = pace or Pace(), ""
+    for attempt in range(ATTEMPTS):
+        pace.before()
+        pause = min(2**attempt, BACKOFF_CAP_S)
         try:
             status, headers, text = fetch(endpoint, params, TIMEOUT_S)
         except Transient as e:
-            last = f"no connection {e}".strip()
-            sleep(wait)
-            wait = min(2 * wait, BACKOFF_CAP_S)
-            continue
-        last = f"status {status}"
-        if _left(headers, "x-ratelimit-requests-remaining") < 1:
-            t = now()
-            sleep((t.replace(hour=0, minute=0, second=0, microsecond=0) + timedelta(days=1) - t).total_seconds())
-        elif _left(headers, "x-ratelimit-remaining") < 1:
-            sleep(60)
-        elif status == 429:
-            sleep(int(headers.get("Retry-After", wait)))
-        elif status >= 500:
-            sleep(wait)
-            wait = min(2 * wait, BACKOFF_CAP_S)
-        elif status >= 400:
-            raise Failed(f"refused with {last}")
+            why = f"no connection {e}".strip()
         else:
-            try:
-                return json.loads(text).get("response", [])
-            except (ValueError, AttributeError) as e:
-                raise Failed("the answer is no JSON document") from e
-    raise Failed(f"{ATTEMPTS} attempts, the last with {last}")
-
-
-def _left(headers: dict, name: str) -> int:
-    try:
-        return int(headers.get(name, 1))
-    except (TypeError, ValueError):
-        return 1
+            pace.after(headers)
+            if status < 400:
+                return _items(text)
+            if status < 500 and status != 429:
+                raise Failed(f"refused with status {status}")
+            why = f"status {status}"
+            told = str(headers.get("Retry-After", ""))
+            pause = int(told) if status == 429 and told.isdigit() else pause
+        pace.rest(pause)
+    raise Failed(f"{ATTEMPTS} attempts, the last with {why}")
 
 
 def http_fetch(base: str, headers: dict[str, str]) -> Callable:
@@ -116,31 +143,36 @@ def batches_of_ids(ids: list) -> list[dict]:
     return [{"ids": "-".join(map(str, ids[i : i + IDS_PER_REQUEST]))} for i in range(0, len(ids), IDS_PER_REQUEST)]
 
 
-class _Request(InputPartition):
-    def __init__(self, params: dict) -> None:
-        self.params = params
+class _Lane(InputPartition):
+    def __init__(self, requests: list[dict]) -> None:
+        self.requests = requests
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
+        self.lanes = max(1, int(options.get("lanes", "1")))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Request(p) for p in json.loads(self.options["requests"])]
+        requests = json.loads(self.options["requests"])
+        lanes = [requests[i :: self.lanes] for i in range(self.lanes)]
+        return [_Lane(own) for own in lanes if own] or [_Lane([])]
 
-    def read(self, partition: _Request) -> Iterator[tuple]:
+    def read(self, partition: _Lane) -> Iterator[tuple]:
         o = self.options
         fetch = folder_fetch(o["folder"]) if o.get("folder") else http_fetch(o["base"], json.loads(o.get("headers", "{}")))
-        params = json.dumps(partition.params, sort_keys=True)
-        try:
-            for item in require_response(fetch, o["endpoint"], partition.params):
-                yield params, json.dumps(item), None
-        except Exception as e:  # a failed unit is recorded; the others go on
-            yield params, None, f"{type(e).__name__}: {e}"
+        pace = Pace(self.lanes)
+        for request in partition.requests:
+            params = json.dumps(request, sort_keys=True)
+            try:
+                for item in require_response(fetch, o["endpoint"], request, pace):
+                    yield params, json.dumps(item), None
+            except Exception as e:  # a failed unit is recorded; the others go on
+                yield params, None, f"{type(e).__name__}: {e}"
 
 
 class ApiDataSource(DataSource):
-    """Format ``football_api``: rows (request, body, error), a partition for each request."""
+    """Format ``football_api``: rows (request, body, error), a partition for each lane of requests."""
 
     @classmethod
     def name(cls) -> str:
@@ -157,7 +189,9 @@ def read_api(spark: SparkSession, endpoint: str, requests: list[dict], **options
     """Responses of many requests: (request, body, error); parse bodies with ``from_json``.
 
     ``requests`` hold what the service offers: league and season, from and to dates, ids, last or
-    next n. Options: ``base`` and ``headers`` for HTTP, or ``folder`` for recorded answers.
+    next n. Options: ``base`` and ``headers`` for HTTP, or ``folder`` for recorded answers, and
+    ``lanes``, how many tasks ask at the same time. All requests of a lane, and so with one lane all
+    there are, keep to one view of the allowance.
     """
     spark.dataSource.register(ApiDataSource)
     return spark.read.format("football_api").options(endpoint=endpoint, requests=json.dumps(requests), **options).load()
