@@ -157,3 +157,19 @@ def test_columns(spark):
     assert two[0] is None and two[3] is None
     times = spark.createDataFrame([("2024-05-01T10:00:00Z",), ("2024-05-01T12:00:00+02:00",), ("2024-05-01 10:00:00",), ("soon",), (None,)], "t string")
     assert [r[0] for r in times.select(utc_instant("t")).collect()] == [datetime(2024, 5, 1, 10)] * 3 + [None, None]
+
+
+def test_models_know_what_they_refer_to():
+    assert Warehouse.used_by("stg_raw_fixtures") == set()
+    assert {"int_league_context", "dim_team", "stg_raw_fixtures", "stg_dim_teams"} <= Warehouse.used_by("int_fixtures")
+    assert {"fact_head_to_head_latest", "fact_team_fixtures", "mart_fixture_info"} <= Warehouse.used_by("mart_head_to_head_info")
+    order = list(Warehouse.names())
+    assert all(order.index(n) < order.index(name) for name in order for n in Warehouse.used_by(name))
+
+
+def test_side_by_side_build(spark, tmp_path):
+    w = _warehouse(spark, [(i, -30 + i, 1, 2, 3, 0, "FT") for i in range(1, 5)] + [(10, 5, 1, 2, None, None, "NS")])
+    assert set(w.build(str(tmp_path), threads=4)) == set(w.names())
+    tables = {n for n, kind in w.names().items() if kind != "view"}
+    assert {p.name for p in tmp_path.iterdir()} == tables
+    assert published(spark, str(tmp_path), "mart_head_to_head_info").first().h2h_info_json.startswith('{"totalMatches":4')

@@ -48,14 +48,20 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Replace a small file in one step: readers see the old text or the new one."""
-    system, new = _at(spark, f"{path}.new")
-    stream = system.create(new, True)
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file, replacing one that is there."""
+    system, where = _at(spark, path)
+    stream = system.create(where, True)
     try:
-        stream.write(text.encode())
+        stream.write(data)
     finally:
         stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file in one step: readers see the old text or the new one."""
+    write_bytes(spark, f"{path}.new", text.encode())
+    system, new = _at(spark, f"{path}.new")
     context = spark.sparkContext
     replace = getattr(context._jvm.org.apache.hadoop.fs, "Options$Rename")
     how = context._gateway.new_array(replace, 1)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
+from types import CodeType
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,6 +85,18 @@ def min_length(event: Column) -> Column:
     return F.when(event.isin(LONG_EVENTS), 4).otherwise(3)
 
 
+def _words(code: CodeType) -> set[str]:
+    """The texts in a function, in those within it and in the helpers of this module that it calls."""
+    found = {c for c in code.co_consts if isinstance(c, str)}
+    for inner in code.co_consts:
+        found |= _words(inner) if isinstance(inner, CodeType) else set()
+    for helper in code.co_names:
+        f = globals().get(helper)
+        if helper.startswith("_") and getattr(f, "__module__", None) == __name__ and hasattr(f, "__code__"):
+            found |= _words(f.__code__)
+    return found
+
+
 class Warehouse:
     """The models over the tables of one folder, as of one instant, by default the present one.
 
@@ -133,25 +147,50 @@ class Warehouse:
     def names() -> dict[str, str]:
         return {name: m.kind for name, m in _MODELS.items()}
 
-    def build(self, target: str, names: list[str] | None = None, full_refresh: bool = False) -> list[str]:
-        """Write the table and incremental models to ``target`` in an order that suits them.
+    def build(self, target: str, names: list[str] | None = None, full_refresh: bool = False, threads: int = 1) -> list[str]:
+        """Write the table and incremental models to ``target``, each after those it refers to.
 
         A written model replaces its lazy form, so that what refers to it reads the table. Model
         functions call ``ref``, so asking for one builds what it needs. An incremental model that is
         already there takes only new rows, by its key; ``full_refresh`` builds it anew. Tables are
-        written as new versions beside the old ones (``landing.publish``).
+        written as new versions beside the old ones (``landing.publish``). With more ``threads``,
+        models that don't refer to one another are written at the same time.
         """
-        done = []
-        for name in names or list(_MODELS):
-            kind = _MODELS[name].kind
-            if kind != "view":
-                held = published(self.spark, target, name) if kind == "incremental" and not full_refresh else None
-                df = self.ref(name) if held is None else self.next_run(name, held)
-                self._built[name] = self.spark.read.parquet(publish(df, target, name))
-                self._tables.add(name)
-            done.append(name)
+        wanted, done, levels = names or list(_MODELS), [], {}
+        for name in wanted:
+            used = [levels[n] for n in self.used_by(name) if n in levels]
+            levels[name] = 1 + max(used, default=0)
+        for level in sorted(set(levels.values())):
+            mine = [n for n in wanted if levels[n] == level]
+            # plans are made one after another, as they share what is built; only the writing runs side by side
+            plans = {n: self._plan(target, n, full_refresh) for n in mine}
+            with ThreadPoolExecutor(max(1, threads)) as pool:
+                paths = dict(pool.map(lambda n: (n, publish(plans[n], target, n)), [n for n in mine if plans[n] is not None]))
+            for n, path in paths.items():
+                self._built[n] = self.spark.read.parquet(path)
+                self._tables.add(n)
+            done += mine
         return done
 
+    def _plan(self, target: str, name: str, full_refresh: bool) -> DataFrame | None:
+        kind = _MODELS[name].kind
+        if kind == "view":
+            return None
+        held = published(self.spark, target, name) if kind == "incremental" and not full_refresh else None
+        return self.ref(name) if held is None else self.next_run(name, held)
+
+    @staticmethod
+    def used_by(name: str) -> set[str]:
+        """All models that a model refers to, directly or not, as its code names them."""
+        seen, todo = set(), [name]
+        while todo:
+            code = _MODELS[todo.pop()].build.__code__
+            for word in _words(code):
+                if word in _MODELS and word not in seen and word != name:
+                    seen.add(word)
+                    todo.append(word)
+        return seen
+
     def next_run(self, name: str, held: DataFrame) -> DataFrame:
         """An incremental model after a further run: new and changed keys take the place of old ones.
 

@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 from touchline.operators import upsert
 from touchline.operators.shapes import flatten_fixtures, flatten_metadata, flatten_standings
 from touchline.schemas import FIXTURE_PAYLOAD, LEAGUE_PAYLOAD, STANDINGS_PAYLOAD, TEAM_PAYLOAD
-from touchline.session import materialise
+from touchline.session import materialise, scratched
 from touchline.sources import api, landing
 
 
+#: Tables that the loads publish and the models read; ratings come from outside.
+SOURCES = ["raw_fixtures", "raw_league_standings", "dim_countries", "dim_leagues", "dim_league_seasons", "dim_venue", "dim_teams", "elo_rating"]
+
+
 @dataclass(frozen=True)
 class Config:
     """Settings of an installation, with typed defaults."""
@@ -90,6 +94,7 @@ def fetch(spark: SparkSession, config: Config, requests: list[dict], pipeline: s
     return flat, failed.select("request", "error")
 
 
+@scratched
 def full_load(spark: SparkSession, config: Config, ds: str, now: datetime) -> dict[str, int]:
     """Pending league seasons: fetched, landed, loaded by replacing their partitions, marked done.
 
@@ -146,6 +151,7 @@ def apply_updates(fixtures: DataFrame, updates: DataFrame, now: Column, order: l
     return upsert.coalesce_upsert(fixtures, stamped, ["api_fixture_id"], [c for c in fixtures.columns if c not in keep], now)
 
 
+@scratched
 def incremental_load(spark: SparkSession, config: Config, ds: str, now: datetime, mode: str = "ids", to_date: str | None = None, from_date: str | None = None) -> int:
     """Refresh stale fixtures, asked by ids or by dates of each league season; returns rows received."""
     fixtures = landing.current(spark, config.warehouse, "raw_fixtures")
@@ -178,6 +184,7 @@ def _current_units(spark: SparkSession, config: Config, now: datetime) -> list:
     return seasons.join(leagues, "league_id").select("league_season_id", "api_league_id", "season").orderBy("league_season_id").collect()
 
 
+@scratched
 def correct_kickoffs(spark: SparkSession, config: Config, now: datetime, mode: str = "both") -> int:
     """Compare the last and next fixtures of each league's current season with the service and move changed kickoffs."""
     fixtures = landing.current(spark, config.warehouse, "raw_fixtures")
@@ -210,6 +217,7 @@ def fetch_standings(spark: SparkSession, config: Config, now: datetime) -> tuple
     return first.select(F.col("league_season_id").cast("int").alias("league_season_id"), "league"), len(failed)
 
 
+@scratched
 def refresh_standings(spark: SparkSession, config: Config, now: datetime, payload: DataFrame | None = None) -> int:
     """Upsert the standings of all current seasons, the last row of a team and season counting.
 
@@ -239,6 +247,7 @@ def _ask(spark: SparkSession, config: Config, endpoint: str, requests: dict[str,
     return good.select(*asked.drop("request").columns, "pos", F.from_json("body", payload).alias("p")).select("*", "p.*").drop("p"), failed
 
 
+@scratched
 def refresh_metadata(spark: SparkSession, config: Config, tree: DataFrame, now: datetime) -> dict:
     """Countries, leagues, seasons and teams of a config tree (``landing.read_config``), asked of the service.
 
@@ -295,6 +304,7 @@ def refresh_metadata(spark: SparkSession, config: Config, tree: DataFrame, now:
     return counts | {"missing": [p for p in pairs if p not in found], "failed": failed + lost}
 
 
+@scratched
 def replay_dead_letters(spark: SparkSession, config: Config, ds: str, now: datetime) -> dict[str, int]:
     """Try failed units again; those that answer are landed, loaded, marked done and removed from the queue.
 

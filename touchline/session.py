@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import io
+import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +29,37 @@ def build_session(app: str = "touchline", master: str | None = None, **conf: str
     } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once for each application, so that they need not have it installed.
+
+    It goes through the shared folder; without one (a cluster that names none) workers must have it.
+    """
+    from touchline import files
+
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(spark.sparkContext.applicationId)
+    home = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for folder, _, names in os.walk(home):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                archive.write(path, os.path.relpath(path, os.path.dirname(home)))
+    try:
+        path = f"{_new_path(spark, 'package')}/touchline.zip"
+    except RuntimeError:
+        return
+    files.write_bytes(spark, path, packed.getvalue())
+    spark.sparkContext.addPyFile(path)
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -56,18 +92,52 @@ def shared_dir(spark: SparkSession) -> str:
 _OWN_DIR: str | None = None
 
 
-def new_shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends."""
+def _new_path(spark: SparkSession, label: str) -> str:
     path = f"{shared_dir(spark)}/touchline-{label}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
 
 
+#: Paths made since the innermost ``scratch`` began.
+_OPEN: list[str] = []
+
+
+def new_shared_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, removed by the ``scratch`` it is made in, or when the driver's Python ends."""
+    path = _new_path(spark, label)
+    _OPEN.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, all intermediate tables written within it; what is lazy must have run by then."""
+    global _OPEN
+    outer, _OPEN = _OPEN, []
+    try:
+        yield
+    finally:
+        for path in _OPEN:
+            _remove(spark, path)
+        _OPEN = outer
+
+
+def scratched(run: Callable) -> Callable:
+    """A function of a session that leaves no intermediate table behind."""
+
+    @wraps(run)
+    def call(spark: SparkSession, *given, **named):
+        with scratch(spark):
+            return run(spark, *given, **named)
+
+    return call
+
+
 def _remove(spark: SparkSession, path: str) -> None:
+    from touchline import files
+
     try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        files.delete(spark, path)
     except Exception:  # the JVM may have ended first; a local folder can still be removed
         if path.startswith("file://"):
             import shutil
