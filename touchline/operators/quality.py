@@ -101,3 +101,47 @@ CHECKS = (
     + [Check("raw_fixtures", "away_team_id", "relationships", parent="dim_teams", parent_column="api_team_id")]
     + [Check("raw_fixtures", "api_league_id", "relationships", parent="dim_leagues", parent_column="api_league_id")]
 )
+
+#: The tests declared for the models: columns that are never null, and those that are unique too.
+_DECLARED = {
+    "stg_raw_fixtures": ("api_league_id season kickoff_utc fixture_status home_team_id away_team_id is_played updated_at", "fixture_id api_fixture_id"),
+    "stg_dim_teams": ("team_name", "team_id api_team_id"),
+    "stg_dim_leagues": ("league_name country_id", "league_id api_league_id"),
+    "stg_dim_league_seasons": ("league_id season start_date end_date is_current", "league_season_id"),
+    "stg_dim_countries": ("country_name", "country_id"),
+    "stg_raw_league_standings": ("league_season_id api_team_id rank games_played wins draws losses", ""),
+    "dim_team": ("team_name", "team_id api_team_id"),
+    "int_fixtures": ("league_season_id league_name season kickoff_utc home_team_id away_team_id is_played updated_at is_current", "fixture_id"),
+    "fact_team_info": ("team_name team_slug league_season_id", "team_id"),
+    "mart_top_team_streaks": ("team_id league_name team_name next_opponent_name event_name current_streak_length", ""),
+    "mart_teams_fixture_streaks": ("team_id team_name opponent_id team_event_name team_streak_length", ""),
+    "mart_team_stats": ("team_id league_season_id games_played wins draws losses", ""),
+    "mart_teams_fixture_stats": ("team_id team_name next_fixture_id next_opponent_id", ""),
+    "mart_nav_leagues": ("league_name country_name", "league_season_id"),
+    "mart_league_info": ("league_name league_slug season_label country_name", "league_season_id"),
+    "mart_league_teams": ("league_season_id team_slug team_rank", "team_id"),
+    "mart_team_info": ("team_id team_name league_season_id", ""),
+    "mart_team_fixture": ("team_id team_name", ""),
+    "mart_fixture_info": ("fixture_id fixture_slug", ""),
+    "mart_fixture_streaks": ("fixture_id team_id opponent_id event_name streak_type", ""),
+    "mart_head_to_head_streaks": ("team_pair_key", ""),
+    "mart_head_to_head_matches": ("team_pair_key current_fixture_id", ""),
+    "mart_head_to_head_info": ("team_pair_key current_fixture_id", ""),
+}
+_STREAK_KINDS = ["goal_streaks", "result_streaks", "special_streaks"]
+#: The tests declared for the models, but for those of the two pages, which need a parameter.
+MODEL_CHECKS = [
+    Check(table, column, kind)
+    for table, (filled, keys) in _DECLARED.items()
+    for columns, kinds in ((keys.split(), ("not_null", "unique")), (filled.split(), ("not_null",)))
+    for column in columns
+    for kind in kinds
+] + [
+    Check("mart_top_team_streaks", "streak_type", "accepted_values", _STREAK_KINDS),
+    Check("mart_teams_fixture_streaks", "team_streak_type", "accepted_values", _STREAK_KINDS),
+    Check("stg_dim_league_seasons", "league_id", "relationships", parent="stg_dim_leagues", parent_column="league_id"),
+    Check("int_fixtures", "league_season_id", "relationships", parent="int_league_context", parent_column="league_season_id"),
+    Check("int_fixtures", "home_team_id", "relationships", parent="dim_team", parent_column="api_team_id"),
+    Check("int_fixtures", "away_team_id", "relationships", parent="dim_team", parent_column="api_team_id"),
+    Check("fact_team_info", "league_season_id", "relationships", parent="int_league_context", parent_column="league_season_id"),
+]

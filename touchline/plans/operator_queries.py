@@ -16,7 +16,7 @@ from touchline.plans.model_sql import chain
 from touchline.plans.model_queries import AS_OF, warehouse
 from touchline.plans.models import Warehouse, mart_fixture_page_context, mart_team_page_context
 from touchline.plans.pipelines import earliest_missing, pending_seasons, stale_fixtures
-from touchline.session import read_table
+from touchline.session import new_shared_path, read_table
 
 #: Deliveries written before this are the warehouse, later ones the batch that arrives.
 CUT = datetime(2024, 11, 1)
@@ -149,6 +149,15 @@ def q_checks(spark, root):
     return quality.run_checks({n: read_table(spark, root, n) for n in names}, quality.CHECKS)
 
 
+def q_model_checks(spark, root):
+    """The tests declared for the models, over models that are built first, as after a run."""
+    w = warehouse(spark, root)
+    names = {n for c in quality.MODEL_CHECKS for n in (c.table, c.parent) if n}
+    built = ["int_league_context", "dim_team_standings", "fact_team_fixtures", "fact_team_streak_suppression", *names]
+    w.build(new_shared_path(spark, "models"), [n for n in w.names() if n in built])
+    return quality.run_checks({n: w.ref(n) for n in names}, quality.MODEL_CHECKS)
+
+
 def q_not_null(spark, root):
     return quality.not_null(read_table(spark, root, "raw_fixtures"), "home_team_id").select("fixture_id", "api_fixture_id")
 
@@ -309,6 +318,7 @@ _RUNS = [
     o_pending_work,
     o_mark_done,
     q_checks,
+    q_model_checks,
     q_not_null,
     q_unique,
     q_accepted_values,
@@ -405,6 +415,7 @@ FROM dim_league_seasons s JOIN dim_leagues l ON l.league_id = s.league_id JOIN d
 SELECT s.league_season_id, h.league_season_id IS NOT NULL OR s.fixtures_bootstrap_done AS fixtures_bootstrap_done,
 CASE WHEN h.league_season_id IS NOT NULL THEN {_NOW_SQL} ELSE s.fixtures_bootstrap_at END AS fixtures_bootstrap_at FROM dim_league_seasons s LEFT JOIN hit h ON h.league_season_id = s.league_season_id""",
     "q_checks": "\nUNION ALL ".join(map(_check_sql, quality.CHECKS)),
+    "q_model_checks": chain("\nUNION ALL ".join(map(_check_sql, quality.MODEL_CHECKS))),
     "q_not_null": "SELECT fixture_id, api_fixture_id FROM raw_fixtures WHERE home_team_id IS NULL",
     "q_unique": "SELECT api_fixture_id, count(*) AS n_rows FROM raw_fixtures GROUP BY 1 HAVING count(*) > 1",
     "q_accepted_values": "SELECT fixture_id, home_fulltime_result FROM raw_fixtures WHERE home_fulltime_result NOT IN ('win', 'draw', 'loss')",
