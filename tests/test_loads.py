@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from touchline.operators.quality import freshness
 from touchline.plans import pipelines
 from touchline.plans.pipelines import Config
-from touchline.schemas import STANDINGS_PAYLOAD, TABLES, create_tables, require_columns
+from touchline.schemas import STANDINGS_PAYLOAD, TABLES, create_tables, require_columns, require_keys
 from touchline.sources import api, landing
 from touchline.streaming import incremental
 
@@ -242,6 +242,15 @@ def test_sources_and_contracts(spark, tmp_path):
         raise AssertionError
     except ValueError as e:
         assert "team_name" in str(e)
+    row = (1, 5, "n", None, 1, None, None, T0, T0)
+    good = spark.createDataFrame([row], TABLES["dim_teams"])
+    assert require_keys(good, "dim_teams") is good
+    loose = spark.createDataFrame([row, (2, 5, None, None, 1, None, None, T0, T0)], TABLES["dim_teams"].replace("not null", ""))
+    try:
+        require_keys(loose, "dim_teams")
+        raise AssertionError
+    except ValueError as e:
+        assert "team_name is null in 1 rows" in str(e) and "(api_team_id) repeats for 1 values" in str(e) and "(team_id)" not in str(e)
     assert freshness(landing.current(spark, str(tmp_path / "none"), "raw_fixtures"), "updated_at", F.current_timestamp()).first().state == "error"
 
 

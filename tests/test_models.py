@@ -170,6 +170,16 @@ def test_models_know_what_they_refer_to():
 def test_side_by_side_build(spark, tmp_path):
     w = _warehouse(spark, [(i, -30 + i, 1, 2, 3, 0, "FT") for i in range(1, 5)] + [(10, 5, 1, 2, None, None, "NS")])
     assert set(w.build(str(tmp_path), threads=4)) == set(w.names())
-    tables = {n for n, kind in w.names().items() if kind != "view"}
+    tables = {n for n, kind in w.names().items() if kind != "view"} | {"mart_dim_search_trigrams"}
     assert {p.name for p in tmp_path.iterdir()} == tables
     assert published(spark, str(tmp_path), "mart_head_to_head_info").first().h2h_info_json.startswith('{"totalMatches":4')
+
+
+def test_seeds_come_from_files_where_given(spark, tmp_path):
+    from touchline.sources.landing import read_seed
+
+    (tmp_path / "w.csv").write_text("category,weight,version\nresult,2.0,v1\n")
+    w = _warehouse(spark, [(i, -30 + i, 1, 2, 3, 0, "FT") for i in range(1, 5)])
+    w._given["category_weights"] = read_seed(spark, str(tmp_path / "w.csv"), "category string, weight double, version string")
+    score = {(r.team_id, r.event_name, r.context_scope): r.relevance_score for r in w.ref("fact_team_streak_relevance_score").collect()}
+    assert score[101, "win", "all"] == pytest.approx(2 * 2.321928094887362) and score[101, "score_2goals", "all"] is None

@@ -10,7 +10,7 @@ from datetime import datetime, timezone
 from logging.handlers import RotatingFileHandler
 
 from touchline.plans import pipelines
-from touchline.plans.models import Warehouse
+from touchline.plans.models import SEEDS, Warehouse
 from touchline.plans.pipelines import Config
 from touchline.session import build_session
 from touchline.sources import landing
@@ -38,6 +38,7 @@ def _arguments(given: list[str] | None) -> argparse.Namespace:
     build = commands.add_parser("build", help="write the models")
     build.add_argument("target")
     build.add_argument("models", nargs="*")
+    build.add_argument("--seed", action="append", default=[], metavar="NAME=CSV", help=f"one of {', '.join(SEEDS)}, with a header")
     build.add_argument("--full-refresh", action="store_true")
     build.add_argument("--threads", type=int, default=1, help="models that are written at the same time")
     return parser.parse_args(given)
@@ -69,7 +70,10 @@ def main(given: list[str] | None = None) -> int:
                 log.warning("still failing: %s", unit.asDict())
         else:
             tables = {n: landing.current(spark, config.warehouse, n) for n in pipelines.SOURCES}
-            w = Warehouse(spark, config.warehouse, now, **{n: df for n, df in tables.items() if df is not None})
+            for name, _, path in (text.partition("=") for text in args.seed):
+                kind = "int" if name == "threshold_multipliers" else "string"
+                tables[name] = landing.read_seed(spark, path, f"key {kind}, value double, version string")
+            w = Warehouse(spark, config.warehouse, now, **tables)
             found = {"built": w.build(args.target, args.models or None, args.full_refresh, args.threads)}
     except Exception:
         log.exception("%s failed", args.command)

@@ -25,7 +25,7 @@ def title_words(name: Column | str) -> Column:
     Unlike ``initcap``, which starts words only after blanks, any other sign starts one.
     """
     parts = F.split(F.lower(_col(name)), r"(?<=[^\p{L}\p{N}])")
-    words = F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000)))
+    words = F.transform(parts, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
     return F.array_join(words, "")
 
 

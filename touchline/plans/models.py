@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.columns import iso_time, letter_of, pair_key, slugify, title_words
 from touchline.operators.collect import as_json, ordered_list, payload
+from touchline.operators.search import trigrams
 from touchline.operators.sequences import islands, latest_per, next_pointers, ordered, recent_values, running_stats, tile
 from touchline.operators.shapes import EVENTS, fan_out_events, fan_out_scopes, unpivot_sides
 from touchline.operators.upsert import newer_than, numbered, replace_keys
@@ -22,10 +23,12 @@ from touchline.sources.landing import publish, published
 
 #: Statuses that take part in the analysis.
 STATUSES = ["FT", "1H", "HT", "2H", "LIVE", "NS"]
-#: Seeds of the relevance score.
-CATEGORY_WEIGHTS = {"result": 1.00, "special": 0.90, "goal": 0.70, "defense": 0.65}
-THRESHOLD_MULTIPLIERS = {1: 1.00, 2: 1.25}
-COMPOSITION_MULTIPLIERS = {"single": 1.00, "compound": 1.35}
+#: Seeds of the relevance score, for a warehouse that isn't given others.
+SEEDS = {
+    "category_weights": {"result": 1.00, "special": 0.90, "goal": 0.70, "defense": 0.65},
+    "threshold_multipliers": {1: 1.00, 2: 1.25},
+    "composition_multipliers": {"single": 1.00, "compound": 1.35},
+}
 #: Events whose streak hides that of a weaker event of equal length.
 STRONGER = {
     "win": ["unbeaten"],
@@ -61,20 +64,25 @@ class Model:
     kind: str
     key: tuple[str, ...] = ()
     since: tuple[str, str] | None = None
+    index: tuple[str, ...] = ()
+    trigrams: tuple[str, ...] = ()
 
 
 _MODELS: dict[str, Model] = {}
 
 
-def model(kind: str, key: tuple[str, ...] = (), since: tuple[str, str] | None = None):
+def model(kind: str, **how):
     """Register a function of a warehouse as a model of ``kind`` view, table or incremental.
 
-    ``key`` tells the rows of an incremental model apart, and ``since``, a source and its column,
-    restricts a further run to that source's rows after the largest value the model already has.
+    ``key`` tells the rows of an incremental model apart, and ``since``, a source or model and its
+    column, restricts a further run to its rows after the largest value the model already has.
+    ``index`` are columns by which the table is looked up: it is written in ranges and sorted by
+    them, so that a filter on the first reads few files and row groups. ``trigrams`` are keys and a
+    text column whose trigrams are written as a table of their own, sorted by trigram.
     """
 
     def add(f: Callable) -> Callable:
-        _MODELS[f.__name__] = Model(f, kind, key, since)
+        _MODELS[f.__name__] = Model(f, kind, **how)
         return f
 
     return add
@@ -121,6 +129,15 @@ class Warehouse:
             self._built[name] = self._put(name) if name in self._given else _MODELS[name].build(self)
         return self._built[name]
 
+    def seed(self, name: str, key: str, value: str) -> DataFrame:
+        """A small table of a key and a number: the first two columns of what was given (``landing.read_seed``), or the fixed values."""
+        if name in self._given:
+            table = self._put(name)
+            return table.select(F.col(table.columns[0]).alias(key), F.col(table.columns[1]).cast("double").alias(value))
+        rows = SEEDS[name]
+        kind = "int" if all(isinstance(k, int) for k in rows) else "string"
+        return F.broadcast(self.spark.createDataFrame(list(rows.items()), f"{key} {kind}, {value} double"))
+
     def written(self, name: str) -> DataFrame:
         """``ref``, as a table: one that ``build`` wrote, or one written now, once, for what reads it several times."""
         if name not in self._tables:
@@ -166,6 +183,11 @@ class Warehouse:
             plans = {n: self._plan(target, n, full_refresh) for n in mine}
             with ThreadPoolExecutor(max(1, threads)) as pool:
                 paths = dict(pool.map(lambda n: (n, publish(plans[n], target, n)), [n for n in mine if plans[n] is not None]))
+            for n in paths:
+                if _MODELS[n].trigrams:
+                    *keys, text = _MODELS[n].trigrams
+                    found = trigrams(self.spark.read.parquet(paths[n]), keys, text)
+                    publish(found.repartitionByRange("trigram").sortWithinPartitions("trigram", *keys), target, f"{n}_trigrams")
             for n, path in paths.items():
                 self._built[n] = self.spark.read.parquet(path)
                 self._tables.add(n)
@@ -177,7 +199,8 @@ class Warehouse:
         if kind == "view":
             return None
         held = published(self.spark, target, name) if kind == "incremental" and not full_refresh else None
-        return self.ref(name) if held is None else self.next_run(name, held)
+        df, by = self.ref(name) if held is None else self.next_run(name, held), _MODELS[name].index
+        return df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
 
     @staticmethod
     def used_by(name: str) -> set[str]:
@@ -200,7 +223,7 @@ class Warehouse:
         m, at = _MODELS[name], self
         if m.since:
             source, column = m.since
-            fresh = newer_than(self.source(source), held, column)
+            fresh = newer_than(self.ref(source) if source in _MODELS else self.source(source), held, column)
             at = Warehouse(self.spark, self.root, self.as_of, **self._given | {source: fresh})
         return replace_keys(held, at.ref(name), list(m.key))
 
@@ -423,7 +446,7 @@ def fact_team_streaks_latest(w: Warehouse) -> DataFrame:
     )
 
 
-@model("table")
+@model("table", index=("team_id", "event_name", "context_scope", "fixture_id", "current_streak_length"))
 def fact_team_streak_suppression(w: Warehouse) -> DataFrame:
     """Flags a streak if a stronger one of the same team, scope, fixture and length runs.
 
@@ -442,19 +465,14 @@ def fact_team_streak_suppression(w: Warehouse) -> DataFrame:
     ).drop("h", "next_is_home", "min_required_length", "updated_at", "context_checker")
 
 
-def _seed(spark: SparkSession, values: dict, key: str, value: str) -> DataFrame:
-    kind = "int" if all(isinstance(k, int) for k in values) else "string"
-    return spark.createDataFrame(list(values.items()), f"{key} {kind}, {value} double")
-
-
 @model("table")
 def fact_team_streak_relevance_score(w: Warehouse) -> DataFrame:
     """weight * log2(length + 1) * multipliers; null for a type without a weight."""
     rows = w.ref("fact_team_streak_suppression").filter(~F.col("is_suppressed") & F.col("is_active"))
     weighted = (
-        rows.join(F.broadcast(_seed(w.spark, CATEGORY_WEIGHTS, "streak_type", "weight")), "streak_type", "left")
-        .join(F.broadcast(_seed(w.spark, THRESHOLD_MULTIPLIERS, "threshold", "tm")), "threshold", "left")
-        .join(F.broadcast(_seed(w.spark, COMPOSITION_MULTIPLIERS, "composition", "cm")), "composition", "left")
+        rows.join(w.seed("category_weights", "streak_type", "weight"), "streak_type", "left")
+        .join(w.seed("threshold_multipliers", "threshold", "tm"), "threshold", "left")
+        .join(w.seed("composition_multipliers", "composition", "cm"), "composition", "left")
     )
     score = F.col("weight") * F.log(2.0, F.col("current_streak_length") + 1) * F.coalesce("tm", F.lit(1.0)) * F.coalesce("cm", F.lit(1.0))
     return weighted.withColumn("relevance_score", score).drop("weight", "tm", "cm", "event_flag", "is_active", "is_suppressed", "suppression_reason")
@@ -577,7 +595,7 @@ def int_tier_sensitive_events(w: Warehouse) -> DataFrame:
     )
 
 
-@model("incremental", key=("team_fixture_key",))
+@model("incremental", key=("team_fixture_key",), since=("fact_team_fixtures", "updated_at"))
 def fact_head_to_head(w: Warehouse) -> DataFrame:
     columns = ["league_season_id", "league_name", "season", "fixture_id", "team_id", "team_name", "opponent_id", "opponent_name", "kickoff_utc"]
     columns += ["goals_for", "goals_against", "halftime_result", "fulltime_result", "is_home", "is_current", "is_played", "updated_at", "team_pair_key"]
@@ -837,7 +855,7 @@ def mart_teams_fixture_streaks(w: Warehouse) -> DataFrame:
     return mine.join(other, ["next_fixture_id", "opponent_id"])
 
 
-@model("table")
+@model("table", trigrams=("entity_type", "entity_id", "name_lc"))
 def mart_dim_search(w: Warehouse) -> DataFrame:
     return w.ref("int_dim_search")
 

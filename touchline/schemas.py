@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -84,6 +85,25 @@ def require_columns(df: DataFrame, table: str) -> DataFrame:
     return df
 
 
+def require_keys(df: DataFrame, table: str) -> DataFrame:
+    """``df`` unchanged, or an error naming the keys of ``table`` that are null or repeated in it.
+
+    One pass counts the nulls of all required columns, and one for each key the values that repeat.
+    """
+    required = [f.name for f in schema(table) if not f.nullable]
+    wrong = []
+    if required:
+        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required]).first()
+        wrong += [f"{c} is null in {nulls[c]} rows" for c in required if nulls[c]]
+    for key in UNIQUE.get(table, []):
+        known = df.filter(" and ".join(f"`{k}` is not null" for k in key))
+        repeated = known.groupBy(*key).count().filter("count > 1").count()
+        wrong += [f"({', '.join(key)}) repeats for {repeated} values"] if repeated else []
+    if wrong:
+        raise ValueError(f"{table}: {'; '.join(wrong)}")
+    return df
+
+
 def create_tables(spark: SparkSession, database: str) -> None:
     """Create the database and all tables that don't exist yet, as Parquet tables."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
