@@ -250,7 +250,7 @@ def test_sources_and_contracts(spark, tmp_path):
         require_keys(loose, "dim_teams")
         raise AssertionError
     except ValueError as e:
-        assert "team_name is null in 1 rows" in str(e) and "(api_team_id) repeats for 1 values" in str(e) and "(team_id)" not in str(e)
+        assert "(team_name) is null in 1 rows" in str(e) and "(api_team_id) repeats for 1 values" in str(e) and "(team_id)" not in str(e)
     assert freshness(landing.current(spark, str(tmp_path / "none"), "raw_fixtures"), "updated_at", F.current_timestamp()).first().state == "error"
 
 

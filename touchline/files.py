@@ -68,3 +68,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     how[0] = replace.OVERWRITE
     files = context._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri() if new.toUri().getScheme() else system.getUri(), context._jsc.hadoopConfiguration())
     files.rename(system.makeQualified(new), system.makeQualified(context._jvm.org.apache.hadoop.fs.Path(path)), how)
+
+
+def arrow_system(address: str):
+    """(pyarrow file system, path) of an address, for tasks, which have no JVM of their own to ask."""
+    import pyarrow.fs as pafs
+
+    address = address[5:] if address.startswith("file:/") and not address.startswith("file://") else address
+    return (pafs.LocalFileSystem(), address) if address.startswith("/") else pafs.FileSystem.from_uri(address)

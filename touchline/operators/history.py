@@ -139,8 +139,7 @@ def _runs_of(root: str, bucket: int, columns: list[str]) -> list[Iterator[pa.Rec
     """The runs' files of one bucket below ``root``, found by the task that merges them."""
     import pyarrow.fs as pafs
 
-    root = root[5:] if root.startswith("file:/") and not root.startswith("file://") else root
-    system, base = (pafs.LocalFileSystem(), root) if root.startswith("/") else pafs.FileSystem.from_uri(root)
+    system, base = files.arrow_system(root)
     runs = [f.path for f in system.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.base_name.startswith("__tl_run=")]
     found = []
     for run in sorted(runs):

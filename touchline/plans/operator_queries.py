@@ -16,6 +16,7 @@ from touchline.plans.model_sql import chain
 from touchline.plans.model_queries import AS_OF, warehouse
 from touchline.plans.models import Warehouse, mart_fixture_page_context, mart_team_page_context
 from touchline.plans.pipelines import earliest_missing, pending_seasons, stale_fixtures
+from touchline.schemas import FIXTURE_PAYLOAD
 from touchline.session import new_shared_path, read_table
 
 #: Deliveries written before this are the warehouse, later ones the batch that arrives.
@@ -186,11 +187,9 @@ def q_freshness(spark, root):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
-def o_flatten_fixtures(spark, root):
-    """Fixtures as the service nests them, written to JSON, parsed and made flat again."""
-    from touchline.schemas import FIXTURE_PAYLOAD
-
-    rows = warehouse(spark, root).ref("stg_raw_fixtures")
+def nested_fixture(with_parts=None):
+    """A fixture's row as the service nests it; ``with_parts`` gives conditions by part, which is null where they fail."""
+    parts = with_parts or {}
 
     def pair(a: str, b: str, names=("home", "away")):
         return F.struct(F.col(a).alias(names[0]), F.col(b).alias(names[1]))
@@ -198,21 +197,34 @@ def o_flatten_fixtures(spark, root):
     def team(side: str):
         return F.struct(F.col(f"{side}_team_id").alias("id"), F.col(f"{side}_team_name").alias("name"))
 
+    def part(name: str, value):
+        return (F.when(parts[name], value) if name in parts else value).alias(name)
+
     when = F.date_format("kickoff_utc", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
-    nested = rows.select(
-        F.to_json(
-            F.struct(
-                F.struct(F.col("api_fixture_id").alias("id"), when.alias("date"), F.struct(F.col("fixture_status").alias("short")).alias("status")).alias("fixture"),
-                F.struct(F.col("api_league_id").alias("id"), "season").alias("league"),
-                F.struct(team("home").alias("home"), team("away").alias("away")).alias("teams"),
-                F.struct(
-                    pair("home_team_halftime_goal", "away_team_halftime_goal").alias("halftime"),
-                    pair("home_team_fulltime_goal", "away_team_fulltime_goal").alias("fulltime"),
-                ).alias("score"),
-            )
-        ).alias("body")
+    return F.struct(
+        part("fixture", F.struct(F.col("api_fixture_id").alias("id"), when.alias("date"), F.struct(F.col("fixture_status").alias("short")).alias("status"))),
+        part("league", F.struct(F.col("api_league_id").alias("id"), "season")),
+        part("teams", F.struct(team("home").alias("home"), team("away").alias("away"))),
+        part("score", F.struct(pair("home_team_halftime_goal", "away_team_halftime_goal").alias("halftime"), pair("home_team_fulltime_goal", "away_team_fulltime_goal").alias("fulltime"))),
     )
-    return flatten_fixtures(nested.select(F.from_json("body", FIXTURE_PAYLOAD).alias("p")).select("p.*"))[0]
+
+
+def parsed(bodies: DataFrame) -> DataFrame:
+    return bodies.select(F.from_json("body", FIXTURE_PAYLOAD).alias("p")).select("p.*")
+
+
+def o_flatten_fixtures(spark, root):
+    """Fixtures as the service nests them, written to JSON, parsed and made flat again."""
+    rows = warehouse(spark, root).ref("stg_raw_fixtures")
+    return flatten_fixtures(parsed(rows.select(F.to_json(nested_fixture()).alias("body"))))[0]
+
+
+def o_rejected_payloads(spark, root):
+    """Payloads without teams where a team is unknown, and without score where there are no goals: why each is rejected."""
+    rows = warehouse(spark, root).ref("stg_raw_fixtures")
+    known = {"teams": F.col("home_team_id").isNotNull() & F.col("away_team_id").isNotNull(), "score": F.col("home_team_fulltime_goal").isNotNull()}
+    rejected = flatten_fixtures(parsed(rows.select(F.to_json(nested_fixture(known)).alias("body"))))[1]
+    return rejected.select(F.col("fixture.id").alias("api_fixture_id"), "reason")
 
 
 def o_flatten_standings(spark, root):
@@ -326,6 +338,7 @@ _RUNS = [
     q_future_finished,
     q_freshness,
     o_flatten_fixtures,
+    o_rejected_payloads,
     o_flatten_standings,
     o_props_parse,
     o_event_islands,
@@ -426,6 +439,8 @@ CASE WHEN h.league_season_id IS NOT NULL THEN {_NOW_SQL} ELSE s.fixtures_bootstr
 home_team_halftime_goal, away_team_halftime_goal, home_team_fulltime_goal, away_team_fulltime_goal,
 {_result('home_team_fulltime_goal', 'away_team_fulltime_goal')} AS home_fulltime_result, {_result('away_team_fulltime_goal', 'home_team_fulltime_goal')} AS away_fulltime_result,
 {_result('home_team_halftime_goal', 'away_team_halftime_goal')} AS home_halftime_result, {_result('away_team_halftime_goal', 'home_team_halftime_goal')} AS away_halftime_result FROM stg_raw_fixtures"""),
+    "o_rejected_payloads": chain("""SELECT api_fixture_id, 'missing ' || concat_ws(',', CASE WHEN home_team_id IS NULL OR away_team_id IS NULL THEN 'teams' END, CASE WHEN home_team_fulltime_goal IS NULL THEN 'score' END) AS reason
+FROM stg_raw_fixtures WHERE home_team_id IS NULL OR away_team_id IS NULL OR home_team_fulltime_goal IS NULL"""),
     "o_flatten_standings": chain("""SELECT league_season_id, api_team_id, team_name, rank, points, games_played, wins, draws, losses, goals_for, goals_against, goal_diff, form FROM stg_raw_league_standings"""),
     "o_props_parse": """SELECT event_type, count(*) AS n, CAST(sum(CAST(props->>'k' AS INTEGER)) AS BIGINT) AS k_sum, max(CAST(props->>'k' AS INTEGER)) AS k_max FROM events GROUP BY event_type""",
     "o_event_islands": """WITH f AS (SELECT event_id, user_id, ts, CAST(event_type = 'purchase' AS INTEGER) AS flag FROM events),

@@ -114,19 +114,21 @@ def full_load(spark: SparkSession, config: Config, ds: str, now: datetime) -> di
     done = [r["league_season_id"] for r in work if (r["api_league_id"], r["season_year"]) in got]
     lost = [r for r in work if r["league_season_id"] not in set(done)]
     errors = dict(map(tuple, failed.collect())) if lost else {}
-    _dead_letters(spark, config, lost, errors, ds, now)
+    skipped = _dead_letters(spark, config, lost, errors, ds, now)
     count = load(spark, config, landed.drop("league", "season_year", "ds"), fixtures, ["api_league_id", "season"], now) if got else 0
     marked = spark.createDataFrame([(k,) for k in done], "league_season_id bigint")
     landing.publish(upsert.mark_done(seasons, marked, ["league_season_id"], "fixtures_bootstrap_done", "fixtures_bootstrap_at", _at(now)), config.warehouse, "dim_league_seasons")
     # skipped are units that answered with nothing
-    return {"pending": len(work), "loaded": len(done), "failed": len(lost), "skipped": len(lost) - len(errors), "extracted": sum(got.values()), "fixtures": count}
+    return {"pending": len(work), "loaded": len(done), "failed": len(lost), "skipped": skipped, "extracted": sum(got.values()), "fixtures": count}
 
 
-def _dead_letters(spark: SparkSession, config: Config, lost: list, errors: dict[str, str], ds: str, now: datetime) -> None:
+def _dead_letters(spark: SparkSession, config: Config, lost: list, errors: dict[str, str], ds: str, now: datetime) -> int:
+    """Put lost units into the queue; the number of those whose request didn't fail."""
+    asked = [json.dumps({"league": r["api_league_id"], "season": r["season_year"]}, sort_keys=True) for r in lost]
     if lost:
-        asked = lambda r: json.dumps({"league": r["api_league_id"], "season": r["season_year"]}, sort_keys=True)
-        rows = [(r["api_league_id"], r["season_year"], r["league_name"], ds, errors.get(asked(r), "no fixtures"), "", now.isoformat()) for r in lost]
+        rows = [(r["api_league_id"], r["season_year"], r["league_name"], ds, errors.get(a, "no fixtures"), "", now.isoformat()) for r, a in zip(lost, asked)]
         landing.put_dead_letters(spark.createDataFrame(rows, landing.DLQ_ENTRY), config.root)
+    return sum(a not in errors for a in asked)
 
 
 def load(spark: SparkSession, config: Config, landed: DataFrame, fixtures: DataFrame, partition: list[str], now: datetime) -> int:

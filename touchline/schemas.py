@@ -85,22 +85,28 @@ def require_columns(df: DataFrame, table: str) -> DataFrame:
     return df
 
 
-def require_keys(df: DataFrame, table: str) -> DataFrame:
-    """``df`` unchanged, or an error naming the keys of ``table`` that are null or repeated in it.
+def key_violations(df: DataFrame, table: str) -> DataFrame:
+    """One row per rule of ``table``: columns string, rule (required or unique), violations long (null rows, or values that repeat).
 
     One pass counts the nulls of all required columns, and one for each key the values that repeat.
     """
     required = [f.name for f in schema(table) if not f.nullable]
-    wrong = []
-    if required:
-        nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required]).first()
-        wrong += [f"{c} is null in {nulls[c]} rows" for c in required if nulls[c]]
+    counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in required])
+    rows = F.array(*[F.struct(F.lit(c).alias("columns"), F.lit("required").alias("rule"), F.col(c).alias("violations")) for c in required])
+    found = counted.select(F.inline(rows))
     for key in UNIQUE.get(table, []):
         known = df.filter(" and ".join(f"`{k}` is not null" for k in key))
-        repeated = known.groupBy(*key).count().filter("count > 1").count()
-        wrong += [f"({', '.join(key)}) repeats for {repeated} values"] if repeated else []
+        repeated = known.groupBy(*key).count().filter("count > 1").agg(F.count(F.lit(1)).alias("violations"))
+        found = found.unionByName(repeated.select(F.lit(", ".join(key)).alias("columns"), F.lit("unique").alias("rule"), "violations"))
+    return found
+
+
+def require_keys(df: DataFrame, table: str) -> DataFrame:
+    """``df`` unchanged, or an error naming the keys of ``table`` that are null or repeated in it."""
+    wrong = key_violations(df, table).filter("violations > 0").collect()
     if wrong:
-        raise ValueError(f"{table}: {'; '.join(wrong)}")
+        said = [f"({r['columns']}) " + (f"repeats for {r['violations']} values" if r["rule"] == "unique" else f"is null in {r['violations']} rows") for r in wrong]
+        raise ValueError(f"{table}: {'; '.join(said)}")
     return df
 
 

@@ -122,22 +122,46 @@ def http_fetch(base: str, headers: dict[str, str]) -> Callable:
     return fetch
 
 
+def answer_name(params: dict) -> str:
+    """The name of a recorded answer: its parameters in order."""
+    return "_".join(f"{k}-{params[k]}" for k in sorted(params))
+
+
 def folder_fetch(root: str) -> Callable:
     """An offline transport: the answer to a request is a JSON file named by its sorted parameters."""
 
     def fetch(endpoint: str, params: dict, timeout: int):
-        import os
+        from touchline.files import arrow_system
 
-        name = "_".join(f"{k}-{params[k]}" for k in sorted(params))
-        path = f"{root}/{endpoint.strip('/')}/{name}.json"
-        if not os.path.exists(path):
+        system, base = arrow_system(root)
+        try:
+            with system.open_input_stream(f"{base}/{endpoint.strip('/')}/{answer_name(params)}.json") as f:
+                return 200, {}, f.read().decode()
+        except FileNotFoundError:
             return 404, {}, ""
-        with open(path) as f:
-            return 200, {}, f.read()
 
     return fetch
 
 
+def record_answers(answers: DataFrame, folder: str) -> int:
+    """Write answers (endpoint, name, body strings) as files for ``folder_fetch``, each by the task that holds it; their number."""
+
+    def write(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from touchline.files import arrow_system
+
+        system, base = arrow_system(folder)
+        for batch in batches:
+            for endpoint, name, body in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                system.create_dir(f"{base}/{endpoint}", recursive=True)
+                with system.open_output_stream(f"{base}/{endpoint}/{name}.json") as f:
+                    f.write(body.encode())
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return sum(r.n for r in answers.select("endpoint", "name", "body").mapInArrow(write, "n bigint").collect())
+
+
 def batches_of_ids(ids: list) -> list[dict]:
     """Requests for ids, twenty each, joined by hyphens."""
     return [{"ids": "-".join(map(str, ids[i : i + IDS_PER_REQUEST]))} for i in range(0, len(ids), IDS_PER_REQUEST)]

@@ -47,11 +47,13 @@ def read_seed(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def read_config(spark: SparkSession, path: str) -> DataFrame:
-    """The tree of countries and leagues of a YAML file on the driver."""
+    """The tree of countries and leagues of a YAML file, a small one."""
     import yaml
 
-    with open(path) as f:
-        tree = (yaml.safe_load(f) or {}).get("countries") or []
+    text = files.read_text(spark, path)
+    if text is None:
+        raise FileNotFoundError(path)
+    tree = (yaml.safe_load(text) or {}).get("countries") or []
     rows = [(c.get("country"), [(lg.get("name"),) for lg in c.get("leagues") or []]) for c in tree]
     return spark.createDataFrame(rows, T.StructType.fromDDL(CONFIG_TREE))
 
@@ -118,8 +120,9 @@ def write_partitions(df: DataFrame, path: str, by: list[str]) -> None:
 
 
 def bulk_csv(df: DataFrame, path: str) -> None:
-    """Delimited text with nulls as empty fields, for bulk loaders."""
-    df.write.mode("overwrite").option("nullValue", "").option("emptyValue", '""').csv(path)
+    """Delimited text with nulls as empty fields, for bulk loaders; blanks at the ends of a text stay."""
+    exact = {"nullValue": "", "emptyValue": '""', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**exact).csv(path)
 
 
 def publish(df: DataFrame, root: str, name: str, keep: int = 2) -> str:
