@@ -103,6 +103,38 @@ def p6_report(spark: SparkSession, root: str) -> DataFrame:
     return packing_report(_packed(spark, root))
 
 
+def p6_balance(spark: SparkSession, root: str) -> DataFrame:
+    """Documents packed by their characters, of which SQL knows the numbers: what went in, and what may not come out.
+
+    For each profile the documents, pieces and characters packed, the containers that exceed their
+    capacity, and the documents divided although they fit.
+    """
+    limits = [(r["profile"], r["capacity_tokens"]) for r in read_table(spark, root, "pack_limits").select("profile", "capacity_tokens").collect()]
+    sizes = read_table(spark, root, "documents").select("doc_id", "n_chars")
+    packed = materialise(pack_documents(sizes, "doc_id", "n_chars", limits, between=0), "packed")
+    keys = ["profile", "capacity"]
+    held = packed.groupBy(*keys, "container_id").agg(F.sum("n_tokens").alias("n")).groupBy(*keys).agg(F.count_if(F.col("n") > F.col("capacity")).alias("n_over"))
+    docs = packed.groupBy(*keys, "doc_id").agg(F.count(F.lit(1)).alias("p"), F.sum("n_tokens").alias("n"))
+    totals = docs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_docs"),
+        F.sum("p").alias("n_pieces"),
+        F.sum("n").alias("n_size"),
+        F.count_if((F.col("p") > 1) & (F.col("n") <= F.col("capacity"))).alias("n_divided_that_fit"),
+    )
+    return totals.join(held, keys)
+
+
+def p7_rates(spark: SparkSession, root: str) -> DataFrame:
+    """Rates of a mixture by characters, of which SQL knows the numbers, and the documents used neither floor(rate) times nor once more."""
+    sizes = read_table(spark, root, "documents").select("doc_id", "source", F.col("n_chars").alias("n_tokens"))
+    rates = mixing_rates(sizes, read_table(spark, root, "mix_targets"))
+    least = F.floor("rate")
+    uses = mix(sizes, rates, "doc_id").groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("c")).join(rates.select("source", "rate"), "source")
+    judged = uses.groupBy("source").agg(F.count(F.lit(1)).alias("used"), F.count_if((F.col("c") < least) | (F.col("c") > least + 1)).alias("bad"))
+    unused = F.when(least >= 1, F.col("n_docs") - F.coalesce("used", F.lit(0))).otherwise(0)
+    return rates.join(judged, "source", "left").withColumn("n_outside", F.coalesce("bad", F.lit(0)) + unused).drop("used", "bad")
+
+
 def p7_mix(spark: SparkSession, root: str) -> DataFrame:
     sizes = _sizes(spark, root)
     return mix(sizes, mixing_rates(sizes, read_table(spark, root, "mix_targets")), "doc_id")
@@ -144,9 +176,11 @@ QUERIES = {
     "p6_containers": p6_containers,
     "p6_texts": p6_texts,
     "p6_report": p6_report,
+    "p6_balance": p6_balance,
     "p7_mix": p7_mix,
     "p7_report": p7_report,
     "p7_capped": p7_capped,
+    "p7_rates": p7_rates,
     "p8_found": p8_found,
     "p8_links": p8_links,
     "p8_classes": p8_classes,
@@ -217,6 +251,13 @@ texts AS (SELECT form, text, min(doc_id) AS rep FROM forms GROUP BY form, text),
 classes AS (SELECT form, min(rep) AS head, count(*) AS n FROM texts GROUP BY form)"""
 
 ORACLES = {
+    "p6_balance": """SELECT profile, capacity_tokens AS capacity, count(*) AS n_docs, CAST(sum(greatest(1, ceil(n_chars / capacity_tokens))) AS BIGINT) AS n_pieces,
+CAST(sum(n_chars) AS BIGINT) AS n_size, CAST(0 AS BIGINT) AS n_divided_that_fit, CAST(0 AS BIGINT) AS n_over FROM documents, pack_limits GROUP BY profile, capacity_tokens""",
+    "p7_rates": """WITH have AS (SELECT source, CAST(sum(n_chars) AS BIGINT) AS n, count(*) AS d FROM documents GROUP BY source),
+known AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(h.n, 0) AS tokens_available, coalesce(h.d, 0) AS n_docs FROM mix_targets t LEFT JOIN have h ON h.source = t.source),
+reach AS (SELECT min(tokens_available * max_repeats / target_share) AS r FROM known WHERE tokens_available > 0 AND target_share > 0 AND max_repeats > 0),
+rated AS (SELECT *, CASE WHEN tokens_available > 0 AND target_share > 0 AND max_repeats > 0 THEN least(r * target_share / tokens_available, max_repeats) ELSE 0 END AS x FROM known, reach)
+SELECT source, target_share, max_repeats, tokens_available, n_docs, CASE WHEN abs(x - round(x)) < 1e-9 THEN round(x) ELSE x END AS rate, CAST(0 AS BIGINT) AS n_outside FROM rated""",
     "p8_found": f"WITH {_FORMS} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM forms a JOIN forms b ON a.form = b.form WHERE a.text <> b.text AND a.doc_id < b.doc_id",
     "p8_links": f"WITH {_FORMS} SELECT head AS doc_id_a, rep AS doc_id_b FROM texts JOIN classes USING (form) WHERE rep <> head",
     "p8_classes": f"""WITH {_FORMS} SELECT f.doc_id, c.head AS class_id, t.rep AS copy_of, c.n - 1 AS n_links
