@@ -1,9 +1,10 @@
 from datetime import datetime, timedelta
 
 from touchline.operators.collect import as_json, ordered_list, payload
-from touchline.operators.sequences import islands, latest_per, next_pointers, recent_values, running_stats, tile, tiers
+from touchline.operators.sequences import islands, latest_per, next_pointers, recent_values, running_stats, tile
 from touchline.operators.shapes import EVENTS, fan_out_events, fan_out_scopes, flatten_fixtures, flatten_metadata, unpivot_sides
 from touchline.schemas import CONFIG_TREE, FIXTURE_PAYLOAD, LEAGUE_PAYLOAD
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 T0 = datetime(2024, 1, 1)
@@ -43,10 +44,10 @@ def test_running_stats_round_half_up(spark):
 
 def test_tiers_split_evenly(spark):
     df = spark.createDataFrame([(1, i) for i in range(8)], "k int, v int")
-    assert [r.t for r in tiers(df, ["k"], ["v"], 3, "t").orderBy("v").collect()] == [1, 1, 1, 2, 2, 2, 3, 3]
+    assert [r.t for r in df.withColumn("t", tile(F.col("v"), F.lit(8), 3)).orderBy("v").collect()] == [1, 1, 1, 2, 2, 2, 3, 3]
     for n in range(1, 12):
         few = df.unionByName(df.selectExpr("k", "v + 8 AS v")).filter(F.col("v") < n)
-        rows = tiers(few, ["k"], ["v"], 3, "t").withColumn("u", tile(F.col("v"), F.lit(n), 3)).collect()
+        rows = few.withColumn("t", F.ntile(3).over(Window.partitionBy("k").orderBy("v"))).withColumn("u", tile(F.col("v"), F.lit(n), 3)).collect()
         assert all(r.t == r.u for r in rows) and len(rows) == n
 
 

@@ -93,11 +93,6 @@ def recent_values(df: DataFrame, keys: list[str], rank: str, value: str, n: int,
     return df.withColumn(out, array_text(F.transform(F.sort_array(listed), lambda x: x.v)))
 
 
-def tiers(df: DataFrame, keys: list[str], order: list[str], n: int, out: str) -> DataFrame:
-    """Equal-sized tiers 1..n of each key in ``order``, which should be unique for stable tiers."""
-    return df.withColumn(out, F.ntile(n).over(ordered(keys, order)))
-
-
 def tile(row: Column, rows: Column, n: int) -> Column:
     """The tier 1..n of row number ``row``, from 0, among ``rows``: the first tiers are the larger by one."""
     size, larger = F.floor(rows / n), F.pmod(rows, F.lit(n))

@@ -32,7 +32,8 @@ def slice_bounds(df: DataFrame, key: str, order: str, min_rows: int = MIN_HOT_RO
     """((key, bounds) of each heavy key, largest size of an uncut key).
 
     Bounds are approximate quantiles of ``order``, a long, that cut a heavy key into slices of about
-    one fair partition each. They number at most about twice the partitions in total.
+    one fair partition each; a value that fills a slice by itself has one of its own. They number at
+    most about four times the partitions in total.
     """
     fair = max(min_rows, ceil(df.count() / shuffle_parts(df.sparkSession)))
     by_depth: dict[int, list] = {}
@@ -43,10 +44,15 @@ def slice_bounds(df: DataFrame, key: str, order: str, min_rows: int = MIN_HOT_RO
     for depth, keys in by_depth.items():
         cuts = [i / 2**depth for i in range(1, 2**depth)]
         found = df.filter(F.col(key).isin(keys)).groupBy(key).agg(F.percentile_approx(order, cuts, 1000).alias("b"))
-        bounds += [(r[0], sorted(set(r[1] or []))) for r in found.collect()]
+        bounds += [(r[0], _apart(r[1] or [])) for r in found.collect()]
     return bounds, fair
 
 
+def _apart(quantiles: list[int]) -> list[int]:
+    """Distinct quantiles, and before each that comes several times one more, which cuts it off."""
+    return sorted({*quantiles, *(a - 1 for a, b in zip(quantiles, quantiles[1:]) if a == b)})
+
+
 def cut_by(df: DataFrame, key: str, order: str, out: str, bounds: list[tuple]) -> DataFrame:
     """Add an int column ``out``: 0 for keys without bounds, else 1..s, the slice in which ``order`` lies."""
     if not bounds:
@@ -67,7 +73,7 @@ def time_slices(
     ``out`` is 0 for ordinary keys and 1..s in order of ``order``, a long, for heavy ones; rows with
     equal ``order`` share a slice, and slices keep the order, so that what slices yield can be
     joined at the cuts. How exact the quantiles are decides only balance, never the result. The
-    bounds number at most about twice the partitions in total, so they may be broadcast.
+    bounds number at most about four times the partitions in total, so they may be broadcast.
 
     Sizes and quantiles may come from ``sizes_of``, cheaper rows that include those of ``df``.
     """
