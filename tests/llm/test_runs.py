@@ -4,6 +4,7 @@ from itertools import groupby
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.llm.runs import collapse_runs, to_symbols
 
@@ -66,6 +67,19 @@ def test_equal_times_ties_and_empty(spark):
     assert collapse_runs(spark.createDataFrame([], DDL), "e", "at", "id", "event").count() == 0
 
 
+@pytest.mark.parametrize("tie", ["bigint", "string"])
+def test_an_instant_that_most_rows_share(spark, tie):
+    rnd = random.Random(2)
+    rows = [(7, T0 + timedelta(hours=rnd.choice([0, 1, 1, 1, 1, 1, 2])), i, "win" if i % 40 else "draw", "", "") for i in range(900)]
+    rows += [(rnd.choice([1, 2]), T0 + timedelta(hours=i % 9), 1000 + i, "win", "", "") for i in range(60)]
+    df = spark.createDataFrame(rows, DDL)
+    if tie == "string":
+        df = df.withColumn("id", F.lpad(F.col("id").cast("string"), 6, "0"))
+    found = collapse_runs(df, "e", "at", "id", "event", 1, min_hot_rows=60).collect()
+    got = {(r.e, r.event, int(r.first_id), int(r.last_id), r.first_at, r.last_at, r.n_events, r.duration_s) for r in found}
+    assert len(got) == len(found) and got == _brute(rows, 1)
+
+
 def test_many_kinds_of_event_have_symbols_of_their_own():
     n = 60_000
     symbols = to_symbols(pa.array([f"e{i}" for i in range(n)]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from touchline.operators.skew import MIN_HOT_ROWS, time_slices
+from touchline.operators.skew import MIN_HOT_ROWS, cut_by, slice_bounds
 from touchline.session import materialise, shuffle_parts
 
 #: Symbols of one entity that are matched as one string; a longer sequence is matched in pieces.
@@ -67,6 +68,30 @@ def _spans(rows: pa.Table, cut: np.ndarray, single: bool = False) -> tuple[np.nd
     return table[:, 0], table[:, 1], table[:, 2].astype(bool), table[:, 3].astype(bool)
 
 
+def _cut_instants(sliced: DataFrame, sizes: DataFrame, fair: int) -> DataFrame:
+    """Slices that hold one instant of an entity and more than two fair shares, cut again by the tie.
+
+    ``sizes`` has (entity, at, slice). Fewer such slices than partitions can be, and their bounds are
+    as few; where there are none, nothing else is done.
+    """
+    keys = ["__tl_entity", "__tl_slice"]
+    held = sizes.filter("__tl_slice > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__tl_at").alias("a"), F.max("__tl_at").alias("b"))
+    crowded = held.filter((F.col("n") > 2 * fair) & (F.col("a") == F.col("b"))).select(*keys, "n").collect()
+    if not crowded:
+        return sliced
+    spark = sliced.sparkSession
+    pieces = 1 << ceil(log2(max(r["n"] for r in crowded) / fair))
+    kinds = T.StructType([sliced.schema[k] for k in keys])
+    mine = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in crowded], kinds))
+    cuts = F.percentile_approx(F.col("__tl_tie").cast("double"), [i / pieces for i in range(1, pieces)], 1000)
+    found = sliced.join(mine, keys).groupBy(*keys).agg(cuts.alias("b")).collect()
+    table = spark.createDataFrame([(r[0], r[1], sorted(set(r[2] or []))) for r in found], kinds.add("__tl_b", T.ArrayType(T.DoubleType())))
+    below = F.size(F.filter("__tl_b", lambda b: b < F.col("__tl_tie").cast("double")))
+    joined = sliced.join(F.broadcast(table), keys, "left")
+    # slices of the first cut leave room for those of the second between them
+    return joined.withColumn("__tl_slice", (F.col("__tl_slice") * pieces + F.coalesce(F.when(F.col("__tl_b").isNotNull(), below), F.lit(0))).cast("int")).drop("__tl_b")
+
+
 def collapse_runs(
     df: DataFrame,
     entity: str,
@@ -87,7 +112,8 @@ def collapse_runs(
     Each event becomes a code point, an entity's events in order become a string, and a regular
     expression with a back reference finds the repetitions; spans map back to rows and times. The
     strings of many small entities are matched at once. An entity with more rows than a fair share
-    is cut by time into slices for different tasks, and any piece longer than ``chunk`` into
+    is cut by time into slices for different tasks (and an instant that holds more than two shares by
+    the tie, where that is a number), and any piece longer than ``chunk`` into
     several strings; a run across cuts is joined from the first and last runs of the pieces only.
     Sizes of entities may come from ``sizes_of``, cheaper rows with the columns ``entity`` and
     ``at`` that include those of ``df``.
@@ -103,11 +129,14 @@ def collapse_runs(
         F.col(tie).alias("__tl_tie"),
         F.col(event).cast("string").alias("__tl_event"),
     )
-    sizes = None
+    sizes = rows
     if sizes_of is not None:
         micros = F.unix_micros(F.col(at).cast("timestamp"))
         sizes = sizes_of.filter(F.col(entity).isNotNull()).select(F.col(entity).alias("__tl_entity"), micros.alias("__tl_at"))
-    sliced, largest, any_cut = time_slices(rows, "__tl_entity", "__tl_at", "__tl_slice", min_hot_rows, sizes)
+    bounds, largest = slice_bounds(sizes, "__tl_entity", "__tl_at", min_hot_rows)
+    sliced, any_cut = cut_by(rows, "__tl_entity", "__tl_at", "__tl_slice", bounds), bool(bounds)
+    if any_cut and isinstance(rows.schema["__tl_tie"].dataType, T.NumericType):
+        sliced = _cut_instants(sliced, cut_by(sizes, "__tl_entity", "__tl_at", "__tl_slice", bounds), largest)
     any_cut = any_cut or largest >= chunk
     ordered = sliced.withColumn("__tl_seg", F.concat_ws("\u0001", F.col("__tl_entity").cast("string"), F.col("__tl_slice").cast("string")))
     out = T.StructType(
