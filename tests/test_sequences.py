@@ -92,3 +92,28 @@ def test_flatten_metadata(spark):
     leagues = spark.createDataFrame([{"league": {"id": 5, "name": "L"}, "seasons": seasons}], LEAGUE_PAYLOAD)
     rows = flatten_metadata(tree, leagues).collect()
     assert [(r.country, r.api_league_id, r.season, r.season_label) for r in rows] == [("X", 5, 2099, "2099/00")]
+
+
+def test_flag_islands_are_islands_of_each_flag(spark):
+    import random
+
+    from touchline.operators.sequences import flag_islands
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice([1, 2, None]), rnd.randrange(200), i, *[rnd.choice([0, 1, 1, None]) for _ in range(3)], rnd.choice([True, False, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, at int, id int, a int, b int, c int, side boolean")
+    found = flag_islands(df, ["k"], ["at", "id"], [F.col(x) for x in "abc"], ends="side", totals=True)
+    got = {}
+    for r in found.collect():
+        assert [e["__tl_event"] for e in r["__tl_flags"]] == [0, 1, 2]
+        for e in r["__tl_flags"]:
+            got[e["__tl_event"], r.id] = (r["__tl_rn"], e["event_flag"], e["island"], e["streak_length"], e["n_rows"], e["n_flagged"], e["at_end"], e["latest"])
+    assert sum(r["__tl_last"] for r in found.collect()) == 3
+    for i, flag in enumerate("abc"):
+        alone = islands(df, ["k"], ["at", "id"], flag).collect()
+        for r in alone:
+            mine = [x for x in alone if x.k == r.k]
+            end = max((x for x in mine if x.island == r.island), key=lambda x: x.rn)
+            flagged = [x.rn for x in mine if x[flag] == 1]
+            want = (r.rn, r[flag], r.island, r.streak_length, len(mine), sum(x[flag] for x in mine if x[flag] is not None), end.side, r.rn == max(flagged))
+            assert got[i, r.id] == want

@@ -61,21 +61,29 @@ def fan_out_events(df: DataFrame, gf: str, ga: str, ft: str, ht: str) -> DataFra
     each row; what else is known of an event is looked up in constant arrays by its place, which
     keeps the generated code small enough for the JVM to compile. No shuffle.
     """
+    flags = event_flags(gf, ga, ft, ht)
+    fanned = df.select(*df.columns, F.posexplode(F.array(*flags)).alias("__tl_event", "event_flag"))
+    return name_events(fanned, df.columns, ["event_flag"])
+
+
+def event_flags(gf: str, ga: str, ft: str, ht: str) -> list[Column]:
+    """The flag of each event of the catalogue, in its order."""
     names = {"gf": gf, "ga": ga, "ft": ft, "ht": ht}
-    stage = df.withColumns({f"__tl_{k}": F.col(v) for k, v in names.items()})
+    return [F.expr(" ".join(f"`{names[w]}`" if w in names else w for w in condition.split(" "))).cast("int") for _, condition, *_ in EVENTS]
 
-    def flag(condition: str) -> Column:
-        words = [f"__tl_{w}" if w in names else w for w in condition.split(" ")]
-        return F.expr(" ".join(words)).cast("int")
+
+def name_events(df: DataFrame, before: list[str], after: list[str]) -> DataFrame:
+    """Rows with the place ``__tl_event`` of an event, and what is known of it: ``before``, event_name,
+    ``after``, streak_type, polarity, composition, threshold, from constant arrays.
+    """
 
     def known(i: int, kind: str) -> Column:
         return F.get(F.array(*[F.lit(e[i]).cast(kind) for e in EVENTS]), F.col("__tl_event"))
 
-    flags = stage.select(*df.columns, F.posexplode(F.array(*[flag(e[1]) for e in EVENTS])).alias("__tl_event", "event_flag"))
-    return flags.select(
-        *df.columns,
+    return df.select(
+        *before,
         known(0, "string").alias("event_name"),
-        "event_flag",
+        *after,
         known(2, "string").alias("streak_type"),
         known(3, "string").alias("polarity"),
         known(4, "string").alias("composition"),

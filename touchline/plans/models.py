@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from touchline.functions.columns import iso_time, letter_of, pair_key, slugify, title_words
 from touchline.operators.collect import as_json, ordered_list, payload
 from touchline.operators.search import trigrams
-from touchline.operators.sequences import islands, latest_per, next_pointers, ordered, recent_values, running_stats, tile
-from touchline.operators.shapes import EVENTS, fan_out_events, fan_out_scopes, unpivot_sides
+from touchline.operators.sequences import flag_islands, latest_per, next_pointers, ordered, recent_values, running_stats, tile
+from touchline.operators.shapes import EVENTS, event_flags, fan_out_events, fan_out_scopes, name_events, unpivot_sides
 from touchline.operators.upsert import newer_than, numbered, replace_keys
 from touchline.session import materialise, read_table
 from touchline.sources.landing import publish, published
@@ -401,46 +401,61 @@ def fact_team_info(w: Warehouse) -> DataFrame:
     return w.ref("dim_team_standings").drop("api_team_id").join(last.select("team_id", "league_season_id", *pointers), ["team_id", "league_season_id"], "left")
 
 
-@model("view")
-def fact_team_events(w: Warehouse) -> DataFrame:
-    """84 rows per played fixture. Averages of a team and scope are taken before the events fan out."""
+def _scoped_matches(w: Warehouse) -> DataFrame:
+    """Two rows per side of a played fixture, one for each scope, with the averages of its team and scope."""
     scoped = fan_out_scopes(w.ref("fact_team_fixtures").filter("is_played"), "is_home", "context_scope")
     group = Window.partitionBy("team_id", "context_scope")
-    averaged = scoped.withColumns(
+    return scoped.withColumns(
         {"avg_goals_for_context": F.avg("goals_for").over(group), "avg_goals_against_context": F.avg("goals_against").over(group)}
     )
-    events = fan_out_events(averaged, "goals_for", "goals_against", "fulltime_result", "halftime_result")
-    return events.drop("halftime_goals_for", "halftime_goals_against", "halftime_result").withColumn("is_active", F.col("event_flag") == 1)
 
 
 @model("view")
-def fact_team_streaks(w: Warehouse) -> DataFrame:
-    """Runs of every event in the current seasons."""
-    rows = w.ref("fact_team_events").filter("is_current")
+def fact_team_events(w: Warehouse) -> DataFrame:
+    """84 rows per played fixture. Averages of a team and scope are taken before the events fan out."""
+    events = fan_out_events(_scoped_matches(w), "goals_for", "goals_against", "fulltime_result", "halftime_result")
+    return events.drop("halftime_goals_for", "halftime_goals_against", "halftime_result").withColumn("is_active", F.col("event_flag") == 1)
+
+
+def _streak_rows(w: Warehouse, latest: bool) -> DataFrame:
+    """Runs of every event in the current seasons; with ``latest`` only each sequence's last row fans out.
+
+    Islands of all events are found on the matches, before they fan out.
+    """
+    rows = _scoped_matches(w).filter("is_current")
     season = ordered(["team_id", "league_season_id"], _ORDER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     upcoming = rows.withColumns({c: F.last(c).over(season) for c in NEXT.values()})
-    found = islands(upcoming, _SEQUENCE, _ORDER, "event_flag")
-    whole = Window.partitionBy(*_SEQUENCE, "island").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    checked = found.withColumn("context_checker", F.last("next_is_home").over(whole))
+    flags = event_flags("goals_for", "goals_against", "fulltime_result", "halftime_result")
+    found = flag_islands(upcoming, ["team_id", "context_scope"], _ORDER, flags, ends="next_is_home")
+    gone = {"goals_for", "goals_against", "halftime_goals_for", "halftime_goals_against", "fulltime_result", "halftime_result", "season", "is_current", "is_played", "team_pair_key"}
+    kept = [c for c in rows.columns if c not in gone]
+    events = (found.filter("__tl_last") if latest else found).select(*kept, F.inline("__tl_flags"))
     home = F.col("context_checker")
     eligible = (
         F.when(F.col("context_scope") == "home", F.coalesce(home, F.lit(False)))
         .when(F.col("context_scope") == "away", F.coalesce(~home, F.lit(False)))
         .otherwise(True)
     )
-    return checked.withColumns(
+    named = name_events(events.withColumnRenamed("at_end", "context_checker"), kept, ["event_flag", "streak_length", "context_checker"])
+    return named.withColumn("is_active", F.col("event_flag") == 1).withColumns(
         {
             "is_streak_eligible": eligible,
             "current_streak_length": F.when(F.col("is_active"), F.col("streak_length")).otherwise(0),
             "min_required_length": min_length(F.col("event_name")),
         }
-    ).drop("rn", "island", "goals_for", "goals_against", "fulltime_result", "season", "is_current", "is_played", "team_pair_key")
+    )
+
+
+@model("view")
+def fact_team_streaks(w: Warehouse) -> DataFrame:
+    """Runs of every event in the current seasons."""
+    return _streak_rows(w, False)
 
 
 @model("view")
 def fact_team_streaks_latest(w: Warehouse) -> DataFrame:
     """Streaks that still run and are long enough, one row per team, event and scope."""
-    last = latest_per(w.ref("fact_team_streaks"), _SEQUENCE, _ORDER)
+    last = _streak_rows(w, True)
     return last.filter(F.col("is_active") & (F.col("current_streak_length") >= F.col("min_required_length"))).withColumn(
         "streak_id", F.md5(F.concat_ws("::", F.col("team_id").cast("string"), "event_name", "context_scope"))
     )
@@ -606,40 +621,43 @@ def fact_head_to_head(w: Warehouse) -> DataFrame:
     )
 
 
-@model("table")
-def fact_head_to_head_events(w: Warehouse) -> DataFrame:
-    """Events by opponent. Rows meet their pair's task before they fan out 42 times, not after."""
-    kept = ["league_season_id", "league_name", "season", "fixture_id", "team_id", "team_name", "opponent_id", "opponent_name", "kickoff_utc"]
-    kept += ["fulltime_result", "is_home", "is_current", "updated_at", "team_pair_key"]
-    pairs = w.ref("fact_team_fixtures").filter("is_played").select(*kept, "goals_for", "goals_against", "halftime_result").repartition("team_id", "opponent_id")
-    events = fan_out_events(fan_out_scopes(pairs, "is_home", "h2h_context_scope"), "goals_for", "goals_against", "fulltime_result", "halftime_result")
-    return events.select(*kept, "event_name", "event_flag", "streak_type", "polarity", "h2h_context_scope")
+_MET = ["league_season_id", "league_name", "season", "fixture_id", "team_id", "team_name", "opponent_id", "opponent_name", "kickoff_utc"]
+_MET += ["fulltime_result", "is_home", "is_current", "updated_at", "team_pair_key"]
 
 
-_MEETING = ["team_id", "opponent_id", "event_name", "h2h_context_scope"]
+@model("table")
+def fact_head_to_head_events(w: Warehouse) -> DataFrame:
+    """Events by opponent."""
+    scoped = fan_out_scopes(w.ref("fact_team_fixtures").filter("is_played"), "is_home", "h2h_context_scope")
+    events = fan_out_events(scoped, "goals_for", "goals_against", "fulltime_result", "halftime_result")
+    return events.select(*_MET, "event_name", "event_flag", "streak_type", "polarity", "h2h_context_scope")
+
+
+def _meeting_rows(w: Warehouse, latest: bool) -> DataFrame:
+    """Runs of events between two teams, found on the meetings; with ``latest`` only the last row of each event that has it fans out."""
+    scoped = fan_out_scopes(w.ref("fact_team_fixtures").filter("is_played"), "is_home", "h2h_context_scope")
+    flags = event_flags("goals_for", "goals_against", "fulltime_result", "halftime_result")
+    found = flag_islands(scoped, ["team_id", "opponent_id", "h2h_context_scope"], _ORDER, flags, totals=True)
+    listed = F.filter("__tl_flags", lambda x: x["latest"]) if latest else F.col("__tl_flags")
+    events = found.select(*_MET, "h2h_context_scope", F.inline(listed))
+    length = F.when(F.col("event_flag") == 1, F.col("streak_length")).otherwise(0)
+    counted = events.withColumns({"streak_length": length, "current_streak_length": length}).withColumnsRenamed(
+        {"island": "streak_id", "n_rows": "total_event_count", "n_flagged": "total_event_flag_sum"}
+    )
+    columns = ["event_flag", "streak_id", "streak_length", "current_streak_length", "total_event_count", "total_event_flag_sum"]
+    named = name_events(counted, [*_MET, "h2h_context_scope"], columns)
+    return named.drop("composition", "threshold").withColumn("min_required_length", min_length(F.col("event_name")))
 
 
 @model("table")
 def fact_head_to_head_streaks(w: Warehouse) -> DataFrame:
     """Runs of events between two teams; lengths are 0 off a run, totals cover the whole sequence."""
-    found = islands(w.ref("fact_head_to_head_events"), _MEETING, _ORDER, "event_flag", island="streak_id")
-    length = F.when(F.col("event_flag") == 1, F.col("streak_length")).otherwise(0)
-    whole = Window.partitionBy(*_MEETING)
-    return found.withColumns(
-        {
-            "streak_length": length,
-            "current_streak_length": length,
-            "min_required_length": min_length(F.col("event_name")),
-            "total_event_count": F.count(F.lit(1)).over(whole),
-            "total_event_flag_sum": F.sum("event_flag").over(whole),
-        }
-    ).drop("rn")
+    return _meeting_rows(w, False)
 
 
 @model("view")
 def fact_head_to_head_latest(w: Warehouse) -> DataFrame:
     """The last occurrence of each event between two teams, whether or not it still runs."""
-    last = latest_per(w.ref("fact_head_to_head_streaks").filter("event_flag = 1"), _MEETING, _ORDER)
     renamed = {
         "event_flag": "latest_event_flag",
         "streak_length": "latest_streak_length",
@@ -648,7 +666,7 @@ def fact_head_to_head_latest(w: Warehouse) -> DataFrame:
         "is_home": "latest_is_home",
     }
     gone = ["fulltime_result", "is_current", "streak_id", "current_streak_length", "min_required_length"]
-    return last.withColumnsRenamed(renamed).drop(*gone)
+    return _meeting_rows(w, True).withColumnsRenamed(renamed).drop(*gone)
 
 
 @model("table")
