@@ -31,14 +31,14 @@ def islands(df: DataFrame, keys: list[str], order: list[str], flag: str, positio
     return numbered.withColumns({island: F.sum(F.when(opens, 1).otherwise(0)).over(so_far), length: F.col(position) - start + 1}).drop("__tl_prev")
 
 
-def flag_islands(df: DataFrame, keys: list[str], order: list[str], flags: list[Column], ends: str | None = None, totals: bool = False) -> DataFrame:
+def flag_islands(df: DataFrame, keys: list[str], order: list[str], flags: list[Column], ends: str | None = None, totals: bool = False, numbers: bool = True) -> DataFrame:
     """Islands of many flags of the same rows at once, before the rows fan out into one for each flag.
 
     Adds ``__tl_rn`` (place of the row), ``__tl_last`` (whether it is the last), and an array
-    ``__tl_flags`` of (__tl_event, event_flag, island, streak_length, latest) structs, one for each
-    flag: island and length as ``islands`` gives them, latest where no later row has the flag. With
-    ``ends`` the structs also have ``at_end``, the value of that column in the last row of the
-    island, and with ``totals`` n_rows and n_flagged of the key. All is done in two sorts of the
+    ``__tl_flags`` of (__tl_event, event_flag, streak_length) structs, one for each flag: lengths as
+    ``islands`` gives them. With ``numbers`` the structs also have the island, and latest, whether no
+    later row has the flag; with ``ends`` also ``at_end``, the value of that column in the last row of
+    the island; with ``totals`` n_rows and n_flagged of the key. All is done in two sorts of the
     rows, so that sorting costs as little as there are rows, not rows times flags.
     """
     up = ordered(keys, order)
@@ -49,9 +49,9 @@ def flag_islands(df: DataFrame, keys: list[str], order: list[str], flags: list[C
     f, o, e = ([f"__tl_{kind}{i}" for i in n] for kind in "foe")
     rows = df.withColumns({f[i]: flags[i] for i in n}).withColumns({"__tl_rn": F.row_number().over(up)} | {o[i]: F.lag(f[i], 1, 0).over(up) for i in n})
     rows = rows.withColumns({o[i]: F.coalesce((F.col(f[i]) == 1) & (F.col(o[i]) == 0), F.lit(False)) for i in n})
-    number = {f"__tl_i{i}": F.sum(F.col(o[i]).cast("int")).over(so_far) for i in n}
+    number = {f"__tl_i{i}": F.sum(F.col(o[i]).cast("int")).over(so_far) for i in n} if numbers else {}
     start = {f"__tl_s{i}": F.max(F.when(F.col(o[i]), F.col("__tl_rn"))).over(so_far) for i in n}
-    latest = {f"__tl_l{i}": F.max(F.when(F.col(f[i]) == 1, F.col("__tl_rn"))).over(whole) for i in n}
+    latest = {f"__tl_l{i}": F.max(F.when(F.col(f[i]) == 1, F.col("__tl_rn"))).over(whole) for i in n} if numbers else {}
     over_all = {"__tl_n": F.count(F.lit(1)).over(whole)}
     if totals:
         over_all |= {f"__tl_t{i}": F.sum(f[i]).over(whole) for i in n}
@@ -63,9 +63,9 @@ def flag_islands(df: DataFrame, keys: list[str], order: list[str], flags: list[C
         rows = rows.withColumns(closes).withColumns({e[i]: F.last(F.when(F.col(e[i]), value), ignorenulls=True).over(rest) for i in n})
 
     def item(i: int) -> Column:
-        parts = [F.lit(i).alias("__tl_event"), F.col(f[i]).alias("event_flag"), F.col(f"__tl_i{i}").alias("island")]
-        parts += [(F.col("__tl_rn") - F.coalesce(f"__tl_s{i}", F.lit(1)) + 1).alias("streak_length")]
-        parts += [(F.col(f"__tl_l{i}") == F.col("__tl_rn")).alias("latest")]
+        length = F.col("__tl_rn") - F.coalesce(f"__tl_s{i}", F.lit(1)) + 1
+        parts = [F.lit(i).alias("__tl_event"), F.col(f[i]).alias("event_flag"), length.alias("streak_length")]
+        parts += [F.col(f"__tl_i{i}").alias("island"), (F.col(f"__tl_l{i}") == F.col("__tl_rn")).alias("latest")] if numbers else []
         parts += [F.col(f"{e[i]}.v").alias("at_end")] if ends else []
         parts += [F.col("__tl_n").alias("n_rows"), F.col(f"__tl_t{i}").alias("n_flagged")] if totals else []
         return F.struct(*parts)

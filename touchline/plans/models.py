@@ -426,7 +426,8 @@ def _streak_rows(w: Warehouse, latest: bool) -> DataFrame:
     season = ordered(["team_id", "league_season_id"], _ORDER).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     upcoming = rows.withColumns({c: F.last(c).over(season) for c in NEXT.values()})
     flags = event_flags("goals_for", "goals_against", "fulltime_result", "halftime_result")
-    found = flag_islands(upcoming, ["team_id", "context_scope"], _ORDER, flags, ends="next_is_home")
+    # a sequence's last row is also the last of its island
+    found = flag_islands(upcoming, ["team_id", "context_scope"], _ORDER, flags, ends=None if latest else "next_is_home", numbers=False)
     gone = {"goals_for", "goals_against", "halftime_goals_for", "halftime_goals_against", "fulltime_result", "halftime_result", "season", "is_current", "is_played", "team_pair_key"}
     kept = [c for c in rows.columns if c not in gone]
     events = (found.filter("__tl_last") if latest else found).select(*kept, F.inline("__tl_flags"))
@@ -436,7 +437,8 @@ def _streak_rows(w: Warehouse, latest: bool) -> DataFrame:
         .when(F.col("context_scope") == "away", F.coalesce(~home, F.lit(False)))
         .otherwise(True)
     )
-    named = name_events(events.withColumnRenamed("at_end", "context_checker"), kept, ["event_flag", "streak_length", "context_checker"])
+    checked = events.withColumn("context_checker", F.col("next_is_home")) if latest else events.withColumnRenamed("at_end", "context_checker")
+    named = name_events(checked, kept, ["event_flag", "streak_length", "context_checker"])
     return named.withColumn("is_active", F.col("event_flag") == 1).withColumns(
         {
             "is_streak_eligible": eligible,
