@@ -156,6 +156,22 @@ def o_standings_load(spark, root):
     return landing.current(spark, config.warehouse, "raw_league_standings").select(*columns)
 
 
+def _squads(leagues: DataFrame, seasons: DataFrame, teams: DataFrame) -> DataFrame:
+    """All clubs (api_team_id, team_name, team_code) by api_league_id and season; a league season without clubs has one row of nulls.
+
+    In each season that its country plays, a club is in one league there, drawn by a hash, so that
+    answers grow as the clubs and not as clubs times leagues. Leagues of one name, which a request
+    can't tell apart, have the same clubs.
+    """
+    played = seasons.select("league_id", "season").join(leagues.select("league_id", "api_league_id", "country_id", "league_name"), "league_id")
+    named = played.groupBy("country_id", "season", "league_name").agg(F.sort_array(F.collect_set("api_league_id")).alias("ids"))
+    listed = F.sort_array(F.collect_list(F.struct("league_name", "ids")))
+    choice = named.groupBy("country_id", "season").agg(F.transform(listed, lambda x: x["ids"]).alias("choice"))
+    drawn = F.get("choice", F.pmod(F.xxhash64("api_team_id", "season"), F.size("choice")).cast("int"))
+    clubs = teams.join(choice, "country_id").select("season", F.explode(drawn).alias("api_league_id"), "api_team_id", "team_name", "team_code")
+    return played.select("api_league_id", "season").distinct().join(clubs, ["api_league_id", "season"], "left")
+
+
 def _metadata(spark: SparkSession, root: str) -> Config:
     """An empty warehouse after the refresh of metadata, with the config and the answers made from the dim tables."""
     config = _install(spark, root, [])
@@ -169,8 +185,8 @@ def _metadata(spark: SparkSession, root: str) -> Config:
     card = F.struct(F.struct(F.col("api_league_id").alias("id"), F.col("league_name").alias("name")).alias("league"), "seasons")
     _record(named.join(of, "league_id").withColumn("item", card), "leagues", {"country": F.col("country_name"), "name": F.col("league_name")}, config)
     club = F.struct(F.struct(F.col("api_team_id").alias("id"), F.col("team_name").alias("name"), F.col("team_code").alias("code")).alias("team"))
-    squads = seasons.select("league_id", "season").join(leagues.select("league_id", "api_league_id", "country_id"), "league_id").join(teams, "country_id")
-    _record(squads.withColumn("item", club), "teams", {"league": F.col("api_league_id"), "season": F.col("season")}, config)
+    squads = _squads(leagues, seasons, teams).withColumn("item", F.when(F.col("api_team_id").isNotNull(), club))
+    _record(squads, "teams", {"league": F.col("api_league_id"), "season": F.col("season")}, config)
     pipelines.refresh_metadata(spark, config, tree, AS_OF)
     return config
 

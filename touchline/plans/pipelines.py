@@ -270,23 +270,24 @@ def refresh_metadata(spark: SparkSession, config: Config, tree: DataFrame, now:
     text = lambda **params: json.dumps(params, sort_keys=True)
     answers, failed = _ask(spark, config, "/leagues", {text(country=c, name=lg): (c, lg, i) for i, (c, lg) in enumerate(pairs)}, "country string, name string, place int", LEAGUE_PAYLOAD)
     earliest = answers.groupBy("country", "name").agg(F.min("pos").alias("pos"))
-    first = answers.join(earliest, ["country", "name", "pos"]).filter(F.col("league.id").isNotNull())
+    # what several plans read is written, so that none of them holds the whole refresh
+    first = materialise(answers.join(earliest, ["country", "name", "pos"]).filter(F.col("league.id").isNotNull()), "first")
     found = {(r["country"], r["name"]): r["place"] for r in first.select("country", "name", "place").collect()}
 
     listed = spark.createDataFrame([(c,) for c, _ in held], "country_name string").withColumns(stamps)
-    countries = upsert.insert_absent(dims["dim_countries"], listed, ["country_name"], "country_id")
+    countries = materialise(upsert.insert_absent(dims["dim_countries"], listed, ["country_name"], "country_id"), "countries")
     country_ids = countries.select(F.col("country_name").alias("country"), "country_id")
 
     named = first.join(country_ids, "country").select(F.col("league.id").alias("api_league_id"), "country_id", F.col("name").alias("league_name"), "place")
-    batch = upsert.dedupe_in_turn(named, ["api_league_id"], ["league_name", "country_id"], ["place"]).withColumns(stamps)
+    batch = materialise(upsert.dedupe_in_turn(named, ["api_league_id"], ["league_name", "country_id"], ["place"]).withColumns(stamps), "batch")
     leagues = upsert.insert_absent(dims["dim_leagues"], batch, ["api_league_id"], "league_id")
-    leagues = upsert.update_if_changed(leagues, batch, ["api_league_id"], ["league_name", "country_id"], _at(now))
+    leagues = materialise(upsert.update_if_changed(leagues, batch, ["api_league_id"], ["league_name", "country_id"], _at(now)), "leagues")
 
     places = first.select("country", F.col("name").alias("league"), "place")
     years = materialise(flatten_metadata(tree, first, config.first_season).join(places, ["country", "league"]), "seasons")
     dated = years.join(leagues.select("league_id", "api_league_id"), "api_league_id").withColumnsRenamed({"season_start": "start_date", "season_end": "end_date"})
     columns = ["season_label", "start_date", "end_date"]
-    periods = upsert.dedupe_in_turn(dated, ["league_id", "season"], columns, ["place", "season_place"]).withColumns(stamps | {"fixtures_bootstrap_done": F.lit(False)})
+    periods = materialise(upsert.dedupe_in_turn(dated, ["league_id", "season"], columns, ["place", "season_place"]).withColumns(stamps | {"fixtures_bootstrap_done": F.lit(False)}), "periods")
     seasons = upsert.insert_absent(dims["dim_league_seasons"], periods, ["league_id", "season"], "league_season_id")
     # the time of a season's row stays, as in the original upsert
     seasons = upsert.update_if_changed(seasons, periods, ["league_id", "season"], columns, _at(now), touched="")
@@ -296,7 +297,7 @@ def refresh_metadata(spark: SparkSession, config: Config, tree: DataFrame, now:
     squads, lost = _ask(spark, config, "/teams", requests, "country_id bigint, place int", TEAM_PAYLOAD)
     known = squads.select(F.col("team.id").alias("api_team_id"), F.col("team.name").alias("team_name"), F.col("team.code").alias("team_code"), "country_id", "place", "pos")
     columns = ["team_name", "team_code", "country_id"]
-    clubs = upsert.dedupe_in_turn(known.filter("api_team_id != 0 and team_name != ''"), ["api_team_id"], columns, ["place", "pos"]).withColumns(stamps)
+    clubs = materialise(upsert.dedupe_in_turn(known.filter("api_team_id != 0 and team_name != ''"), ["api_team_id"], columns, ["place", "pos"]).withColumns(stamps), "clubs")
     teams = upsert.insert_absent(dims["dim_teams"], clubs, ["api_team_id"], "team_id")
     teams = upsert.update_if_changed(teams, clubs, ["api_team_id"], columns, _at(now))
 
