@@ -41,3 +41,14 @@ def test_metadata_teams_has_all_clubs_of_countries_that_still_play(spark, dims):
     with scratch(spark):
         rows = {tuple(r) for r in load_queries.o_metadata_teams(spark, dims).collect()}
     assert rows == {(t, t, f"T{t}", None if t % 2 else f"C{t}", "X") for t in range(1, 9)}
+
+
+def test_metadata_seasons_asks_for_no_product_of_clubs_and_leagues(spark, dims, monkeypatch):
+    recorded = []
+    record = load_queries._record
+    monkeypatch.setattr(load_queries, "_record", lambda items, endpoint, by, config: (recorded.append((endpoint, items.filter("item is not null").count())), record(items, endpoint, by, config)))
+    with scratch(spark):
+        rows = {(r.country_name, r.league_name, r.season) for r in load_queries.o_metadata_seasons(spark, dims).collect()}
+    assert rows == {(c, n, y) for c, n in [*[("X", f"L{i}") for i in range(2, 7)], ("Y", "L1")] for y in range(2020, 2023)}
+    # eight clubs in each year, and those of the two leagues of one name twice
+    assert dict(recorded)["teams"] <= 2 * 8 * len(YEARS) + 2
