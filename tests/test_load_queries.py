@@ -1,4 +1,5 @@
 import json
+import zipfile
 from collections import Counter
 from datetime import date
 from pathlib import Path
@@ -7,6 +8,7 @@ import pytest
 
 from touchline.plans import load_queries
 from touchline.session import scratch
+from touchline.sources import api
 
 YEARS = range(2018, 2023)
 
@@ -52,3 +54,41 @@ def test_metadata_seasons_asks_for_no_product_of_clubs_and_leagues(spark, dims,
     assert rows == {(c, n, y) for c, n in [*[("X", f"L{i}") for i in range(2, 7)], ("Y", "L1")] for y in range(2020, 2023)}
     # eight clubs in each year, and those of the two leagues of one name twice
     assert dict(recorded)["teams"] <= 2 * 8 * len(YEARS) + 2
+
+
+def _packed(monkeypatch):
+    monkeypatch.setattr(api, "SINGLE", 3)
+    monkeypatch.setattr(api, "PACKED", 4)
+
+
+def test_many_answers_are_packed_and_leagues_of_one_name_list_their_clubs_once(spark, dims, monkeypatch):
+    """More leagues of one name, on larger tables, must not bring the product of clubs and leagues back."""
+    _packed(monkeypatch)
+    more = spark.range(100, 140).selectExpr("id league_id", "1L country_id", "'L2' league_name", "cast(id as int) api_league_id")
+    more.write.mode("append").parquet(f"{dims}/dim_leagues.parquet")
+    more.selectExpr("league_id", "explode(array(2019, 2020)) season").selectExpr("*", "make_date(season, 8, 1) start_date", "make_date(season + 1, 5, 1) end_date").write.mode("append").parquet(f"{dims}/dim_league_seasons.parquet")
+    with scratch(spark):
+        folder = Path(load_queries._metadata(spark, dims).folder.removeprefix("file://"))
+        answers = {}
+        for path in (folder / "teams").iterdir():
+            with zipfile.ZipFile(path) as pack:
+                answers |= {n.removesuffix(".json"): json.loads(pack.read(n)) for n in pack.namelist()}
+        n_files = len([*folder.rglob("*.zip"), *folder.rglob("*.json")])
+        fetch = api.folder_fetch(str(folder))
+        squad = lambda i, y: [c["team"]["id"] for c in json.loads(fetch("/teams", {"league": i, "season": y}, 1)[2])["response"]]
+        assert squad(139, 2020) == squad(11, 2020) == squad(12, 2020)
+        assert {c for i in (11, *range(13, 17)) for c in squad(i, 2020)} == set(range(1, 9))
+        assert fetch("/teams", {"league": 139, "season": 2021}, 1)[0] == fetch("/teams", {"league": 5, "season": 2020}, 1)[0] == 404
+    assert len(answers) == 7 * len(YEARS) + 2 + 80
+    assert Counter(c["team"]["id"] for a in answers.values() for c in a["response"]) == {**dict.fromkeys(range(1, 9), len(YEARS)), 9: 2}
+    assert n_files <= -(-len(answers) // 4) + 2
+
+
+def test_metadata_of_packed_answers_is_whole(spark, dims, monkeypatch):
+    _packed(monkeypatch)
+    with scratch(spark):
+        teams = {tuple(r) for r in load_queries.o_metadata_teams(spark, dims).collect()}
+        seasons = sorted((r.country_name, r.league_name, r.api_league_id, r.season) for r in load_queries.o_metadata_seasons(spark, dims).collect())
+    assert teams == {(t, t, f"T{t}", None if t % 2 else f"C{t}", "X") for t in range(1, 9)}
+    # of the two leagues of one name the first counts, in every run
+    assert seasons == [(c, n, i, y) for c, n, i in [("X", "L2", 11), *[("X", f"L{i}", 10 + i) for i in range(3, 7)], ("Y", "L1", 17)] for y in range(2020, 2023)]

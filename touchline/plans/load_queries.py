@@ -38,11 +38,27 @@ def _install(spark: SparkSession, root: str, tables: list[str] = _DIMS) -> Confi
     return config
 
 
+def _name(by: dict[str, Column]) -> Column:
+    """The name of the answer to a request with these parameters."""
+    return F.concat_ws("_", *[F.concat(F.lit(f"{k}-"), by[k].cast("string")) for k in sorted(by)])
+
+
 def _record(items: DataFrame, endpoint: str, by: dict[str, Column], config: Config) -> None:
-    """Record answers: ``items`` with the column ``item``, grouped by the parameters of their request."""
-    name = F.concat_ws("_", *[F.concat(F.lit(f"{k}-"), by[k].cast("string")) for k in sorted(by)])
-    grouped = items.groupBy(name.alias("name")).agg(F.to_json(F.struct(F.collect_list("item").alias("response"))).alias("body"))
-    api.record_answers(grouped.withColumn("endpoint", F.lit(endpoint)), config.folder)
+    """Record answers: ``items`` with the column ``item``, grouped by the parameters of their request.
+
+    With a column ``same_as``, the name of another answer, an answer is that one, which is kept once.
+    """
+    listed = F.collect_list("item")
+    # of the leagues of one name the first counts, so that it must be the same one in every run
+    parts = [(F.sort_array(listed) if endpoint == "leagues" else listed).alias("response")]
+    if "same_as" in items.columns:
+        parts.append(F.any_value("same_as").alias("same_as"))
+    grouped = items.groupBy(_name(by).alias("name")).agg(F.to_json(F.struct(*parts)).alias("body"))
+    packs = api.planned_packs(items.sparkSession, config.folder, endpoint)
+    if packs:
+        api.pack_answers(grouped, config.folder, endpoint, packs)
+    else:
+        api.record_answers(grouped.withColumn("endpoint", F.lit(endpoint)), config.folder)
 
 
 def _record_fixtures(spark: SparkSession, root: str, config: Config) -> None:
@@ -156,20 +172,21 @@ def o_standings_load(spark, root):
     return landing.current(spark, config.warehouse, "raw_league_standings").select(*columns)
 
 
-def _squads(leagues: DataFrame, seasons: DataFrame, teams: DataFrame) -> DataFrame:
+def _squads(leagues: DataFrame, seasons: DataFrame, teams: DataFrame, once: bool) -> DataFrame:
     """All clubs (api_team_id, team_name, team_code) by api_league_id and season; a league season without clubs has one row of nulls.
 
     In each season that its country plays, a club is in one league there, drawn by a hash, so that
     answers grow as the clubs and not as clubs times leagues. Leagues of one name, which a request
-    can't tell apart, have the same clubs.
+    can't tell apart, have the same clubs; with ``once`` only the first of them (``first_id``) lists them.
     """
     played = seasons.select("league_id", "season").join(leagues.select("league_id", "api_league_id", "country_id", "league_name"), "league_id")
     named = played.groupBy("country_id", "season", "league_name").agg(F.sort_array(F.collect_set("api_league_id")).alias("ids"))
-    listed = F.sort_array(F.collect_list(F.struct("league_name", "ids")))
+    listed = F.sort_array(F.collect_list(F.struct("league_name", (F.slice("ids", 1, 1) if once else F.col("ids")).alias("ids"))))
     choice = named.groupBy("country_id", "season").agg(F.transform(listed, lambda x: x["ids"]).alias("choice"))
     drawn = F.get("choice", F.pmod(F.xxhash64("api_team_id", "season"), F.size("choice")).cast("int"))
     clubs = teams.join(choice, "country_id").select("season", F.explode(drawn).alias("api_league_id"), "api_team_id", "team_name", "team_code")
-    return played.select("api_league_id", "season").distinct().join(clubs, ["api_league_id", "season"], "left")
+    asked = named.select("season", F.explode("ids").alias("api_league_id"), F.get("ids", F.lit(0)).alias("first_id"))
+    return asked.join(clubs, ["api_league_id", "season"], "left")
 
 
 def _metadata(spark: SparkSession, root: str) -> Config:
@@ -177,16 +194,23 @@ def _metadata(spark: SparkSession, root: str) -> Config:
     config = _install(spark, root, [])
     countries, leagues, seasons, teams = (read_table(spark, root, n) for n in _DIMS)
     named = leagues.join(countries.select("country_id", "country_name"), "country_id")
+    pairs = named.select("country_name", "league_name").distinct()
     listed = F.sort_array(F.collect_list(F.struct(F.col("league_name").alias("name"))))
-    tree = countries.select("country_name").join(named.select("country_name", "league_name"), "country_name", "left").groupBy("country_name")
+    tree = countries.select("country_name").distinct().join(pairs, "country_name", "left").groupBy("country_name")
     tree = tree.agg(F.filter(listed, lambda x: x["name"].isNotNull()).alias("leagues")).withColumnRenamed("country_name", "country")
+    api.plan_packs(spark, config.folder, "leagues", pairs.count())
+    api.plan_packs(spark, config.folder, "teams", seasons.select("league_id", "season").distinct().count())
     year = F.struct(F.col("season").cast("string").alias("year"), F.col("start_date").cast("string").alias("start"), F.col("end_date").cast("string").alias("end"))
     of = seasons.groupBy("league_id").agg(F.sort_array(F.collect_list(year)).alias("seasons"))
     card = F.struct(F.struct(F.col("api_league_id").alias("id"), F.col("league_name").alias("name")).alias("league"), "seasons")
     _record(named.join(of, "league_id").withColumn("item", card), "leagues", {"country": F.col("country_name"), "name": F.col("league_name")}, config)
     club = F.struct(F.struct(F.col("api_team_id").alias("id"), F.col("team_name").alias("name"), F.col("team_code").alias("code")).alias("team"))
-    squads = _squads(leagues, seasons, teams).withColumn("item", F.when(F.col("api_team_id").isNotNull(), club))
-    _record(squads, "teams", {"league": F.col("api_league_id"), "season": F.col("season")}, config)
+    request = {"league": F.col("api_league_id"), "season": F.col("season")}
+    once = api.planned_packs(spark, config.folder, "teams") > 0
+    squads = _squads(leagues, seasons, teams, once).withColumn("item", F.when(F.col("api_team_id").isNotNull(), club))
+    if once:
+        squads = squads.withColumn("same_as", F.when(F.col("api_league_id") != F.col("first_id"), _name(request | {"league": F.col("first_id")})))
+    _record(squads, "teams", request, config)
     pipelines.refresh_metadata(spark, config, tree, AS_OF)
     return config
 

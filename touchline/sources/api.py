@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import io
+import itertools
 import json
 import time
+import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from touchline import files
+from touchline.session import shuffle_parts
+
 #: How the service is asked.
 TIMEOUT_S, ATTEMPTS, BACKOFF_CAP_S, IDS_PER_REQUEST = 10, 5, 60, 20
+#: Recorded answers of an endpoint that may be a file each, and answers in a pack where there are more.
+SINGLE, PACKED = 1000, 64
 #: What is left for the day and for the minute, as the service tells in its headers.
 _DAY, _MINUTE = "x-ratelimit-requests-remaining", "x-ratelimit-remaining"
 
@@ -128,21 +138,81 @@ def answer_name(params: dict) -> str:
 
 
 def folder_fetch(root: str) -> Callable:
-    """An offline transport: the answer to a request is a JSON file named by its sorted parameters."""
+    """An offline transport: the answer to a request is a JSON file named by its sorted parameters, alone or in a pack.
+
+    An answer with ``same_as`` is that of another name.
+    """
+    packs: dict[str, int] = {}
 
     def fetch(endpoint: str, params: dict, timeout: int):
         from touchline.files import arrow_system
 
         system, base = arrow_system(root)
+        at = f"{base}/{endpoint.strip('/')}"
+        if at not in packs:
+            try:
+                with system.open_input_stream(f"{at}.packs") as f:
+                    packs[at] = int(f.read())
+            except FileNotFoundError:
+                packs[at] = 0
+
+        def read(name: str) -> str:
+            if not packs[at]:
+                with system.open_input_stream(f"{at}/{name}.json") as f:
+                    return f.read().decode()
+            with system.open_input_file(f"{at}/{zlib.crc32(name.encode()) % packs[at]}.zip") as f, zipfile.ZipFile(f) as pack:
+                return pack.read(f"{name}.json").decode()
+
         try:
-            with system.open_input_stream(f"{base}/{endpoint.strip('/')}/{answer_name(params)}.json") as f:
-                return 200, {}, f.read().decode()
-        except FileNotFoundError:
+            text = read(answer_name(params))
+            other = json.loads(text).get("same_as") if '"same_as"' in text else None
+            return 200, {}, read(other) if other else text
+        except (FileNotFoundError, KeyError):
             return 404, {}, ""
 
     return fetch
 
 
+def plan_packs(spark: SparkSession, folder: str, endpoint: str, number: int) -> None:
+    """Settle, before ``number`` answers of an endpoint are recorded, whether ``folder`` holds them in packs.
+
+    The smallest file takes a block of disk, so that many short answers take several times their size.
+    """
+    if number > SINGLE:
+        files.write_text(spark, f"{folder}/{endpoint}.packs", str(-(-number // PACKED)))
+
+
+def planned_packs(spark: SparkSession, folder: str, endpoint: str) -> int:
+    """The number of packs that ``plan_packs`` settled, 0 where answers are a file each."""
+    return int(files.read_text(spark, f"{folder}/{endpoint}.packs") or 0)
+
+
+def pack_answers(answers: DataFrame, folder: str, endpoint: str, packs: int) -> int:
+    """Write answers (name, body strings) to their packs, zip archives, for ``folder_fetch``; their number."""
+
+    def write(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from touchline.files import arrow_system
+
+        system, base = arrow_system(folder)
+        system.create_dir(f"{base}/{endpoint}", recursive=True)
+        rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(3))))
+        for pack, own in itertools.groupby(rows, lambda row: row[0]):
+            packed, n = io.BytesIO(), 0
+            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+                for _, name, body in own:
+                    archive.writestr(f"{name}.json", body)
+                    n += 1
+            with system.open_output_stream(f"{base}/{endpoint}/{pack}.zip") as f:
+                f.write(packed.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    home = F.pmod(F.crc32("name"), F.lit(packs)).cast("long").alias("pack")
+    held = answers.select(home, "name", "body").repartition(shuffle_parts(answers.sparkSession), "pack").sortWithinPartitions("pack")
+    return sum(r.n for r in held.mapInArrow(write, "n bigint").collect())
+
+
 def record_answers(answers: DataFrame, folder: str) -> int:
     """Write answers (endpoint, name, body strings) as files for ``folder_fetch``, each by the task that holds it; their number."""
 
